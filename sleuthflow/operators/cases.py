@@ -242,10 +242,13 @@ def _operational_columns() -> dict[str, Column]:
     }
 
 
-def case_operational(case_facts: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Operational facts of each case, clamped to their bounds."""
-    columns = [column.alias(name) for name, column in _operational_columns().items()]
-    return clamp_ops(case_facts.select("case_id", *(keep or []), *columns))
+def with_operational(facts: DataFrame) -> DataFrame:
+    """Per-case facts plus the 12 operational facts, clamped to their bounds."""
+    return clamp_ops(facts.withColumns(_operational_columns()))
+
+
+def case_operational(facts: DataFrame) -> DataFrame:
+    return with_operational(facts).select("case_id", *catalog.OPERATIONAL)
 
 
 def case_facts(rollup: DataFrame) -> DataFrame:

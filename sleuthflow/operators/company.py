@@ -6,7 +6,7 @@ in the same pass, and every metric below works on those small tables.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from sleuthflow import catalog
 from sleuthflow.functions.columns import at_least, band, clip01, require_columns, share
@@ -82,6 +82,15 @@ def daily_flow(ledger: DataFrame) -> DataFrame:
     )
 
 
+def _minor_units(df: DataFrame, name: str) -> Column:
+    """Money as whole minor units where its type is an exact decimal, else as it is. Running sums of longs
+    are far cheaper than those of wide decimals and as exact; an overflow raises an error."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.DecimalType) and kind.scale <= 4:
+        return (F.col(name) * F.lit(10**kind.scale)).cast("bigint")
+    return F.col(name)
+
+
 def fifo_holding_time(days: DataFrame) -> DataFrame:
     """Average age of money paid out, first in first out, in active days of each company.
 
@@ -92,42 +101,33 @@ def fifo_holding_time(days: DataFrame) -> DataFrame:
     """
     by_day = Window.partitionBy("company_id").orderBy("day")
     so_far = by_day.rowsBetween(Window.unboundedPreceding, 0)
-    held = F.col("balance") - F.least(F.lit(0), F.min("balance").over(so_far))
+    money = {name: _minor_units(days, name) for name in ("inflow", "outflow")}
     balances = (
-        days.withColumn("day_no", F.row_number().over(by_day))
+        days.select("company_id", "day", *[column.alias(name) for name, column in money.items()])
+        .withColumn("day_no", F.row_number().over(by_day))
         .withColumn("balance", F.sum(F.col("inflow") - F.col("outflow")).over(so_far))
-        .withColumn("held", held)
+        .withColumn("held", F.col("balance") - F.least(F.lit(0), F.min("balance").over(so_far)))
         .withColumn("matched", F.col("inflow") + F.coalesce(F.lag("held").over(by_day), F.lit(0)) - F.col("held"))
-        .withColumn("in_end", F.sum("inflow").over(so_far).cast("double"))
-        .withColumn("out_end", F.sum("matched").over(so_far).cast("double"))
+        .withColumn("in_end", F.sum("inflow").over(so_far))
+        .withColumn("out_end", F.sum("matched").over(so_far))
     )
     no_day = F.lit(None).cast("int")
     in_point = F.struct(F.col("in_end").alias("pos"), F.col("day_no").alias("in_day"), no_day.alias("out_day"))
     out_point = F.struct(F.col("out_end").alias("pos"), no_day.alias("in_day"), F.col("day_no").alias("out_day"))
-    points = balances.select(
-        "company_id",
-        F.inline(
-            F.array_compact(
-                F.array(F.when(F.col("inflow") > 0, in_point), F.when(F.col("matched") > 0, out_point))
-            )
-        ),
-    )
+    both = F.array(F.when(F.col("inflow") > 0, in_point), F.when(F.col("matched") > 0, out_point))
+    points = balances.select("company_id", F.inline_outer(F.array_compact(both)))
     along = Window.partitionBy("company_id").orderBy("pos")
     ahead = along.rangeBetween(Window.currentRow, Window.unboundedFollowing)
     pieces = (
-        points.withColumn("length", F.col("pos") - F.lag("pos", 1, 0.0).over(along))
+        points.withColumn("length", (F.col("pos") - F.coalesce(F.lag("pos").over(along), F.lit(0))).cast("double"))
         .withColumn("fed_by", F.min("in_day").over(ahead))
         .withColumn("paid_on", F.min("out_day").over(ahead))
-        .where(F.col("paid_on").isNotNull() & (F.col("length") > 0))
     )
+    used = F.when(F.col("paid_on").isNotNull() & (F.col("length") > 0), F.col("length"))
     age = F.greatest(F.lit(1), F.col("paid_on") - F.col("fed_by"))
-    held_time = pieces.groupBy("company_id").agg(
-        (F.sum(F.col("length") * age) / F.sum("length")).alias("average_age")
-    )
-    companies = days.select("company_id").distinct()
-    return companies.join(held_time, "company_id", "left").select(
-        "company_id",
-        F.coalesce(F.round(at_least(F.col("average_age"), 1.0), 1), F.lit(NO_HOLDING_DAYS)).alias("avg_holding_time"),
+    average_age = F.sum(used * age) / F.sum(used)
+    return pieces.groupBy("company_id").agg(
+        F.coalesce(F.round(F.greatest(average_age, F.lit(1.0)), 1), F.lit(NO_HOLDING_DAYS)).alias("avg_holding_time")
     )
 
 

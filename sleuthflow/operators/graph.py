@@ -17,16 +17,18 @@ SMALL_CASE_EDGES = 256
 MAX_WALK = 8
 
 
-def case_graph_stats(totals: DataFrame) -> DataFrame:
-    """Nodes, edges, density and hub share out of the per-case totals."""
+def graph_columns() -> dict[str, Column]:
+    """Density and hub share out of the per-case totals."""
     n, m = F.col("nodes").cast("double"), F.col("edges").cast("double")
-    return totals.select(
-        "case_id",
-        "nodes",
-        "edges",
-        F.when(F.col("nodes") > 1, m / (n * (n - 1))).otherwise(F.lit(0.0)).alias("density"),
-        (F.col("max_in_degree").cast("double") / F.greatest(m, F.lit(1.0))).alias("hub_share"),
-    )
+    return {
+        "density": F.when(F.col("nodes") > 1, m / (n * (n - 1))).otherwise(F.lit(0.0)),
+        "hub_share": F.col("max_in_degree").cast("double") / F.greatest(m, F.lit(1.0)),
+    }
+
+
+def case_graph_stats(totals: DataFrame) -> DataFrame:
+    """Nodes, edges, density and hub share of every case."""
+    return totals.select("case_id", "nodes", "edges", *[c.alias(name) for name, c in graph_columns().items()])
 
 
 def edge_arrays(edges: DataFrame, limit: int = SMALL_CASE_EDGES) -> DataFrame:

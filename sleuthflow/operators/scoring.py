@@ -9,15 +9,15 @@ from sleuthflow import catalog
 from sleuthflow.functions.columns import at_least, band, clip01, sigmoid
 from sleuthflow.operators.cases import (
     case_facts,
-    case_operational,
     case_rollup,
     edges_of,
     small_parts,
     window_events,
+    with_operational,
 )
 from sleuthflow.operators.contracts import check_events
-from sleuthflow.operators.entity import operational_to_features
-from sleuthflow.operators.graph import case_graph_stats, case_shape
+from sleuthflow.operators.entity import feature_columns
+from sleuthflow.operators.graph import case_shape, graph_columns
 from sleuthflow.operators.ml import predict_risk
 from sleuthflow.session import materialize
 
@@ -108,29 +108,30 @@ def labeled_cases(rollup: DataFrame) -> DataFrame:
     return facts.withColumns({LABEL_COLUMNS[n]: column for n, column in typology_labels().items()})
 
 
-def case_features(facts: DataFrame, cases: DataFrame | None = None) -> DataFrame:
-    """Feature map per case: the supplied one if it has entries, else derived from the case facts."""
-    derived = operational_to_features(case_operational(facts), keep=["case_id"])
-    entries = [part for name in catalog.FEATURES for part in (F.lit(name), F.col(name))]
-    mapped = derived.select("case_id", F.create_map(*entries).alias("features"))
+def with_features(facts: DataFrame, cases: DataFrame | None = None) -> DataFrame:
+    """Per-case facts plus a feature map: the supplied one if it has entries, else the derived features."""
+    entries = [part for name, column in feature_columns().items() for part in (F.lit(name), column)]
+    derived = with_operational(facts).withColumn("features", F.create_map(*entries))
     if cases is None or "tabular_features" not in cases.columns:
-        return mapped
+        return derived
     own = cases.select("case_id", "tabular_features").dropDuplicates(["case_id"])
     supplied = F.when(F.size("tabular_features") > 0, F.col("tabular_features"))
-    return mapped.join(own, "case_id", "left").select(
-        "case_id", F.coalesce(supplied, F.col("features")).alias("features")
+    return (
+        derived.join(own, "case_id", "left")
+        .withColumn("features", F.coalesce(supplied, F.col("features")))
+        .drop("tabular_features")
     )
 
 
-def _with_tabular(features: DataFrame, model: PipelineModel | None) -> DataFrame:
+def _with_tabular(featured: DataFrame, model: PipelineModel | None) -> DataFrame:
     values = {name: F.col("features")[name] for name in catalog.FEATURES}
     if model is None:
-        return features.withColumn("tabular_score", tabular_proxy(values))
-    wide = features.select("case_id", "features", *[v.alias(name) for name, v in values.items()])
-    scored = predict_risk(model, wide)
+        return featured.withColumn("tabular_score", tabular_proxy(values))
+    scored = predict_risk(model, featured.withColumns(values))
     bad = F.raise_error(F.concat(F.lit("case "), F.col("case_id"), F.lit(": "), F.col("reason")))
-    return scored.select(
-        "case_id", "features", F.when(F.col("reason").isNull(), F.col("probability")).otherwise(bad).alias("tabular_score")
+    score = F.when(F.col("reason").isNull(), F.col("probability")).otherwise(bad)
+    return scored.withColumn("tabular_score", score).drop(
+        "reason", "probability", "label_text", "threshold_policy", *catalog.FEATURES
     )
 
 
@@ -138,12 +139,10 @@ def score_rollup(
     rollup: DataFrame, cases: DataFrame | None = None, model: PipelineModel | None = None
 ) -> DataFrame:
     """Branch scores, fused risk, band, labels and typology probabilities, one wide row per case."""
-    labeled = materialize(labeled_cases(rollup), "case-facts")
-    stats = case_graph_stats(labeled).drop("nodes", "edges")
-    tabular = _with_tabular(case_features(labeled, cases), model)
+    featured = with_features(labeled_cases(rollup), cases)
     return (
-        labeled.join(stats, "case_id")
-        .join(tabular, "case_id")
+        _with_tabular(featured, model)
+        .withColumns(graph_columns())
         .withColumns({"sequence_score": sequence_score(), "graph_score": graph_score()})
         .withColumn("global_risk", fused_risk())
         .withColumns({PROB_COLUMNS[n]: column for n, column in typology_probs().items()})

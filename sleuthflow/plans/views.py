@@ -9,6 +9,7 @@ from sleuthflow.operators.contracts import check_ops
 from sleuthflow.operators.entity import entity_operational, operational_to_features
 from sleuthflow.operators.scoring import tabular_proxy
 from sleuthflow.session import materialize
+from sleuthflow.sources.readers import spread_if_narrow
 
 MONEY = "decimal(18,2)"
 WINDOW_HOURS = 12
@@ -22,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales as transfers from customer to supplier; refunds go the other way."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread_if_narrow(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     customer = F.concat(F.lit("C"), F.col("o_custkey").cast("string"))
     supplier = F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))
@@ -37,7 +38,7 @@ def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier ledgers: nations are the counterparties, market segments their types."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread_if_narrow(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     customers = table(spark, sf_dir, "customer")
     nations = table(spark, sf_dir, "nation")
@@ -65,7 +66,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User events as case events; some are self-transfers."""
-    return as_case_events(table(spark, sf_dir, "events"))
+    return as_case_events(spread_if_narrow(table(spark, sf_dir, "events"), "event_id"))
 
 
 def as_case_events(events: DataFrame) -> DataFrame:

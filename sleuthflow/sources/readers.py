@@ -10,7 +10,15 @@ from sleuthflow.operators.contracts import ops_reason
 from sleuthflow.operators.entity import operational_to_features
 from sleuthflow.sources import schemas
 
-REQUIRED_TX = [field.name for field in schemas.TRANSACTIONS]
+
+def spread_if_narrow(df: DataFrame, *keys: str) -> DataFrame:
+    """Redistribute a scan that has fewer splits than the cluster has cores.
+
+    One large file with a single row group (or gzip) gives one task for everything up to the next
+    shuffle. An input of many files already has enough splits and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
 def _format_of(path: str) -> str:
