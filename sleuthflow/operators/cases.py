@@ -13,6 +13,7 @@ from sleuthflow.functions.columns import at_least, clip, clip01, require_columns
 from sleuthflow.functions.ranking import top_k
 from sleuthflow.functions.skew import ROWS_PER_SLICE, attach
 from sleuthflow.operators.contracts import clamp_ops
+from sleuthflow.session import materialize
 
 GAP_SECONDS = 90
 MINUTE_US = 60_000_000
@@ -20,21 +21,33 @@ SMALL_PART = 0.35
 
 
 def case_bounds(
-    events: DataFrame, window_hours: int = 24, cases: DataFrame | None = None, key: str = "case_id"
+    events: DataFrame,
+    window_hours: int = 24,
+    cases: DataFrame | None = None,
+    key: str = "case_id",
+    error_order: str | None = None,
 ) -> DataFrame:
     """End of each case (its latest event), its row count and its window length.
 
-    `cases` may give `window_hours` per case; the argument covers cases it does not name.
+    `cases` may give `window_hours` per case; the argument covers cases it does not name. With
+    `error_order` the first `reason` of the case in that order is kept as `error`. The table has one
+    row per case and is written once, as the hot-key list, the join and the failures all read it.
     """
     if window_hours <= 0:
         raise ValueError("window_hours must be > 0.")
-    bounds = events.groupBy(key).agg(F.max("ts").alias("end_ts"), F.count("*").alias("n_rows"))
+    aggregates = [F.max("ts").alias("end_ts"), F.count("*").alias("n_rows")]
+    if error_order:
+        broken = F.when(F.col("reason").isNotNull(), F.struct(error_order, "reason"))
+        aggregates.append(F.min(broken)["reason"].alias("error"))
+    bounds = events.groupBy(key).agg(*aggregates).withColumn("window_hours", F.lit(window_hours))
     if cases is not None and "window_hours" in cases.columns:
-        own = cases.select(key, "window_hours").dropDuplicates([key])
-        return bounds.join(own, key, "left").withColumn(
-            "window_hours", F.coalesce("window_hours", F.lit(window_hours))
+        own = cases.select(key, F.col("window_hours").alias("_own")).dropDuplicates([key])
+        bounds = (
+            bounds.join(own, key, "left")
+            .withColumn("window_hours", F.coalesce("_own", "window_hours"))
+            .drop("_own")
         )
-    return bounds.withColumn("window_hours", F.lit(window_hours))
+    return materialize(bounds, "case-bounds")
 
 
 def window_events(
@@ -46,7 +59,13 @@ def window_events(
 ) -> DataFrame:
     """Events no older than `window_hours` before the end of their case (border included)."""
     require_columns(events, [key, "event_id", "ts"], "events")
-    bounds = case_bounds(events, window_hours, cases, key)
+    return within(events, case_bounds(events, window_hours, cases, key), key, rows_per_slice)
+
+
+def within(
+    events: DataFrame, bounds: DataFrame, key: str = "case_id", rows_per_slice: int = ROWS_PER_SLICE
+) -> DataFrame:
+    """Events inside the window of their case; cases without bounds drop out."""
     joined = attach(events, bounds, key, ["event_id"], rows_per_slice=rows_per_slice)
     start = F.col("end_ts") - F.make_dt_interval(F.lit(0), F.col("window_hours"))
     return joined.where(F.col("ts") >= start).drop("n_rows")

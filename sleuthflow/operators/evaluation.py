@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sleuthflow.session import materialize
+
 PREFIX = 4
 
 
@@ -11,7 +13,8 @@ def stratified_split(df: DataFrame, key: str, label: str = "label", test_share:
     """`is_test` for an exact share of every class: the first rows of a class in md5(key) order.
 
     A histogram over the first hash digits finds the digit group where the share is reached; only the
-    rows of that group are ordered. The split does not depend on partitioning or on the run.
+    rows of that group are ordered. The split does not depend on partitioning or on the run. `df` is
+    read three times, so pass a table rather than a long plan.
     """
     digest = F.md5(F.col(key).cast("string").cast("binary"))
     hashed = df.withColumn("_md5", digest).withColumn("_prefix", F.substring("_md5", 1, PREFIX))
@@ -41,7 +44,7 @@ def stratified_split(df: DataFrame, key: str, label: str = "label", test_share:
 
 def binary_metrics(scored: DataFrame, score: str = "score", label: str = "label", threshold: float = 0.5) -> DataFrame:
     """Accuracy, recall, precision, confusion counts and the area under the curve, one row."""
-    points = score_points(scored, score, label)
+    points = score_points(score_counts(scored, score, label))
     positive = F.col("score") > F.lit(threshold)
     counts = {
         "true_negatives": F.sum(F.when(~positive, F.col("fp")).otherwise(0)),
@@ -69,18 +72,21 @@ def binary_metrics(scored: DataFrame, score: str = "score", label: str = "label"
     )
 
 
-def score_points(
-    scored: DataFrame, score: str = "score", label: str = "label", buckets: int = 1024
-) -> DataFrame:
+def score_counts(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """Distinct scores with their positives and negatives, written once for the passes over them."""
+    counted = scored.groupBy(F.col(score).cast("double").alias("score")).agg(
+        F.count_if(F.col(label) == 1).alias("tp"), F.count_if(F.col(label) == 0).alias("fp")
+    )
+    return materialize(counted, "score-counts")
+
+
+def score_points(counted: DataFrame, buckets: int = 1024) -> DataFrame:
     """Distinct scores in [0, 1] with their counts and the cumulative counts from the highest score down.
 
-    Scores are counted first. The running sum is taken inside score buckets and over the bucket totals,
+    The running sum is taken inside score buckets and over the bucket totals,
     of which there are at most `buckets`, so no task orders all scores. `next_*` are the counts of the
     next lower score.
     """
-    counted = scored.groupBy(F.col(score).cast("double").alias("score")).agg(
-        F.count_if(F.col(label) == 1).alias("tp"), F.count_if(F.col(label) == 0).alias("fp")
-    )
     bucket = F.least(F.floor(F.col("score") * buckets), F.lit(buckets - 1)).cast("int")
     placed = counted.withColumn("bucket", bucket)
     down = Window.orderBy(F.desc("bucket"))
@@ -118,13 +124,12 @@ def roc_curve(
 
     `drop_collinear` leaves out a point whose neighbours lie on the same straight step.
     """
-    points = score_points(scored, score, label)
+    counted = score_counts(scored, score, label)
+    points = score_points(counted)
     if drop_collinear:
         bend = (F.col("next_tp") != F.col("tp")) | (F.col("next_fp") != F.col("fp"))
         points = points.where(F.coalesce(bend, F.lit(True)) | F.col("is_first"))
-    totals = scored.agg(
-        F.count_if(F.col(label) == 1).alias("positives"), F.count_if(F.col(label) == 0).alias("negatives")
-    )
+    totals = counted.agg(F.sum("tp").alias("positives"), F.sum("fp").alias("negatives"))
     start = totals.select(
         F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
     )

@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sleuthflow import catalog
 from sleuthflow.functions.columns import at_least, band, clip01, sigmoid
 from sleuthflow.operators.cases import (
+    case_bounds,
     case_facts,
     case_rollup,
     edges_of,
     small_parts,
     window_events,
     with_operational,
+    within,
 )
 from sleuthflow.operators.contracts import check_events
 from sleuthflow.operators.entity import feature_columns
@@ -150,16 +152,11 @@ def score_rollup(
     )
 
 
-def score_cases(
-    events: DataFrame,
-    window_hours: int = 24,
-    cases: DataFrame | None = None,
-    model: PipelineModel | None = None,
+def as_output(
+    wide: DataFrame,
     model_version: str = catalog.MODEL_VERSION,
     calibration_version: str = catalog.CALIBRATION_VERSION,
 ) -> DataFrame:
-    """Score every case of already checked events. Without a model the tabular branch uses the proxy."""
-    wide = score_rollup(rollup_of(events, window_hours, cases), cases, model)
     entries = [part for name in catalog.TYPOLOGIES for part in (F.lit(name), F.col(PROB_COLUMNS[name]))]
     return wide.select(
         "case_id",
@@ -172,16 +169,15 @@ def score_cases(
     )
 
 
-def isolate_failures(events: DataFrame, order_by: str = "pos") -> tuple[DataFrame, DataFrame]:
-    """(events of the good cases, failed cases with the error of their first bad event in input order)."""
-    checked = check_events(events)
-    failures = (
-        checked.where(F.col("reason").isNotNull())
-        .groupBy("case_id")
-        .agg(F.min(F.struct(order_by, "reason"))["reason"].alias("error"))
-    )
-    good = checked.where(F.col("reason").isNull()).drop("reason").join(failures, "case_id", "left_anti")
-    return good, failures
+def score_cases(
+    events: DataFrame,
+    window_hours: int = 24,
+    cases: DataFrame | None = None,
+    model: PipelineModel | None = None,
+    **versions: str,
+) -> DataFrame:
+    """Score every case of already checked events. Without a model the tabular branch uses the proxy."""
+    return as_output(score_rollup(rollup_of(events, window_hours, cases), cases, model), **versions)
 
 
 def score_batch(
@@ -190,20 +186,30 @@ def score_batch(
     cases: DataFrame | None = None,
     model: PipelineModel | None = None,
     order_by: str = "pos",
+    **versions: str,
 ) -> tuple[DataFrame, DataFrame]:
-    """(scores, failures): a bad event fails its case only, all others are scored."""
-    events = events.withColumn(
-        "case_id", F.coalesce(F.nullif(F.trim("case_id"), F.lit("")), F.lit("unknown-case"))
+    """(scores, failures): a bad event fails its case only, all others are scored.
+
+    The error of a case is that of its first bad event in input order. It is found in the same
+    aggregate as the end of the case, so failed cases leave with the window join and the raw events
+    are shuffled once.
+    """
+    trimmed = F.trim("case_id")
+    named = events.withColumn("case_id", F.when(trimmed != "", trimmed).otherwise(F.lit("unknown-case")))
+    checked = check_events(named)
+    bounds = case_bounds(checked, window_hours, cases, error_order=order_by)
+    hours = F.col("window_hours")
+    bad_window = F.when(hours <= 0, "window_hours must be > 0.").when(
+        hours > catalog.MAX_WINDOW_HOURS, f"window_hours must be <= {catalog.MAX_WINDOW_HOURS}."
     )
-    good, failures = isolate_failures(events, order_by)
-    if cases is not None and "events" not in cases.columns and "window_hours" in cases.columns:
-        bad_window = cases.where(F.col("window_hours") <= 0).select(
-            "case_id", F.lit("window_hours must be > 0.").alias("error")
-        )
-        wrong = bad_window.join(failures, "case_id", "left_anti")
-        good = good.join(bad_window, "case_id", "left_anti")
-        failures = failures.unionByName(wrong)
-    return score_cases(good, window_hours, cases, model), failures
+    judged = bounds.withColumn("error", F.coalesce(bad_window, F.col("error")))
+    failures = judged.where(F.col("error").isNotNull()).select("case_id", "error")
+    if cases is not None:
+        empty = cases.select("case_id").distinct().join(bounds, "case_id", "left_anti")
+        failures = failures.unionByName(empty.withColumn("error", F.lit("events cannot be empty.")))
+    good = judged.where(F.col("error").isNull()).drop("error")
+    rollup = materialize(case_rollup(within(checked.drop("reason"), good)), "case-rollup")
+    return as_output(score_rollup(rollup, cases, model), **versions), failures
 
 
 def alert_queue(scored: DataFrame, key: str, risk: str, k: int, dossier: DataFrame | None = None) -> DataFrame:

@@ -100,7 +100,7 @@ def dataset_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.stratified_split(views.labeled(spark, sf_dir), "entity_id")
+    return materialize(evaluation.stratified_split(views.labeled(spark, sf_dir), "entity_id"), "split")
 
 
 def leakage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +198,7 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def case_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of requests of which a third carries no case id on its events."""
     events = views.good_events(spark, sf_dir)
-    anonymous = F.substring_index(F.substring("case_id", 2, 20), "-", 1).cast("int") % 3 == 0
+    anonymous = F.regexp_extract("case_id", r"^c(\d+)-", 1).cast("int") % 3 == 0
     requests = events.select(
         F.col("case_id").alias("request_id"),
         "event_id",

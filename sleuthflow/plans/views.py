@@ -139,8 +139,8 @@ def _planted(rows: DataFrame) -> DataFrame:
     noise = F.conv(F.substring(F.md5(F.col("entity_id").cast("binary")), 1, 6), 16, 10).cast("double")
     score = F.round(tabular_proxy() + F.lit(0.3) * noise / F.lit(16777216.0), 6).cast("decimal(12,6)")
     planted = materialize(rows.withColumn("planted", score), "planted-labels")
-    mean = planted.agg((F.sum("planted").cast("double") / F.count("*")).alias("mean")).scalar()
-    gap = F.col("planted").cast("double") - F.round(mean, 7)
+    mean = planted.agg(F.round(F.sum("planted").cast("double") / F.count("*"), 7).alias("mean")).first()["mean"]
+    gap = F.col("planted").cast("double") - F.lit(mean)
     return planted.withColumns(
         {"label": (gap >= 0).cast("int"), "is_borderline": F.abs(gap) <= F.lit(BORDERLINE_STRIP)}
     ).drop("planted")
