@@ -126,8 +126,11 @@ def fifo_holding_time(days: DataFrame) -> DataFrame:
     used = F.when(F.col("paid_on").isNotNull() & (F.col("length") > 0), F.col("length"))
     age = F.greatest(F.lit(1), F.col("paid_on") - F.col("fed_by"))
     average_age = F.sum(used * age) / F.sum(used)
-    return pieces.groupBy("company_id").agg(
-        F.coalesce(F.round(F.greatest(average_age, F.lit(1.0)), 1), F.lit(NO_HOLDING_DAYS)).alias("avg_holding_time")
+    return pieces.groupBy("company_id").agg(average_age.alias("age")).select(
+        "company_id",
+        F.when(F.col("age").isNull(), F.lit(NO_HOLDING_DAYS))
+        .otherwise(F.round(F.greatest("age", F.lit(1.0)), 1))
+        .alias("avg_holding_time"),
     )
 
 

@@ -11,6 +11,9 @@ from sleuthflow.operators.entity import operational_to_features
 from sleuthflow.sources import schemas
 
 
+HEADER_LINES = 1000
+
+
 def spread_if_narrow(df: DataFrame, *keys: str) -> DataFrame:
     """Redistribute a scan that has fewer splits than the cluster has cores.
 
@@ -29,11 +32,15 @@ def _format_of(path: str) -> str:
 
 
 def _columns(spark: SparkSession, path: str, multiline: bool) -> list[str]:
-    """Column names as the file states them (CSV header, or the keys of a JSON sample)."""
+    """Column names as the file states them: the CSV header, or the keys in the first JSON lines."""
     if _format_of(path) == "csv":
         return spark.read.csv(path, header=True).columns
     if _format_of(path) == "json":
-        return spark.read.json(path, multiLine=multiline, samplingRatio=0.001 if not multiline else 1.0).columns
+        if multiline:
+            return spark.read.json(path, multiLine=True).columns
+        first = spark.read.text(path).limit(HEADER_LINES)
+        keys = first.select(F.explode(F.json_object_keys("value")).alias("name")).distinct()
+        return sorted(row["name"] for row in keys.collect())
     return spark.read.parquet(path).columns
 
 
