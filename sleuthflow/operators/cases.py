@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sleuthflow import catalog
 from sleuthflow.functions.columns import at_least, clip, clip01, require_columns
+from sleuthflow.functions.money import minor_units
 from sleuthflow.functions.ranking import top_k
 from sleuthflow.functions.skew import ROWS_PER_SLICE, attach
 from sleuthflow.operators.contracts import clamp_ops
@@ -97,17 +98,20 @@ def case_windows(windowed: DataFrame, key: str = "case_id", event_case_id: str |
 
 
 def case_rollup(windowed: DataFrame) -> DataFrame:
-    """Grouping sets by edge, by minute and by amount in one pass; `facet` names the set of a row."""
-    money = windowed.schema["amount"].dataType
+    """Grouping sets by edge, by minute and by amount in one pass; `facet` names the set of a row.
+
+    Amounts are in minor units, `per_one` of them to 1.
+    """
+    units, per_one = minor_units(windowed, "amount")
     micros = F.unix_micros("ts")
     prepared = windowed.select(
         "case_id",
         "sender_id",
         "receiver_id",
         F.floor(micros / F.lit(MINUTE_US)).alias("minute"),
-        F.col("amount").alias("amount_key"),
-        "amount",
-        F.when(F.col("sender_type").isin(catalog.PAYER_TYPES), F.col("amount")).otherwise(F.lit(0).cast(money)).alias("payout"),
+        units.alias("amount_key"),
+        units.alias("units"),
+        F.when(F.col("sender_type").isin(catalog.PAYER_TYPES), units).otherwise(F.lit(0)).alias("payout"),
         (F.col("channel") == "crypto").cast("int").alias("is_crypto"),
         micros.alias("us"),
         "window_hours",
@@ -121,12 +125,13 @@ def case_rollup(windowed: DataFrame) -> DataFrame:
     ).agg(
         facet.alias("facet"),
         F.count("*").alias("n"),
-        F.sum("amount").alias("total"),
+        F.sum("units").alias("total"),
         F.sum("payout").alias("payouts"),
         F.sum("is_crypto").alias("n_crypto"),
         F.min("us").alias("first_us"),
         F.max("us").alias("last_us"),
         F.max("window_hours").alias("window_hours"),
+        F.lit(per_one).alias("per_one"),
     )
 
 
@@ -196,6 +201,7 @@ def parties_of(edges: DataFrame) -> DataFrame:
         F.lit(1).alias("out_degree"),
         zero.alias("in_degree"),
         zero.cast("bigint").alias("crypto_received"),
+        "per_one",
     )
     receiver = F.struct(
         F.col("receiver_id").alias("node"),
@@ -206,12 +212,13 @@ def parties_of(edges: DataFrame) -> DataFrame:
         zero.alias("out_degree"),
         F.lit(1).alias("in_degree"),
         F.col("n_crypto").alias("crypto_received"),
+        "per_one",
     )
     values = ["n_sent", "sent", "payouts", "crypto_sent", "out_degree", "in_degree", "crypto_received"]
     return (
         edges.select("case_id", F.inline(F.array(sender, receiver)))
         .groupBy("case_id", "node")
-        .agg(*[F.sum(v).alias(v) for v in values])
+        .agg(*[F.sum(v).alias(v) for v in values], F.max("per_one").alias("per_one"))
     )
 
 
@@ -219,8 +226,8 @@ def case_totals(parties: DataFrame) -> DataFrame:
     """Everything about a case that sums over its parties."""
     return parties.groupBy("case_id").agg(
         F.sum("n_sent").alias("events"),
-        F.sum("sent").cast("double").alias("amount_total"),
-        F.sum("payouts").cast("double").alias("amount_paid"),
+        (F.sum("sent").cast("double") / F.max("per_one")).alias("amount_total"),
+        (F.sum("payouts").cast("double") / F.max("per_one")).alias("amount_paid"),
         F.sum("crypto_sent").alias("crypto_events"),
         F.count("*").alias("nodes"),
         F.count_if(F.col("out_degree") > 0).alias("senders"),
@@ -235,7 +242,8 @@ def top_senders(parties: DataFrame) -> DataFrame:
     sending = parties.where(F.col("out_degree") > 0)
     ranked = top_k(sending, ["case_id"], [F.desc("sent"), F.asc("node")], 10)
     return ranked.groupBy("case_id").agg(
-        F.max("sent").cast("double").alias("top1"), F.sum("sent").cast("double").alias("top10")
+        (F.max("sent").cast("double") / F.max("per_one")).alias("top1"),
+        (F.sum("sent").cast("double") / F.max("per_one")).alias("top10"),
     )
 
 

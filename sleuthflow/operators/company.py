@@ -6,10 +6,11 @@ in the same pass, and every metric below works on those small tables.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sleuthflow import catalog
 from sleuthflow.functions.columns import at_least, band, clip01, require_columns, share
+from sleuthflow.functions.money import in_money, minor_units
 from sleuthflow.functions.ranking import top_k
 from sleuthflow.session import materialize
 
@@ -41,20 +42,28 @@ def _flow(direction: str, kind: str | None = None) -> Column:
     wanted = F.col("direction") == direction
     if kind:
         wanted = wanted & (F.col("counterparty_type") == kind)
-    return F.coalesce(F.sum(F.when(wanted, F.col("amount"))), F.lit(0))
+    return F.sum(F.when(wanted, F.col("units")).otherwise(F.lit(0)))
 
 
-def ledger_rollup(ledger: DataFrame) -> DataFrame:
-    """Grouping sets (company, day) and (company, counterparty); `by_day` tells which one a row is."""
+def _in_units(ledger: DataFrame) -> tuple[DataFrame, float]:
     require_columns(ledger, LEDGER_COLUMNS, "company ledger")
-    dated = ledger.withColumn("day", F.to_date("timestamp"))
-    return dated.groupingSets(
+    units, per_one = minor_units(ledger, "amount")
+    return ledger.withColumns({"units": F.coalesce(units, F.lit(0)), "day": F.to_date("timestamp")}), per_one
+
+
+def ledger_rollup(ledger: DataFrame) -> DataFrame:
+    """Grouping sets (company, day) and (company, counterparty); `by_day` tells which one a row is.
+
+    Amounts are summed in minor units; `per_one` says how many of them make 1.
+    """
+    prepared, per_one = _in_units(ledger)
+    return prepared.groupingSets(
         [["company_id", "day"], ["company_id", "counterparty_name"]], "company_id", "day", "counterparty_name"
     ).agg(
         (F.grouping("counterparty_name") == 1).alias("by_day"),
         _flow("in").alias("inflow"),
         _flow("out").alias("outflow"),
-        F.sum("amount").alias("volume"),
+        F.sum("units").alias("volume"),
         _flow("in", "exchange").alias("crypto_in"),
         _flow("out", "exchange").alias("crypto_out"),
         _flow("in", "physical").alias("physical_in"),
@@ -62,6 +71,7 @@ def ledger_rollup(ledger: DataFrame) -> DataFrame:
         F.count("*").alias("n"),
         F.count_if(F.col("direction") == "in").alias("n_in"),
         F.count_if(F.col("direction") == "out").alias("n_out"),
+        F.lit(per_one).alias("per_one"),
     )
 
 
@@ -73,22 +83,19 @@ def counterparties_of(rollup: DataFrame) -> DataFrame:
     return rollup.where(~F.col("by_day")).drop("by_day", "day")
 
 
-def daily_flow(ledger: DataFrame) -> DataFrame:
-    """In and out per company and day; a direction without rows is 0."""
-    require_columns(ledger, LEDGER_COLUMNS, "company ledger")
-    return (
-        ledger.groupBy("company_id", F.to_date("timestamp").alias("day"))
-        .agg(_flow("in").alias("inflow"), _flow("out").alias("outflow"), F.sum("amount").alias("volume"))
+def ledger_days(ledger: DataFrame) -> DataFrame:
+    """In, out and volume per company and day in minor units, for measures that need ratios only."""
+    prepared, _ = _in_units(ledger)
+    return prepared.groupBy("company_id", "day").agg(
+        _flow("in").alias("inflow"), _flow("out").alias("outflow"), F.sum("units").alias("volume")
     )
 
 
-def _minor_units(df: DataFrame, name: str) -> Column:
-    """Money as whole minor units where its type is an exact decimal, else as it is. Running sums of longs
-    are far cheaper than those of wide decimals and as exact; an overflow raises an error."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.DecimalType) and kind.scale <= 4:
-        return (F.col(name) * F.lit(10**kind.scale)).cast("bigint")
-    return F.col(name)
+def daily_flow(ledger: DataFrame) -> DataFrame:
+    """In and out per company and day; a direction without rows is 0."""
+    prepared, per_one = _in_units(ledger)
+    flows = prepared.groupBy("company_id", "day").agg(_flow("in").alias("inflow"), _flow("out").alias("outflow"))
+    return flows.select("company_id", "day", *[in_money(F.col(c), per_one).alias(c) for c in ("inflow", "outflow")])
 
 
 def fifo_holding_time(days: DataFrame) -> DataFrame:
@@ -101,9 +108,8 @@ def fifo_holding_time(days: DataFrame) -> DataFrame:
     """
     by_day = Window.partitionBy("company_id").orderBy("day")
     so_far = by_day.rowsBetween(Window.unboundedPreceding, 0)
-    money = {name: _minor_units(days, name) for name in ("inflow", "outflow")}
     balances = (
-        days.select("company_id", "day", *[column.alias(name) for name, column in money.items()])
+        days.select("company_id", "day", "inflow", "outflow")
         .withColumn("day_no", F.row_number().over(by_day))
         .withColumn("balance", F.sum(F.col("inflow") - F.col("outflow")).over(so_far))
         .withColumn("held", F.col("balance") - F.least(F.lit(0), F.min("balance").over(so_far)))
@@ -116,10 +122,11 @@ def fifo_holding_time(days: DataFrame) -> DataFrame:
     out_point = F.struct(F.col("out_end").alias("pos"), no_day.alias("in_day"), F.col("day_no").alias("out_day"))
     both = F.array(F.when(F.col("inflow") > 0, in_point), F.when(F.col("matched") > 0, out_point))
     points = balances.select("company_id", F.inline_outer(F.array_compact(both)))
-    along = Window.partitionBy("company_id").orderBy("pos")
-    ahead = along.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    # From the far end of the axis, so that the frames grow and each row is added once.
+    backward = Window.partitionBy("company_id").orderBy(F.desc("pos"))
+    ahead = backward.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     pieces = (
-        points.withColumn("length", (F.col("pos") - F.coalesce(F.lag("pos").over(along), F.lit(0))).cast("double"))
+        points.withColumn("length", (F.col("pos") - F.coalesce(F.lead("pos").over(backward), F.lit(0))).cast("double"))
         .withColumn("fed_by", F.min("in_day").over(ahead))
         .withColumn("paid_on", F.min("out_day").over(ahead))
     )
@@ -159,9 +166,11 @@ def flow_entropy(days: DataFrame) -> DataFrame:
 
 
 def core_metrics(counterparties: DataFrame) -> DataFrame:
-    sums = ("inflow", "outflow", "crypto_in", "crypto_out", "physical_in", "legal_in", "n", "n_in", "n_out")
+    money = ("inflow", "outflow", "crypto_in", "crypto_out", "physical_in", "legal_in")
+    per_one = F.max("per_one")
     totals = counterparties.groupBy("company_id").agg(
-        *[F.sum(c).cast("double").alias(c) for c in sums],
+        *[(F.sum(c).cast("double") / per_one).alias(c) for c in money],
+        *[F.sum(c).cast("double").alias(c) for c in ("n", "n_in", "n_out")],
         F.count("counterparty_name").cast("double").alias("unique_counterparties"),
     )
     c = F.col
@@ -216,11 +225,11 @@ def counterparty_network(ledger: DataFrame, k: int = 12, merge_types: bool = Fal
     A counterparty seen under several types keeps one edge per type; with `merge_types` only the edge of
     its last type (by name) is kept.
     """
-    require_columns(ledger, LEDGER_COLUMNS, "company ledger")
+    prepared, per_one = _in_units(ledger)
     flows = materialize(
-        ledger.where(F.col("counterparty_name").isNotNull())
+        prepared.where(F.col("counterparty_name").isNotNull())
         .groupBy("company_id", "counterparty_name", "counterparty_type", "direction")
-        .agg(F.sum("amount").alias("volume"), F.count("amount").alias("tx_count")),
+        .agg(F.sum("units").alias("volume"), F.count("amount").alias("tx_count")),
         "counterparty-flows",
     )
     totals = flows.groupBy("company_id", "counterparty_name").agg(F.sum("volume").alias("total"))
@@ -238,7 +247,7 @@ def counterparty_network(ledger: DataFrame, k: int = 12, merge_types: bool = Fal
         "counterparty_type",
         F.when(inward, F.col("counterparty_name")).otherwise(F.col("company_id").cast("string")).alias("src"),
         F.when(inward, F.col("company_id").cast("string")).otherwise(F.col("counterparty_name")).alias("dst"),
-        F.col("volume").cast("double").alias("volume"),
+        in_money(F.col("volume"), per_one).alias("volume"),
         "tx_count",
         (F.lit(0.5) + F.lit(3.0) * F.col("volume").cast("double") / widest).alias("width"),
     )

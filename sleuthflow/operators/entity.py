@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sleuthflow import catalog
 from sleuthflow.functions.columns import at_least, clip, require_columns, share
+from sleuthflow.functions.money import minor_units
 from sleuthflow.functions.ranking import top_k
 from sleuthflow.session import materialize
 
@@ -17,13 +18,16 @@ def counterparty_totals(tx: DataFrame) -> DataFrame:
     """One row per (entity, counterparty). Every transfer is read once and gives a leg to each end.
 
     A self-transfer is money in and money out but one transfer, so only its inflow leg is counted.
+    Flows are in minor units, `per_one` of them to 1.
     """
     require_columns(tx, TX_COLUMNS, "transaction log")
-    zero = F.lit(0).cast(tx.schema["amount"].dataType)
+    units, per_one = minor_units(tx, "amount")
+    prepared = tx.select("sender_id", "receiver_id", F.coalesce(units, F.lit(0)).alias("units"))
+    zero = F.lit(0).cast(prepared.schema["units"].dataType)
     inflow = F.struct(
         F.col("receiver_id").alias("entity_id"),
         F.col("sender_id").alias("counterparty_id"),
-        F.col("amount").alias("inflow"),
+        F.col("units").alias("inflow"),
         zero.alias("outflow"),
         F.lit(1).alias("n_tx"),
         F.lit(1).alias("n_in"),
@@ -32,30 +36,30 @@ def counterparty_totals(tx: DataFrame) -> DataFrame:
         F.col("sender_id").alias("entity_id"),
         F.col("receiver_id").alias("counterparty_id"),
         zero.alias("inflow"),
-        F.col("amount").alias("outflow"),
+        F.col("units").alias("outflow"),
         F.when(F.col("sender_id") == F.col("receiver_id"), 0).otherwise(1).alias("n_tx"),
         F.lit(0).alias("n_in"),
     )
     return (
-        tx.select(F.inline(F.array(inflow, outflow)))
+        prepared.select(F.inline(F.array(inflow, outflow)))
         .where(F.col("entity_id").isNotNull())
         .groupBy("entity_id", "counterparty_id")
-        .agg(*[F.sum(c).alias(c) for c in ("inflow", "outflow", "n_tx", "n_in")])
+        .agg(*[F.sum(c).alias(c) for c in ("inflow", "outflow", "n_tx", "n_in")], F.lit(per_one).alias("per_one"))
     )
 
 
 def sender_concentration(totals: DataFrame) -> DataFrame:
     """Share of the largest and of the ten largest senders in an entity's inflow."""
     senders = totals.where(F.col("n_in") > 0)
-    incoming = senders.groupBy("entity_id").agg(F.sum("inflow").alias("incoming_funds"))
+    incoming = senders.groupBy("entity_id").agg(F.sum("inflow").alias("incoming"), F.max("per_one").alias("per_one"))
     named = senders.where(F.col("counterparty_id").isNotNull())
     ranked = top_k(named, ["entity_id"], [F.desc("inflow"), F.asc("counterparty_id")], 10)
     tops = ranked.groupBy("entity_id").agg(F.max("inflow").alias("top1"), F.sum("inflow").alias("top10"))
     return incoming.join(tops, "entity_id", "left").select(
         "entity_id",
-        F.col("incoming_funds").cast("double").alias("incoming_funds"),
-        F.coalesce(share(F.col("top1"), F.col("incoming_funds")), F.lit(0.0)).alias("top1_wallet_share"),
-        F.coalesce(share(F.col("top10"), F.col("incoming_funds")), F.lit(0.0)).alias("top10_wallet_share"),
+        (F.col("incoming").cast("double") / F.col("per_one")).alias("incoming_funds"),
+        F.coalesce(share(F.col("top1"), F.col("incoming")), F.lit(0.0)).alias("top1_wallet_share"),
+        F.coalesce(share(F.col("top10"), F.col("incoming")), F.lit(0.0)).alias("top10_wallet_share"),
     )
 
 
@@ -80,7 +84,7 @@ def entity_operational(tx: DataFrame) -> DataFrame:
         F.sum("n_tx").cast("double").alias("tx_count_total"),
         (F.count_if(other) + 1).cast("double").alias("unique_counterparties"),
         F.count_if(F.col("n_in") > 0).alias("_senders"),
-        F.coalesce(F.sum("outflow").cast("double"), F.lit(0.0)).alias("payouts_total"),
+        (F.sum("outflow").cast("double") / F.max("per_one")).alias("payouts_total"),
     )
     clients = F.when(F.col("_senders") > 0, F.col("_senders")).otherwise(NO_INFLOW_CLIENTS)
     return (

@@ -141,7 +141,7 @@ def company_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fifo_holding_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return company.fifo_holding_time(company.daily_flow(views.ledger(spark, sf_dir)))
+    return company.fifo_holding_time(company.ledger_days(views.ledger(spark, sf_dir)))
 
 
 def company_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,13 +150,12 @@ def company_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flow_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return company.flow_entropy(company.daily_flow(views.ledger(spark, sf_dir)))
+    return company.flow_entropy(company.ledger_days(views.ledger(spark, sf_dir)))
 
 
 def daily_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     flows = company.daily_flow(views.ledger(spark, sf_dir))
-    money = [F.col(c).cast("double").alias(c) for c in ("inflow", "outflow")]
-    return flows.select("company_id", F.date_format("day", "yyyy-MM-dd").alias("day"), *money)
+    return flows.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 def inflow_structure(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,7 +53,7 @@ def queue_holding_time(rows):
 def test_holding_time_matches_a_queue(spark, money):
     rows = random_ledger(11, companies=25)
     ledger = spark.createDataFrame(rows, SCHEMA).withColumn("amount", F.col("amount").cast(money))
-    found = {r.company_id: r.avg_holding_time for r in company.fifo_holding_time(company.daily_flow(ledger)).collect()}
+    found = {r.company_id: r.avg_holding_time for r in company.fifo_holding_time(company.ledger_days(ledger)).collect()}
     for c in {r[0] for r in rows}:
         assert found[c] == pytest.approx(queue_holding_time([r for r in rows if r[0] == c]), abs=0.1001), c
 
