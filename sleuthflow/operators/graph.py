@@ -58,16 +58,23 @@ def components_of(links: Column) -> Column:
 
 
 def walk_depth_of(links: Column, cap: int = MAX_WALK) -> Column:
-    """Longest walk, at most `cap`: how often the set of reached nodes can step on before it is empty."""
-    start = F.struct(_nodes(links).alias("front"), F.lit(0).alias("depth"))
+    """Longest walk, at most `cap`: how often the set of reached nodes can step on before it is empty.
+
+    Each step counts the set it starts from, which spares computing the next set twice; the first count
+    is for the start itself and is taken off at the end.
+    """
+    start = F.struct(_nodes(links).alias("front"), F.lit(-1).alias("depth"))
+
+    def counted(state: Column) -> Column:
+        return state["depth"] + (F.size(state["front"]) > 0).cast("int")
 
     def step(state: Column, _: Column) -> Column:
         onward = F.filter(links, lambda e: F.array_contains(state["front"], e["src"]))
         front = F.array_distinct(F.transform(onward, lambda e: e["dst"]))
-        return F.struct(front.alias("front"), (state["depth"] + (F.size(front) > 0).cast("int")).alias("depth"))
+        return F.struct(front.alias("front"), counted(state).alias("depth"))
 
     steps = F.sequence(F.lit(1), F.lit(cap))
-    return F.greatest(F.aggregate(steps, start, step, lambda s: s["depth"]), F.lit(1))
+    return F.greatest(F.aggregate(steps, start, step, counted), F.lit(1))
 
 
 def _large_edges(edges: DataFrame, limit: int) -> DataFrame | None:

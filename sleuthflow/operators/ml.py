@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sleuthflow import catalog
 from sleuthflow.functions.columns import band
@@ -88,17 +88,12 @@ def feature_importances(model: PipelineModel, top: int | None = None) -> DataFra
     weights = [float(w) for w in booster.featureImportances.toArray()]
     total = sum(weights)
     rows = [(n, w / total if total > 0 else w) for n, w in zip(names, weights)]
-    table = booster_session(model).createDataFrame(rows, "feature string, importance double")
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    table = spark.createDataFrame(rows, "feature string, importance double")
     ranked = table.orderBy(F.desc("importance"), F.asc("feature"))
     return ranked.limit(top) if top else ranked
 
 
-def booster_session(model: PipelineModel):
-    from pyspark.sql import SparkSession
-
-    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
-
-
 @dataclass
 class PopulationMap:
     """Fitted scaler and two principal components, with signs and scale fixed."""

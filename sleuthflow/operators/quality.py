@@ -17,15 +17,25 @@ def _bound(which: int) -> Column:
     return F.create_map(*pairs)[F.col("feature")]
 
 
-def class_overlap(df: DataFrame) -> DataFrame:
-    """Overlap of the 5%..95% ranges of the two classes over their joint span, per feature."""
+def class_overlap(df: DataFrame, approximate: bool = False) -> DataFrame:
+    """Overlap of the 5%..95% ranges of the two classes over their joint span, per feature.
+
+    Quantiles are exact with linear interpolation; `approximate` takes sketches instead.
+    """
     require_columns(df, [*catalog.FEATURES, "label"], "dataset")
     long = df.select("label", *[F.col(c).cast("double") for c in catalog.FEATURES]).unpivot(
         "label", catalog.FEATURES, "feature", "value"
     )
-    quantiles = exact_quantiles(
-        long.where(is_finite(F.col("value"))), ["feature", "label"], "value", [LOW_P, HIGH_P], _bound(0), _bound(1)
-    )
+    finite = long.where(is_finite(F.col("value")))
+    if approximate:
+        sketch = F.percentile_approx("value", [LOW_P, HIGH_P])
+        quantiles = finite.groupBy("feature", "label").agg(sketch.alias("q")).select(
+            "feature", "label", F.posexplode("q").alias("_at", "q")
+        ).withColumn("p", F.when(F.col("_at") == 0, F.lit(LOW_P)).otherwise(F.lit(HIGH_P)))
+    else:
+        quantiles = exact_quantiles(
+            finite, ["feature", "label"], "value", [LOW_P, HIGH_P], _bound(0), _bound(1)
+        )
 
     def at(label: int, p: float) -> Column:
         return F.max(F.when((F.col("label") == label) & (F.col("p") == p), F.col("q")))

@@ -12,7 +12,11 @@ from sleuthflow.operators.contracts import check_events
 
 
 def good_events(stream: DataFrame, lateness: str) -> DataFrame:
-    """Checked events of a stream, each event id once within the lateness allowed."""
+    """Checked events of a stream, each event id once within the lateness allowed.
+
+    An event older than the watermark is late and is dropped; the progress of the query counts them
+    (`numRowsDroppedByWatermark`).
+    """
     checked = check_events(stream)
     return (
         checked.where(F.col("reason").isNull())

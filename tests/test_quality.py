@@ -56,6 +56,13 @@ def test_gate_passes_a_good_population(spark):
     assert [c for c, r in report.items() if not r.ok] == []
 
 
+def test_overlap_by_sketch_is_close(spark):
+    rows = population(spark)
+    exact = {r.feature: r.overlap_ratio for r in quality.class_overlap(rows).collect()}
+    rough = {r.feature: r.overlap_ratio for r in quality.class_overlap(rows, approximate=True).collect()}
+    assert rough == pytest.approx(exact, abs=0.05)
+
+
 def test_gate_reports_each_fault(spark):
     good = population(spark)
     bad = good.withColumn("growth_rate", F.when(F.col("entity_id") == "e0", F.lit(float("nan"))).otherwise(F.col("growth_rate")))

@@ -25,3 +25,12 @@ def db(sf_dir):
 @pytest.mark.parametrize("name", CHECKED)
 def test_query_equals_its_check(spark, db, sf_dir, name):
     assert check.compare(spark, db, sf_dir, name).startswith("ok rows=")
+
+
+@pytest.mark.parametrize("name", sorted(set(entry_module.queries()) - set(CHECKED)))
+def test_query_without_a_check_gives_rows(spark, sf_dir, name):
+    assert entry_module.queries()[name](spark, sf_dir).count() > 0
+
+
+def test_flagship(spark):
+    assert entry_module.entry(spark).count() > 0
