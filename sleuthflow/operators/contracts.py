@@ -33,13 +33,18 @@ def normalize_events(events: DataFrame) -> DataFrame:
     return events.withColumns(cleaned)
 
 
+def _missing(names: list[str], message: str) -> tuple[Column, Column]:
+    """Rule: some of `names` are NULL; its message lists them."""
+    absent = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in names]))
+    return F.size(absent) > 0, F.concat(F.lit(message + ": ['"), F.concat_ws("', '", absent), F.lit("']"))
+
+
 def event_reason() -> Column:
     """First broken rule of a normalised event, in the fixed order of the contract."""
     empty = {c: (F.col(c) == "") for c in catalog.EVENT_FIELDS if c not in ("ts", "amount")}
-    absent = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in sorted(catalog.EVENT_FIELDS)]))
     return first_failure(
         [
-            (F.size(absent) > 0, F.concat(F.lit("Missing event fields: "), F.concat_ws(", ", absent))),
+            _missing(sorted(catalog.EVENT_FIELDS), "Missing event fields"),
             (empty["event_id"], "event_id must be non-empty."),
             (F.isnan(F.col("amount").cast("double")) | (F.col("amount") <= 0), "amount must be > 0."),
             (empty["sender_id"] | empty["receiver_id"], "sender_id and receiver_id must be non-empty."),
@@ -62,7 +67,7 @@ def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where(F.col("reason").isNull()).drop("reason"), checked.where(F.col("reason").isNotNull())
 
 
-def _range_rules(bounds: dict[str, tuple[float, float]], noun: str) -> list[tuple[Column, str]]:
+def _range_rules(bounds: dict[str, tuple[float, float]], noun: str) -> list[tuple[Column, str | Column]]:
     return [
         (outside(F.col(name), low, high), f"{noun} '{name}' out of range [{low}, {high}]")
         for name, (low, high) in bounds.items()
@@ -70,7 +75,8 @@ def _range_rules(bounds: dict[str, tuple[float, float]], noun: str) -> list[tupl
 
 
 def ops_reason() -> Column:
-    rules = _range_rules(catalog.OPERATIONAL_BOUNDS, "Operational field")
+    rules = [_missing(catalog.OPERATIONAL, "Missing operational fields")]
+    rules += _range_rules(catalog.OPERATIONAL_BOUNDS, "Operational field")
     rules += [
         (
             F.col("referred_clients_current") > F.col("new_clients_current"),
@@ -97,4 +103,5 @@ def clamp_ops(ops: DataFrame) -> DataFrame:
 
 def check_features(features: DataFrame) -> DataFrame:
     require_columns(features, catalog.FEATURES, "features")
-    return features.withColumn("reason", first_failure(_range_rules(catalog.FEATURE_BOUNDS, "Feature")))
+    rules = [_missing(catalog.FEATURES, "Missing features"), *_range_rules(catalog.FEATURE_BOUNDS, "Feature")]
+    return features.withColumn("reason", first_failure(rules))

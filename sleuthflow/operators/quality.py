@@ -130,13 +130,3 @@ def leakage_check(train: DataFrame, test: DataFrame, key: str, feature_names: li
         .unionByName(bad.select(F.lit("label_in_features").alias("check"), F.col("leaked").alias("value")))
     )
     return rows.withColumn("ok", F.col("value") == 0)
-
-
-def catalog_ranges(features: DataFrame) -> DataFrame:
-    """Every feature with its catalog bounds and the smallest and largest value seen."""
-    long = features.select(*[F.col(c).cast("double") for c in catalog.FEATURES]).unpivot(
-        [], catalog.FEATURES, "feature", "value"
-    )
-    return long.groupBy("feature").agg(F.min("value").alias("seen_low"), F.max("value").alias("seen_high")).select(
-        "feature", _bound(0).alias("low"), _bound(1).alias("high"), "seen_low", "seen_high"
-    )

@@ -17,7 +17,7 @@ from sleuthflow.operators.cases import (
     with_operational,
     within,
 )
-from sleuthflow.operators.contracts import check_events
+from sleuthflow.operators.contracts import check_events, check_features
 from sleuthflow.operators.entity import feature_columns
 from sleuthflow.operators.graph import case_shape, graph_columns
 from sleuthflow.operators.ml import predict_risk
@@ -180,6 +180,14 @@ def score_cases(
     return as_output(score_rollup(rollup_of(events, window_hours, cases), cases, model), **versions)
 
 
+def _bad_features(cases: DataFrame) -> DataFrame:
+    """Cases whose supplied features a model would refuse, with the reason."""
+    given = cases.where(F.size("tabular_features") > 0).dropDuplicates(["case_id"])
+    wide = given.select("case_id", *[F.col("tabular_features")[n].alias(n) for n in catalog.FEATURES])
+    bad = check_features(wide).where(F.col("reason").isNotNull())
+    return bad.select("case_id", F.col("reason").alias("feature_error"))
+
+
 def score_batch(
     events: DataFrame,
     window_hours: int = 24,
@@ -203,6 +211,12 @@ def score_batch(
         hours > catalog.MAX_WINDOW_HOURS, f"window_hours must be <= {catalog.MAX_WINDOW_HOURS}."
     )
     judged = bounds.withColumn("error", F.coalesce(bad_window, F.col("error")))
+    if model is not None and cases is not None and "tabular_features" in cases.columns:
+        judged = (
+            judged.join(_bad_features(cases), "case_id", "left")
+            .withColumn("error", F.coalesce("error", "feature_error"))
+            .drop("feature_error")
+        )
     failures = judged.where(F.col("error").isNotNull()).select("case_id", "error")
     if cases is not None:
         empty = cases.select("case_id").distinct().join(bounds, "case_id", "left_anti")

@@ -732,9 +732,13 @@ ORACLES: dict[str, str] = {
     "risk_catalog": _with(
         "feat",
         " UNION ALL ".join(
-            f"SELECT '{n}' AS feature, {_d(low)} AS low, {_d(high)} AS high, round(min({n}), 6) AS seen_low, "
-            f"round(max({n}), 6) AS seen_high FROM feat"
-            for n, (low, high) in catalog.FEATURE_BOUNDS.items()
+            f"SELECT '{kind}' AS kind, '{n}' AS name, {_d(low)} AS low, {_d(high)} AS high, round(min({n}), 6) AS seen_low, "
+            f"round(max({n}), 6) AS seen_high FROM {source}"
+            for kind, source, bounds in (
+                ("feature", "feat", catalog.FEATURE_BOUNDS),
+                ("operational", "ops", catalog.OPERATIONAL_BOUNDS),
+            )
+            for n, (low, high) in bounds.items()
         ),
     ),
 }

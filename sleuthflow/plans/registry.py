@@ -11,7 +11,7 @@ from sleuthflow.operators import cases, company, contracts, entity, evaluation,
 from sleuthflow.operators.findings import company_findings
 from sleuthflow.plans import views
 from sleuthflow.session import configure, materialize, scratch_path
-from sleuthflow.sources import readers, sinks
+from sleuthflow.sources import catalogs, readers, sinks
 from sleuthflow.streaming.case_stream import TrailingCases, good_events
 
 DIGITS = 6
@@ -404,8 +404,10 @@ def roc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def risk_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feature bounds next to the range seen in the data."""
-    return quality.catalog_ranges(views.features(spark, sf_dir))
+    """Bounds of facts and features next to the range seen in the data."""
+    ops = materialize(views.operational(spark, sf_dir), "operational")
+    wide = entity.operational_to_features(ops, keep=[])
+    return catalogs.seen_ranges(ops, "operational").unionByName(catalogs.seen_ranges(wide, "feature"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

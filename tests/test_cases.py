@@ -4,6 +4,7 @@ from datetime import timedelta
 import pytest
 from samples import NOON, chain_case, event, events_frame
 
+from sleuthflow import catalog
 from sleuthflow.operators import cases, contracts, explain, scoring
 
 CASE_OK = [event("case-ok", i, NOON + timedelta(minutes=i), f"S{i}", f"R{i}") for i in range(4)]
@@ -26,7 +27,7 @@ def test_normalisation_and_first_failure(spark):
         "sender_id and receiver_id must be different.",
         "amount must be > 0.",
         "event_id must be non-empty.",
-        "Missing event fields: sender_id",
+        "Missing event fields: ['sender_id']",
         "amount must be > 0.",
     ]
     good, bad = contracts.split(contracts.check_events(events_frame(spark, rows)))
@@ -160,6 +161,23 @@ def test_supplied_features_replace_the_derived_ones(spark):
     assert [(f.name, f.value) for f in told["case-v2"].tabular_factors] == [("custom", -7.0), ("growth_rate", 1.0)]
 
 
+def test_batch_isolates_bad_supplied_features(spark):
+    from test_quality import population
+
+    from sleuthflow.operators import ml
+
+    model = ml.train_risk_model(population(spark, 60), trees=1)
+    rows = [event(c, i, NOON + timedelta(minutes=i), f"S{i}", f"R{i}") for c in ("a", "b", "c") for i in range(2)]
+    legal = {n: low for n, (low, _) in catalog.FEATURE_BOUNDS.items()}
+    given = [("a", legal), ("b", {**legal, "growth_rate": 7.0}), ("c", {"growth_rate": 1.0})]
+    requested = spark.createDataFrame(given, "case_id string, tabular_features map<string, double>")
+    scores, failures = scoring.score_batch(events_frame(spark, rows), cases=requested, model=model)
+    assert [r.case_id for r in scores.collect()] == ["a"]
+    errors = {r.case_id: r.error for r in failures.collect()}
+    assert errors["b"] == "Feature 'growth_rate' out of range [0.0, 1.2]"
+    assert errors["c"].startswith("Missing features: ['referral_ratio', ")
+
+
 def test_batch_isolates_failures(spark):
     bad = [
         event("case-fail", 0, NOON, "A", "B"),

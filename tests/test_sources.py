@@ -114,3 +114,12 @@ def test_scratch_follows_the_session_setting(spark, tmp_path, monkeypatch):
     session.materialize(spark.range(3), "t")
     assert any(p.name.startswith("t-") for p in tmp_path.glob("*/*"))
     spark.conf.unset("sleuthflow.test.dir")
+
+
+def test_catalog_tables(spark):
+    from sleuthflow.sources import catalogs
+
+    assert catalogs.bounds_table(spark).count() == 21
+    assert [r.typology for r in catalogs.typologies_table(spark).orderBy("place").collect()] == catalog.TYPOLOGIES
+    assert catalogs.thresholds_table(spark).where("scale = 'case' and band = 'HIGH'").first().at_least == 0.7
+    assert catalogs.engine_status(None)["tabular_model_loaded"] is False
