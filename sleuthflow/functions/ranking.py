@@ -12,57 +12,69 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
 
 
 def exact_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    probs: list[float],
-    low: Column,
-    high: Column,
-    bins: int = 4096,
+    df: DataFrame, keys: list[str], value: str, probs: list[float], bins: int = 4096, rounds: int = 2
 ) -> DataFrame:
     """Quantiles with linear interpolation, one row per (keys, p).
 
-    Distinct values are counted first, so ties cost nothing. A histogram of `bins` equal cells between
-    `low` and `high` (columns known per group) tells which cells hold the wanted ranks, and only the
-    distinct values of those cells are ordered.
+    Distinct values are counted first, so ties cost nothing. Each round then cuts the span that holds a
+    wanted rank into `bins` equal cells between its own smallest and largest value and keeps the one cell
+    the rank falls in. Only the distinct values left in those cells are ordered.
     """
-    width = (high - low) / F.lit(float(bins))
-    cell = F.when(width > 0, F.floor((F.col(value) - low) / width)).otherwise(F.lit(0))
-    counted = (
-        df.withColumn("_cell", F.least(F.greatest(cell, F.lit(0)), F.lit(bins - 1)).cast("int"))
-        .groupBy(*keys, "_cell", value)
-        .agg(F.count("*").alias("_n"))
+    counted = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    spans = counted.groupBy(*keys).agg(
+        F.sum("_n").alias("_total"), F.min(value).alias("_low"), F.max(value).alias("_high")
     )
-    running = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy(*keys)
-    histogram = (
-        counted.groupBy(*keys, "_cell")
-        .agg(F.sum("_n").alias("_cell_n"))
-        .withColumn("_upto", F.sum("_cell_n").over(running))
-        .withColumn("_total", F.sum("_cell_n").over(total))
-        .withColumn("_before", F.col("_upto") - F.col("_cell_n"))
-    )
-    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
-    position = F.col("p") * (F.col("_total") - 1)
     targets = (
-        histogram.withColumn("p", wanted)
-        .withColumn("_pos", position)
+        spans.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+        .withColumn("_pos", F.col("p") * (F.col("_total") - 1))
         .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))))
-        .where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_upto")))
-        .select(*keys, "_cell", "_before", "p", "_pos", "_rank")
+        .withColumn("_before", F.lit(0).cast("bigint"))
+        .drop("_total")
     )
-    cells = targets.select(*keys, "_cell", "_before").distinct()
-    inside = Window.partitionBy(*keys, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    for _ in range(rounds):
+        targets = _narrowed(counted, targets, keys, value, bins)
+    inside = Window.partitionBy(*keys, "_low").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     ordered = (
-        counted.join(cells, [*keys, "_cell"])
+        _within(counted, targets, keys, value)
         .withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
         .withColumn("_start", F.col("_end") - F.col("_n"))
-        .drop("_before")
+        .drop("_before", "_high")
     )
-    picked = ordered.join(targets, [*keys, "_cell"]).where(
+    picked = targets.join(ordered, [*keys, "_low"]).where(
         (F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_end"))
     )
-    low_value, high_value = F.min(value), F.max(value)
-    return picked.groupBy(*keys, "p", "_pos").agg(
-        (low_value + (high_value - low_value) * (F.col("_pos") - F.floor("_pos"))).alias("q")
-    ).drop("_pos")
+    low, high = F.min(value), F.max(value)
+    fraction = F.col("_pos") - F.floor("_pos")
+    return picked.groupBy(*keys, "p", "_pos").agg((low + (high - low) * fraction).alias("q")).drop("_pos")
+
+
+def _within(counted: DataFrame, targets: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Distinct values inside the spans of the targets; a key has at most two spans per probability."""
+    spans = targets.select(*keys, "_low", "_high", "_before").distinct()
+    return counted.join(spans, keys).where(F.col(value).between(F.col("_low"), F.col("_high")))
+
+
+def _narrowed(counted: DataFrame, targets: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:
+    """Targets with their span cut down to the cell that holds their rank."""
+    width = (F.col("_high") - F.col("_low")) / F.lit(float(bins))
+    cell = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_low")) / width), F.lit(bins - 1))).otherwise(0)
+    running = Window.partitionBy(*keys, "_low").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    cells = (
+        _within(counted, targets, keys, value)
+        .groupBy(*keys, "_low", "_before", cell.alias("_cell"))
+        .agg(F.sum("_n").alias("_cell_n"), F.min(value).alias("_cell_low"), F.max(value).alias("_cell_high"))
+        .withColumn("_upto", F.col("_before") + F.sum("_cell_n").over(running))
+        .drop("_before", "_cell")
+    )
+    found = targets.drop("_high", "_before").join(cells, [*keys, "_low"]).where(
+        (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_cell_n"))
+    )
+    return found.select(
+        *keys,
+        "p",
+        "_pos",
+        "_rank",
+        F.col("_cell_low").alias("_low"),
+        F.col("_cell_high").alias("_high"),
+        (F.col("_upto") - F.col("_cell_n")).alias("_before"),
+    )

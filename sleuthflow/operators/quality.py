@@ -12,11 +12,6 @@ LABEL_COLUMNS = ("label", "is_borderline")
 LOW_P, HIGH_P = 0.05, 0.95
 
 
-def _bound(which: int) -> Column:
-    pairs = [part for name in catalog.FEATURES for part in (F.lit(name), F.lit(catalog.FEATURE_BOUNDS[name][which]))]
-    return F.create_map(*pairs)[F.col("feature")]
-
-
 def class_overlap(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Overlap of the 5%..95% ranges of the two classes over their joint span, per feature.
 
@@ -33,9 +28,7 @@ def class_overlap(df: DataFrame, approximate: bool = False) -> DataFrame:
             "feature", "label", F.posexplode("q").alias("_at", "q")
         ).withColumn("p", F.when(F.col("_at") == 0, F.lit(LOW_P)).otherwise(F.lit(HIGH_P)))
     else:
-        quantiles = exact_quantiles(
-            finite, ["feature", "label"], "value", [LOW_P, HIGH_P], _bound(0), _bound(1)
-        )
+        quantiles = exact_quantiles(finite, ["feature", "label"], "value", [LOW_P, HIGH_P])
 
     def at(label: int, p: float) -> Column:
         return F.max(F.when((F.col("label") == label) & (F.col("p") == p), F.col("q")))
