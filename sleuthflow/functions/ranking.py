@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sleuthflow.session import materialize
+
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rn") -> DataFrame:
     """First k rows per group. The rank filter prunes to k rows per map task before the shuffle."""
@@ -20,7 +22,7 @@ def exact_quantiles(
     wanted rank into `bins` equal cells between its own smallest and largest value and keeps the one cell
     the rank falls in. Only the distinct values left in those cells are ordered.
     """
-    counted = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    counted = materialize(df.groupBy(*keys, value).agg(F.count("*").alias("_n")), "distinct-values")
     spans = counted.groupBy(*keys).agg(
         F.sum("_n").alias("_total"), F.min(value).alias("_low"), F.max(value).alias("_high")
     )
@@ -31,8 +33,9 @@ def exact_quantiles(
         .withColumn("_before", F.lit(0).cast("bigint"))
         .drop("_total")
     )
+    targets = materialize(targets, "rank-spans")
     for _ in range(rounds):
-        targets = _narrowed(counted, targets, keys, value, bins)
+        targets = materialize(_narrowed(counted, targets, keys, value, bins), "rank-spans")
     inside = Window.partitionBy(*keys, "_low").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     ordered = (
         _within(counted, targets, keys, value)
