@@ -182,9 +182,9 @@ class Codec:
         """Ids of pieces without white space."""
         whole, split = {}, {}
         for p in pieces:
-            if p.isalpha() and (p.isascii() or max(p) < LATIN_END):
+            if p.isalpha() and (p.isascii() or self._latin(p)):
                 whole[p] = p.lower()
-            elif p[:-1].isalpha() and p[-1] in MARKS and (p.isascii() or max(p) < LATIN_END):
+            elif p[:-1].isalpha() and p[-1] in MARKS and (p.isascii() or self._latin(p)):
                 split[p] = (p[:-1].lower(), p[-1])
             else:
                 split[p] = tuple(self._split(p))
@@ -194,6 +194,11 @@ class Codec:
         found.update((p, b"".join([ids[w] for w in ws])) for p, ws in split.items())
         return found
 
+    @staticmethod
+    def _latin(piece: str) -> bool:
+        """Letters that lower to one letter each, the same in every Unicode version."""
+        return max(piece) < LATIN_END and "\u0130" not in piece
+
     def _split(self, piece: str) -> list[str]:
         """Words of any piece; letters alone, or letters and one mark, need no pattern.
 
@@ -201,7 +206,7 @@ class Codec:
         """
         if piece.isascii():
             return self.words(piece.lower())
-        if max(piece) < LATIN_END:
+        if self._latin(piece):
             return self.words(unicodedata.normalize("NFC", piece).lower())
         found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))
         return [bytes([self.units[u] for u in word]).decode() for word, _ in found]
