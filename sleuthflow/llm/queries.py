@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sleuthflow.llm import bpe
+from sleuthflow.llm import bpe, simhash
 from sleuthflow.llm.common import documents
 from sleuthflow.session import configure
 
@@ -21,8 +21,15 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs, public_tokenizers.path(TOKENIZER), decoded="decoded"))
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints over 3-word shingles, linked at 2 bits or fewer."""
+    configure(spark)
+    return simhash.near_duplicates(documents(spark, sf_dir), words=3, radius=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
 }
 
 ORACLES: dict[str, str] = {}
