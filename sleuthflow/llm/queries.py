@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sleuthflow.llm import bpe, simhash
-from sleuthflow.llm.common import documents
-from sleuthflow.session import configure
+from sleuthflow.llm import bpe, mixing, sharding, simhash
+from sleuthflow.llm.common import WORD, documents
+from sleuthflow.session import configure, materialize
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -21,15 +21,35 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs, public_tokenizers.path(TOKENIZER), decoded="decoded"))
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document when sources are mixed to their target weights."""
+    configure(spark)
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = materialize(documents(spark, sf_dir).select("doc_id", "source", words.alias("size")), "sizes")
+    taken = mixing.spread(mixing.copies(rows))
+    return taken.select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies"
+    )
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints over 3-word shingles, linked at 2 bits or fewer."""
     configure(spark)
     return simhash.near_duplicates(documents(spark, sf_dir), words=3, radius=2)
 
 
+def op4_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards 0 to 7 by the hash tree, and the shards with one more."""
+    configure(spark)
+    tree = sharding.full_tree(8)
+    return sharding.shards(documents(spark, sf_dir), tree, sharding.grown(tree))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
+    "op2_mix_sources": op2_mix_sources,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_shard_tree": op4_shard_tree,
 }
 
 ORACLES: dict[str, str] = {}
