@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sleuthflow.llm import bpe, mixing, sharding, simhash
+from sleuthflow.llm import bpe, mixing, secrets, sharding, simhash
 from sleuthflow.llm.common import WORD, documents
 from sleuthflow.session import configure, materialize
 
@@ -45,11 +45,18 @@ def op4_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(documents(spark, sf_dir), tree, sharding.grown(tree))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every whole text."""
+    configure(spark)
+    return secrets.report(secrets.scan(documents(spark, sf_dir).select("doc_id", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op2_mix_sources": op2_mix_sources,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_shard_tree": op4_shard_tree,
+    "op9_secret_scan": op9_secret_scan,
 }
 
 ORACLES: dict[str, str] = {}
