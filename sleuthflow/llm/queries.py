@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sleuthflow.llm import bpe, mixing, secrets, sharding, simhash
-from sleuthflow.llm.common import WORD, documents
+from sleuthflow.llm import bpe, mixing, projections, secrets, segments, sharding, simhash
+from sleuthflow.llm.common import WORD, documents, embeddings
 from sleuthflow.session import configure, materialize
 
 TOKENIZER = "word_bpe_49k.json"
@@ -45,18 +45,49 @@ def op4_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(documents(spark, sf_dir), tree, sharding.grown(tree))
 
 
+def op5_ann_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors found of every hundredth one."""
+    configure(spark)
+    found = projections.neighbours(embeddings(spark, sf_dir), F.col("id") % 100 == 0, k=10)
+    return found.withColumnRenamed("cost", "score")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every whole text."""
     configure(spark)
     return secrets.report(secrets.scan(documents(spark, sf_dir).select("doc_id", "text")))
 
 
+def op10_topk_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of every twentieth vector."""
+    configure(spark)
+    return segments.top_products(embeddings(spark, sf_dir), F.col("id") % 20 == 0, k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op2_mix_sources": op2_mix_sources,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_shard_tree": op4_shard_tree,
+    "op5_ann_projections": op5_ann_projections,
     "op9_secret_scan": op9_secret_scan,
+    "op10_topk_segments": op10_topk_segments,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_topk_segments": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS w
+            FROM embeddings
+            WHERE len(embedding) > 0
+              AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.w, c.w)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.w) = len(c.w)
+        )
+        SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score
+        FROM s
+        QUALIFY row_number() OVER w <= 20
+        WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+    """,
+}
