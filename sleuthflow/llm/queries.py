@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sleuthflow.llm import bpe, mixing, projections, secrets, segments, sharding, simhash
-from sleuthflow.llm.common import WORD, documents, embeddings
+from sleuthflow.llm import bpe, language, lm, mixing, projections, secrets, segments, sharding, simhash
+from sleuthflow.llm.common import WORD, documents, embeddings, fold
 from sleuthflow.session import configure, materialize
 
 TOKENIZER = "word_bpe_49k.json"
@@ -52,6 +52,22 @@ def op5_ann_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("cost", "score")
 
 
+def op6_lm_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every whole text, counts from four fifths of the documents."""
+    configure(spark)
+    return lm.scores(documents(spark, sf_dir))
+
+
+def op8_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text; models from documents outside fold 0."""
+    configure(spark)
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", fold("doc_id") == 0)
+    model = language.train(language.sample(docs.where(~F.col("held_out"))))
+    return language.predict(docs.select("doc_id", "held_out", "text"), model).select(
+        "doc_id", "held_out", "lang_pred", "score", "bits_per_byte"
+    )
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every whole text."""
     configure(spark)
@@ -70,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_shard_tree": op4_shard_tree,
     "op5_ann_projections": op5_ann_projections,
+    "op6_lm_deleted_interpolation": op6_lm_deleted_interpolation,
+    "op8_language_ppm": op8_language_ppm,
     "op9_secret_scan": op9_secret_scan,
     "op10_topk_segments": op10_topk_segments,
 }
@@ -87,7 +105,7 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score
         FROM s
-        QUALIFY row_number() OVER w <= 20
         WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+        QUALIFY row_number() OVER w <= 20
     """,
 }
