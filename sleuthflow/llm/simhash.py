@@ -1,30 +1,39 @@
 """SimHash fingerprints and exact near-duplicate groups by tiled comparison.
 
 A fingerprint bit is 1 if it is set in more than half of the hashes of a text's word shingles. Distinct
-fingerprints (copies fold into one) are laid out by the population counts of four 16-bit quarters. Flipping
-one bit changes one of these counts by one, so fingerprints within a radius lie in cells whose counts differ
-by the radius at most in sum; all other pairs of tiles are skipped. A cell is cut in tiles of bounded size,
-each needed pair of tiles is one row with both packed arrays, and is compared whole with exclusive-or and bit
-counts. A tile pair reports a spanning forest of the links it finds, never all pairs of a dense group.
+fingerprints (copies fold into one) are laid out in cells by population count, and pairs of tiles whose counts
+differ by more than the radius are skipped. For a small radius the counts of four 16-bit quarters are taken:
+flipping a bit changes one of them by one, so the sum of their differences is at most the radius. A cell is cut
+in tiles of bounded size; each needed pair of tiles is one row with both packed arrays and is compared whole
+with exclusive-or and bit counts. A tile pair reports a spanning forest of the links it finds, never all pairs
+of a dense group.
+
+Fingerprints of several 64-bit words serve similarities as low as 0.8, which 64 bits cannot tell from chance:
+the first word sifts the pairs, the whole fingerprint decides.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sleuthflow.llm.common import SLICE_BYTES, slices, texts_as_bytes
 from sleuthflow.llm.components import components
 from sleuthflow.session import materialize
 
 SEED = 42
-TILE = 2048
-QUARTERS = 4
+#: Fingerprints in a tile, for small and for large radii.
+TILE, WIDE_TILE = 2048, 8192
+#: Largest radius for which cells are laid out by quarters.
+QUARTERED = 3
+#: Pairs compared at once.
+AT_ONCE = 1 << 21
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -57,91 +66,112 @@ def shingle_hashes(text: bytes, words: int, limit: int = SLICE_BYTES) -> Iterato
         yield np.array([digest(b" ".join(last), SEED)], np.uint64)
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """Signed 64-bit fingerprint; a text without words has fingerprint zero."""
-    total, counts = 0, np.zeros(64, np.int64)
+def fingerprint(text: bytes, words: int, width: int = 1) -> np.ndarray:
+    """Fingerprint as signed 64-bit words; a text without words has zeros.
+
+    The first word takes the bits of the shingle hashes themselves, each further one those of a remixed hash.
+    """
+    total, counts = 0, np.zeros((width, 64), np.int64)
     for hashes in shingle_hashes(text, words):
         total += len(hashes)
-        octets = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
-        if len(hashes) <= 512:
-            counts += np.unpackbits(octets, axis=1).sum(axis=0, dtype=np.int64)
-        else:
-            counts += np.concatenate([np.bincount(octets[:, k], minlength=256) @ BITS for k in range(8)])
-    return int(np.packbits(counts * 2 > total).view(">i8")[0])
-
-
-def fingerprints(docs: DataFrame, words: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+        for n in range(width):
+            octets = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
+            if len(hashes) <= 512:
+                counts[n] += np.unpackbits(octets, axis=1).sum(axis=0, dtype=np.int64)
+            else:
+                counts[n] += np.concatenate([np.bincount(octets[:, k], minlength=256) @ BITS for k in range(8)])
+            if n + 1 < width:
+                hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
+                hashes ^= hashes >> np.uint64(32)
+    return np.packbits(counts * 2 > total, axis=1).view(">i8")[:, 0].astype(np.int64)
+
+
+def fingerprints(docs: DataFrame, words: int = 5, width: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp) of every document, whole texts: lower-case ASCII letters, words by ASCII white space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
-                found = [fingerprint(t, words) for t in texts_as_bytes(part, text)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.int64())], [key, "fp"])
+                found = np.concatenate([fingerprint(t, words, width) for t in texts_as_bytes(part, text)])
+                offsets = pa.array(np.arange(0, len(found) + 1, width, dtype=np.int32))
+                fp = pa.ListArray.from_arrays(offsets, pa.array(found))
+                yield pa.RecordBatch.from_arrays([part.column(0), fp], [key, "fp"])
 
     source = docs.select(key, text)
-    return source.mapInArrow(run, f"`{key}` {source.schema[key].dataType.simpleString()}, fp bigint")
+    return source.mapInArrow(run, f"`{key}` {source.schema[key].dataType.simpleString()}, fp array<bigint>")
 
 
-def _quarter_counts() -> list[Column]:
-    width = 64 // QUARTERS
-    return [F.bit_count(F.shiftrightunsigned("fp", width * k).bitwiseAND(F.lit((1 << width) - 1))) for k in range(QUARTERS)]
-
-
-def _steps(radius: int) -> list[list[int]]:
-    """Half of the steps between cells whose counts differ by at most `radius` in sum: zero and the positive ones."""
-    span = range(-radius, radius + 1)
-    near = [s for s in itertools.product(span, repeat=QUARTERS) if sum(map(abs, s)) <= radius]
-    return [list(s) for s in near if s >= (0,) * QUARTERS]
+def radius_of(similarity: float, bits: int, slack: float = 1.5) -> int:
+    """Differing bits up to which texts of a Jaccard similarity are linked.
 
-
-def _tiles(distinct: DataFrame) -> DataFrame:
-    """(cell, tile, fps): packed arrays of about TILE fingerprints. There are at most 17**4 cells."""
-    base = 64 // QUARTERS + 1
-    celled = distinct.select("fp", F.array(*_quarter_counts()).alias("cell"))
-    sizes = celled.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles"))
-    assert base**QUARTERS <= 100_000  # the bound of the broadcast table
-    return (
+    Shingle counts of Jaccard similarity J have cosine 2 J / (1 + J), and a bit differs with probability
+    angle / pi. `slack` standard deviations are added so that pairs at the threshold are found.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * p + slack * math.sqrt(bits * p * (1 - p)))
+
+
+def _tiles(distinct: DataFrame, radius: int) -> tuple[DataFrame, int]:
+    """(cell, tile, ids, words) of packed arrays, and the number of counts in a cell: 17**4 cells at most."""
+    parts, tile = (4, TILE) if radius <= QUARTERED else (1, WIDE_TILE)
+    width = 64 // parts
+    mask = F.lit((1 << width) - 1 if parts > 1 else -1)
+    counts = [F.bit_count(F.shiftrightunsigned(F.col("fp")[0], width * k).bitwiseAND(mask)) for k in range(parts)]
+    celled = distinct.select("id", "fp", F.array(*counts).alias("cell"))
+    sizes = celled.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles"))
+    tiles = (
         celled.join(F.broadcast(sizes), "cell")
-        .groupBy("cell", F.pmod(F.xxhash64("fp"), "tiles").cast("int").alias("tile"))
-        .agg(F.collect_list("fp").alias("fps"))
+        .groupBy("cell", F.pmod(F.xxhash64("id"), "tiles").cast("int").alias("tile"))
+        .agg(F.collect_list(F.struct("id", "fp")).alias("rows"))
     )
+    return tiles.select("cell", "tile", F.col("rows.id").alias("ids"), F.flatten("rows.fp").alias("words")), parts
 
 
-def _forest(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a tile pair, as a forest over the fingerprints of both tiles."""
-    rows, columns = [], []
-    for low in range(0, len(left), 256):
-        near = np.bitwise_count(left[low : low + 256, None] ^ right[None, :]) <= radius
+def _steps(radius: int, parts: int) -> list[list[int]]:
+    """Half of the steps between cells whose counts differ by at most `radius` in sum: zero and the positive ones."""
+    span = range(-radius, radius + 1)
+    near = [s for s in itertools.product(span, repeat=parts) if sum(map(abs, s)) <= radius]
+    return [list(s) for s in near if s >= (0,) * parts]
+
+
+def _forest(left: np.ndarray, right: np.ndarray, sieve: int, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a tile pair as a forest (child, parent) over its rows; right rows are numbered after left ones."""
+    shift = 0 if same else len(left)
+    label = np.arange(shift + len(right))
+    step = max(1, AT_ONCE // max(1, len(right)))
+    for low in range(0, len(left), step):
+        start = low if same else 0
+        near = np.bitwise_count(left[low : low + step, 0, None] ^ right[None, start:, 0]) <= sieve
         i, j = near.nonzero()
-        rows.append(i + low)
-        columns.append(j)
-    i, j = np.concatenate(rows), np.concatenate(columns)
-    if same:
-        i, j = i[i < j], j[i < j]
-    if len(i) < 2:
-        return left[i], right[j]
-    nodes, at = np.unique(np.concatenate([left[i], right[j]]), return_inverse=True)
-    i, j = at[: len(i)], at[len(i) :]
-    label = np.arange(len(nodes))
-    while True:
-        least = np.minimum(label[i], label[j])
-        before = label.copy()
-        np.minimum.at(label, i, least)
-        np.minimum.at(label, j, least)
+        i, j = i + low, j + start
+        if left.shape[1] > 1:
+            kept = np.bitwise_count(left[i] ^ right[j]).sum(axis=1) <= radius
+            i, j = i[kept], j[kept]
+        a, b = label[i], label[j + shift]
+        a, b = a[a != b], b[a != b]
+        while len(a):
+            least = np.minimum(label[a], label[b])
+            np.minimum.at(label, a, least)
+            np.minimum.at(label, b, least)
+            label = label[label]
+            a, b = label[a], label[b]
+            a, b = a[a != b], b[a != b]
         label = label[label]
-        if (label == before).all():
-            break
-    child = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[child], nodes[label[child]]
+    child = np.flatnonzero(label != np.arange(len(label)))
+    return child, label[child]
 
 
-def linked(distinct: DataFrame, radius: int) -> DataFrame:
-    """(u, v): edges that join the distinct fingerprints of `distinct` within `radius` bits, none beyond."""
-    tiles = materialize(_tiles(distinct), "tiles")
-    step = F.array(*[F.array(*[F.lit(x) for x in s]) for s in _steps(radius)])
+def linked(distinct: DataFrame, radius: int, width: int = 1, sieve: int | None = None) -> DataFrame:
+    """(u, v): edges that join the ids of `distinct` (id, fp) within `radius` bits, none beyond.
+
+    With several words, pairs must also agree in the first word up to `sieve` bits.
+    """
+    sieve = radius if sieve is None else sieve
+    found, parts = _tiles(distinct, sieve)
+    tiles = materialize(found, "tiles")
+    step = F.array(*[F.array(*[F.lit(x) for x in s]) for s in _steps(sieve, parts)])
     reach = tiles.withColumn("_step", F.explode(step)).select(
-        F.col("cell").alias("_from"), F.col("tile").alias("_left"), F.col("fps").alias("_mine"),
+        F.col("cell").alias("_from"), F.col("tile").alias("_left"), F.col("ids").alias("_ids"), F.col("words").alias("_words"),
         F.zip_with("cell", "_step", lambda a, b: (a + b).cast("int")).alias("cell"),
     )
     pairs = reach.join(tiles, "cell").where((F.col("_from") != F.col("cell")) | (F.col("_left") <= F.col("tile")))
@@ -149,36 +179,50 @@ def linked(distinct: DataFrame, radius: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-            for a, b, one in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
-                a, b = (x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in (a, b))
-                near = _forest(a, b, radius, one)
-                u.append(near[0])
-                v.append(near[1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (u, v)], ["u", "v"])
+            u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for row in range(batch.num_rows):
+                a, x, b, y = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in range(4))
+                one = batch.column(4)[row].as_py()
+                x, y = (w.view(np.uint64).reshape(-1, width) for w in (x, y))
+                child, parent = _forest(x, y, sieve, radius, one)
+                ids = a if one else np.concatenate([a, b])
+                u.append(ids[child])
+                v.append(ids[parent])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(w)) for w in (u, v)], ["u", "v"])
 
-    return pairs.select("_mine", "fps", same.alias("same")).mapInArrow(run, "u bigint, v bigint")
+    return pairs.select("_ids", "_words", "ids", "words", same.alias("same")).mapInArrow(run, "u bigint, v bigint")
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 5, radius: int = 3, key: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    words: int = 5,
+    similarity: float = 0.8,
+    width: int = 4,
+    radius: int | None = None,
+    key: str = "doc_id",
+    text: str = "text",
 ) -> DataFrame:
     """(key, fingerprint, component_id) of every document.
 
-    Documents are linked if their fingerprints differ in at most `radius` bits; component_id is the smallest
-    key that links reach, the document's own included. Null and blank texts have fingerprint zero and are
-    linked like any other. Fewer words than a shingle make one shingle of all. Null keys get the component of
-    their fingerprint, null if nothing in it has a key. Repeated rows stay repeated; an empty table gives an
-    empty one; other columns are not read.
+    Documents are linked if their fingerprints of `width` 64-bit words differ in at most `radius` bits, by
+    default those of the wanted Jaccard similarity of shingles; component_id is the smallest key that links
+    reach, the document's own included. Null and blank texts have fingerprint zero and are linked like any
+    other. Fewer words than a shingle make one shingle of all. Null keys get the component of their
+    fingerprint, null if nothing in it has a key. Repeated rows stay repeated; an empty table gives an empty
+    one; other columns are not read. Classes of wide fingerprints are named by a 64-bit hash.
     """
-    signed = materialize(fingerprints(docs, words, key, text), "fingerprints")
-    classes = materialize(signed.groupBy("fp").agg(F.min(key).alias("least")), "classes")
-    roots = components(linked(classes, radius), "u", "v")
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
+    bits = 64 * width
+    sieve = radius_of(similarity, 64, 2.0) if radius is None else radius
+    radius = radius_of(similarity, bits) if radius is None else radius
+    signed = materialize(fingerprints(docs, words, width, key, text), "fingerprints")
+    name = F.col("fp")[0] if width == 1 else F.xxhash64("fp")
+    signed = signed.withColumn("id", name)
+    classes = materialize(signed.groupBy("id").agg(F.first("fp").alias("fp"), F.min(key).alias("least")), "classes")
+    roots = components(linked(classes, radius, width, sieve), "u", "v")
+    rooted = classes.join(roots, classes["id"] == roots["node"], "left").select(
+        "id", "least", F.coalesce("root", "id").alias("root")
     )
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = rooted.join(least, "root").select("fp", "component_id")
-    return signed.join(found, "fp").select(
-        key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    found = rooted.join(least, "root").select("id", "component_id")
+    digits = F.transform("fp", lambda x: F.lower(F.lpad(F.hex(x), 16, "0")))
+    return signed.join(found, "id").select(key, F.array_join(digits, "").alias("fingerprint"), "component_id")
