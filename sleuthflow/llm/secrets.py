@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sleuthflow.llm.common import extended, slices
 from sleuthflow.llm.trigrams import BlockIndex, trigram_query, trigrams_of
@@ -130,7 +130,7 @@ def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", out
     return df.mapInArrow(run, extended(df, [T.StructField(out, T.ArrayType(entry))]))
 
 
-def listed(spans: str, kinds: tuple[str, ...] | None = None):
+def listed(spans: str, kinds: tuple[str, ...] | None = None) -> Column:
     """kind:start:end, comma-joined, of all spans or those of some kinds."""
     found = F.col(spans) if kinds is None else F.filter(spans, lambda s: s["kind"].isin(*kinds))
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -139,9 +139,12 @@ def listed(spans: str, kinds: tuple[str, ...] | None = None):
 def report(scanned: DataFrame, spans: str = "secrets") -> DataFrame:
     """Counts of the base kinds, digest of the base spans, list of all spans."""
     kinds = tuple(r.kind for r in BASE)
-    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return scanned.select(
-        "doc_id", *counts, F.sha2(listed(spans, kinds).cast("binary"), 256).alias("base_sha256"), listed(spans).alias("spans")
+        "doc_id", *map(count, kinds), F.sha2(listed(spans, kinds).cast("binary"), 256).alias("base_sha256"), listed(spans).alias("spans")
     )
 
 

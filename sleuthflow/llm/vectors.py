@@ -82,13 +82,14 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, key, cost): the k least costs of every query, ties to the smaller key.
 
-    `vectors` has usable rows only. Queries are stored once and taken in blocks of BLOCK_BYTES by the order
+    `vectors` has usable rows only. A key that is stored with several vectors asks with the least of them. Queries are stored once and taken in blocks of BLOCK_BYTES by the order
     of their keys; each block is broadcast and meets every vector in one pass, in which a task keeps k rows
     per query. Task results are ranked together; the rank filter prunes before that shuffle.
     """
     spark = vectors.sparkSession
     base = materialize(vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector")), "vectors")
-    queries = materialize(base.where(is_query).withColumn("length", F.size("vector")), "queries")
+    asked = base.where(is_query).groupBy("id").agg(F.min("vector").alias("vector"))
+    queries = materialize(asked.withColumn("length", F.size("vector")), "queries")
     count, longest = queries.agg(F.count("*"), F.max("length")).first()
     per_block = max(1, BLOCK_BYTES // (8 * (longest or 1)))
     blocks = max(1, -(-count // per_block))
