@@ -81,7 +81,8 @@ def train(samples: dict[str, list[bytes]], order: int = ORDER) -> Model:
     classes = np.where(seen, np.cumsum(seen), 0).astype(np.uint8)
     size = int(classes.max()) + 1
     columns = [_code_lengths(samples[x], classes, size, order) for x in languages]
-    return Model(languages, classes, np.stack(columns, axis=1).astype(np.float32), order)
+    bits = np.stack(columns, axis=1) if columns else np.zeros((size ** (order + 1), 0))
+    return Model(languages, classes, bits.astype(np.float32), order)
 
 
 def code_lengths(model: Model, text: bytes) -> np.ndarray:
@@ -125,8 +126,15 @@ def sample(docs: DataFrame, language: str = "lang", key: str = "doc_id", text: s
     return {x: texts for x, texts in found.items() if any(texts)}
 
 
-def predict(df: DataFrame, model: Model, text: str = "text", language: str = "lang_pred", score: str = "score") -> DataFrame:
-    """`df` with the predicted language of whole texts and its score, and `bits_per_byte` of the winner.
+def predict(
+    df: DataFrame,
+    model: Model,
+    text: str = "text",
+    language: str = "lang_pred",
+    score: str = "score",
+    bits_per_byte: str = "bits_per_byte",
+) -> DataFrame:
+    """`df` with the predicted language of whole texts, its score and the bits per byte of the winner.
 
     score is the winner's share of probability among the languages, from the code lengths. A text that is
     null or has no letter is `und` with score 0 and null bits; so is every text if no language was learned.
@@ -134,7 +142,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", language: str = "la
     an output are replaced; an empty table gives an empty one.
     """
     held = df.sparkSession.sparkContext.broadcast(model)
-    names = (language, score, "bits_per_byte", "_letter")
+    names = (language, score, bits_per_byte, "_letter")
     kinds = (T.StringType(), T.DoubleType(), T.DoubleType())
     asked = df.drop(*[n for n in names if n != text]).withColumn("_letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
 

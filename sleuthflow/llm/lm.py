@@ -36,8 +36,10 @@ BUCKETS = 64
 
 def _pack(values: np.ndarray) -> bytes:
     """Integers as byte planes, compressed."""
+    if not len(values):
+        return b""
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
-    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True) if len(values) else b""
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpack(data: bytes, count: int, kind: type) -> np.ndarray:
@@ -316,6 +318,8 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     held = deleted.cogroup(asked).applyInArrow(_histogram(kept_tokens), "bucket bigint, two bigint, one bigint, n bigint")
     cells = held.groupBy("bucket", "two", "one").agg(F.sum("n").alias("n")).orderBy("bucket", "two", "one").collect()
     weights = learned_weights(np.array(cells, np.int64).reshape(-1, 4), types)
+    if not tokens:
+        weights = np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
     kind = docs.schema[key].dataType
     found = stored.groupBy("block").cogroup(answers.select("block", "range", "n", "every").groupBy("block")).applyInArrow(
         _scorer(tokens, types, weights, _arrow(kind)),
