@@ -31,7 +31,6 @@ FEATURE_BOUNDS = {
     "structural_depth": (2.0, 16.0),
 }
 
-MODEL_THRESHOLDS = {"medium": 0.4, "high": 0.7}
 THRESHOLD_POLICY = "fixed_0.4_0.7"
 
 BORDERLINE_TARGET = 0.15

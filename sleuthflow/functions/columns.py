@@ -7,6 +7,23 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+#: White space as Python's str.strip() sees it.
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(text: str | Column) -> Column:
+    """Text without white space of any kind at both ends."""
+    return F.btrim(F.col(text) if isinstance(text, str) else text, F.lit(BLANKS))
+
+
+def number_text(value: Column) -> Column:
+    """A double as text the way Python prints it, for values that need no exponent."""
+    x = value.cast("double")
+    size = F.abs(x)
+    fixed = F.regexp_replace(F.format_string("%.9f", x), r"(\.\d+?)0+$", "$1")
+    return F.when(F.isnan(x), "nan").when((size >= 1e7) & (size < 1e16), fixed).otherwise(x.cast("string"))
+
+
 def clip(value: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(value, F.lit(float(low))), F.lit(float(high)))
 

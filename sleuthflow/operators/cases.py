@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sleuthflow import catalog
-from sleuthflow.functions.columns import at_least, clip, clip01, require_columns
+from sleuthflow.functions.columns import at_least, clip, clip01, require_columns, strip
 from sleuthflow.functions.money import minor_units
 from sleuthflow.functions.ranking import top_k
 from sleuthflow.functions.skew import ROWS_PER_SLICE, attach
@@ -86,7 +86,7 @@ def case_windows(windowed: DataFrame, key: str = "case_id", event_case_id: str |
     ]
     if event_case_id is None:
         return windowed.groupBy(key).agg(*aggregates)
-    own = F.trim(F.col(event_case_id))
+    own = strip(F.col(event_case_id))
     named = F.when(own != "", F.struct("ts", "event_id", own.alias("id")))
     made = F.concat(F.lit("case-"), F.date_format("end_ts", "yyyyMMddHHmmss"))
     return (

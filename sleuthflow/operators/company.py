@@ -256,14 +256,16 @@ def counterparty_network(ledger: DataFrame, k: int = 12, merge_types: bool = Fal
 def metrics_long(metrics: DataFrame) -> DataFrame:
     """Metrics as (company, metric, value, display text)."""
     long = metrics.unpivot("company_id", METRICS, "metric", "value")
-    percent = F.col("metric").isin("physical_inflow_ratio", "crypto_exposure_ratio")
+    percent = F.col("metric").endswith("_ratio") & (F.col("metric") != "dependency_ratio")
+    money = F.col("metric").isin("total_inflow", "total_outflow", "crypto_inflow", "crypto_outflow", "total_volume")
     thousandth = F.col("metric").isin("dependency_ratio", "concentration_index")
     text = (
         F.when(percent, F.format_string("%.1f%%", F.col("value") * 100))
         .when(thousandth, F.format_string("%.3f", "value"))
         .when(F.col("metric") == "avg_holding_time", F.format_string("%.1f", "value"))
         .when(F.col("metric") == "entropy_of_flows", F.format_string("%.4f", "value"))
-        .otherwise(F.format_number("value", 0))
+        .when(money, F.format_number("value", 0))
+        .otherwise(F.format_string("%.0f", "value"))
     )
     return long.withColumn("display", text)
 

@@ -126,14 +126,25 @@ def _star_rounds(edges: DataFrame) -> DataFrame:
 
 
 def case_components(edges: DataFrame, limit: int = SMALL_CASE_EDGES) -> DataFrame:
-    """Weakly connected components per case. Edges have no self loops (the contract rejects them)."""
+    """Weakly connected components per case; a node with nothing but a self loop is one of its own."""
     arrays = edge_arrays(edges, limit)
     counted = arrays.select("case_id", components_of(F.col("links")).cast("bigint").alias("components"))
     rest = _large_edges(edges, limit)
     if rest is None:
         return counted
-    roots = _star_rounds(rest).groupBy("case_id").agg(F.count_distinct("v").alias("components"))
-    return counted.unionByName(roots)
+    return counted.unionByName(_components_by_joins(rest))
+
+
+def _components_by_joins(edges: DataFrame) -> DataFrame:
+    """Nodes of the case less those that hang below a root, so that nodes with self loops alone are counted."""
+    nodes = edges.select("case_id", "src").union(edges.select("case_id", "dst")).distinct()
+    below = _star_rounds(edges).groupBy("case_id").agg(F.count("*").alias("_below"))
+    return (
+        nodes.groupBy("case_id")
+        .agg(F.count("*").alias("_nodes"))
+        .join(below, "case_id", "left")
+        .select("case_id", (F.col("_nodes") - F.coalesce("_below", F.lit(0))).alias("components"))
+    )
 
 
 def case_walk_depth(edges: DataFrame, cap: int = MAX_WALK, limit: int = SMALL_CASE_EDGES) -> DataFrame:
@@ -170,8 +181,7 @@ def case_shape(edges: DataFrame, limit: int = SMALL_CASE_EDGES) -> DataFrame:
     rest = _large_edges(edges, limit)
     if rest is None:
         return small
-    roots = _star_rounds(rest).groupBy("case_id").agg(F.count_distinct("v").alias("components"))
-    return small.unionByName(roots.join(_walk_by_joins(rest, MAX_WALK), "case_id"))
+    return small.unionByName(_components_by_joins(rest).join(_walk_by_joins(rest, MAX_WALK), "case_id"))
 
 
 HUB_SCHEMA = "case_id string, hub_betweenness double"

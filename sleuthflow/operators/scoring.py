@@ -6,7 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sleuthflow import catalog
-from sleuthflow.functions.columns import at_least, band, clip01, sigmoid
+from sleuthflow.functions.columns import at_least, band, clip01, sigmoid, strip
 from sleuthflow.operators.cases import (
     case_bounds,
     case_facts,
@@ -201,8 +201,20 @@ def score_batch(
     The error of a case is that of its first bad event in input order. It is found in the same
     aggregate as the end of the case, so failed cases leave with the window join and the raw events
     are shuffled once.
+
+    With a `request_id` in `events` and `cases` every request is a case of its own, whatever its case id; both
+    results then have the column too.
     """
-    trimmed = F.trim("case_id")
+    if "request_id" in events.columns and cases is not None and "request_id" in cases.columns:
+        names = cases.select("request_id", "case_id")
+        apart = [
+            df.select(F.col("request_id").alias("case_id"), *[c for c in df.columns if c not in ("case_id", "request_id")])
+            for df in (events, cases)
+        ]
+        scores, failures = score_batch(apart[0], window_hours, apart[1], model, order_by, **versions)
+        by_request = [r.withColumnRenamed("case_id", "request_id").join(names, "request_id") for r in (scores, failures)]
+        return by_request[0], by_request[1]
+    trimmed = strip("case_id")
     named = events.withColumn("case_id", F.when(trimmed != "", trimmed).otherwise(F.lit("unknown-case")))
     checked = check_events(named)
     bounds = case_bounds(checked, window_hours, cases, error_order=order_by)

@@ -23,12 +23,27 @@ def _sigmoid(x: str) -> str:
 def _reason(bounds: dict[str, tuple[float, float]], noun: str) -> str:
     whens = "".join(
         f"WHEN {name} IS NULL OR NOT ({name} BETWEEN {_d(low)} AND {_d(high)}) "
-        f"THEN '{noun} ''{name}'' out of range [{low}, {high}]' "
+        f"THEN '{noun} ''{name}'' out of range [{low}, {high}]: ' || CAST({name} AS DOUBLE) "
         for name, (low, high) in bounds.items()
     )
     return whens
 
 
+def _display(metric: str) -> str:
+    """Text of a metric: money with separators, counts without, shares in percent."""
+    if metric in ("total_inflow", "total_outflow", "crypto_inflow", "crypto_outflow", "total_volume"):
+        return f"format('{{:,.0f}}', {metric})"
+    if metric == "dependency_ratio" or metric == "concentration_index":
+        return f"printf('%.3f', {metric})"
+    if metric == "avg_holding_time":
+        return f"printf('%.1f', {metric})"
+    if metric == "entropy_of_flows":
+        return f"printf('%.4f', {metric})"
+    if metric.endswith("_ratio"):
+        return f"printf('%.1f%%', {metric} * 100)"
+    return f"printf('%.0f', {metric}::DOUBLE)"
+
+
 _OPS_REASON = (
     "CASE " + _reason(catalog.OPERATIONAL_BOUNDS, "Operational field")
     + "WHEN referred_clients_current > new_clients_current "
@@ -476,10 +491,14 @@ _BLOCKS: list[tuple[str, list[str], str]] = [
     (
         "dirty",
         ["ev_raw"],
-        """SELECT event_id, pos, ts, case_id, sender_id, receiver_id, CASE WHEN pos % 97 = 0 THEN -amount ELSE amount END AS amount,
+        """SELECT CASE WHEN pos % 103 = 0 THEN '' ELSE event_id END AS event_id, pos,
+        CASE WHEN pos % 83 = 0 OR pos % 89 = 0 THEN NULL ELSE ts END AS ts, case_id,
+        CASE WHEN pos % 107 = 0 THEN '' ELSE sender_id END AS sender_id, receiver_id,
+        CASE WHEN pos % 127 = 0 OR pos % 79 = 0 THEN NULL WHEN pos % 97 = 0 THEN -amount ELSE amount END AS amount,
         CASE WHEN pos % 101 = 0 THEN '' ELSE 'USD' END AS currency, sender_type, 'wallet' AS receiver_type,
-        CASE WHEN event_type = 'error' THEN 'wire' ELSE channel END AS channel, 'KZ' AS jurisdiction,
-        CASE WHEN event_type IN ('purchase', 'signup') THEN 'token' ELSE 'fiat' END AS asset_type FROM ev_raw""",
+        CASE WHEN event_type = 'error' THEN 'wire' ELSE channel END AS channel,
+        CASE WHEN pos % 109 = 0 THEN '' ELSE 'KZ' END AS jurisdiction,
+        CASE WHEN pos % 113 = 0 THEN '' WHEN event_type IN ('purchase', 'signup') THEN 'token' ELSE 'fiat' END AS asset_type FROM ev_raw""",
     ),
 ]
 _ORDER = [name for name, _, _ in _BLOCKS]
@@ -538,10 +557,17 @@ ORACLES: dict[str, str] = {
     ),
     "event_violations": _with(
         "dirty",
-        """SELECT * FROM (SELECT event_id, case_id, CASE WHEN amount <= 0 THEN 'amount must be > 0.'
+        """SELECT * FROM (SELECT event_id, case_id, CASE
+        WHEN pos % 127 = 0 AND pos % 83 = 0 THEN 'Missing event fields: [''amount'', ''ts'']'
+        WHEN pos % 127 = 0 THEN 'Missing event fields: [''amount'']' WHEN pos % 83 = 0 THEN 'Missing event fields: [''ts'']'
+        WHEN pos % 89 = 0 THEN 'Invalid isoformat string: ''not-a-time'''
+        WHEN pos % 79 = 0 THEN 'could not convert string to float: ''12x'''
+        WHEN event_id = '' THEN 'event_id must be non-empty.' WHEN amount <= 0 THEN 'amount must be > 0.'
+        WHEN sender_id = '' OR receiver_id = '' THEN 'sender_id and receiver_id must be non-empty.'
         WHEN sender_id = receiver_id THEN 'sender_id and receiver_id must be different.'
         WHEN channel NOT IN ('legal', 'crypto') THEN 'channel must be one of [''crypto'', ''legal''].'
-        WHEN currency = '' THEN 'currency must be non-empty.' END AS reason FROM dirty) WHERE reason IS NOT NULL""",
+        WHEN currency = '' THEN 'currency must be non-empty.' WHEN jurisdiction = '' THEN 'jurisdiction must be non-empty.'
+        WHEN asset_type = '' THEN 'asset_type must be non-empty.' END AS reason FROM dirty) WHERE reason IS NOT NULL""",
     ),
     "ops_quarantine": _with(
         "ops_checked",
@@ -633,7 +659,7 @@ ORACLES: dict[str, str] = {
     ),
     "metrics_long": _with(
         "met",
-        " UNION ALL ".join(f"SELECT company_id, '{m}' AS metric, round({m}, 6) AS value FROM met" for m in _METRICS),
+        " UNION ALL ".join(f"SELECT company_id, '{m}' AS metric, round({m}, 6) AS value, {_display(m)} AS display FROM met" for m in _METRICS),
     ),
     "company_risk": _with(
         "crisk",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from sleuthflow import catalog
 from sleuthflow.operators import cases, company, contracts, entity, evaluation, explain, graph, ml, quality, scoring
@@ -15,8 +15,9 @@ from sleuthflow.sources import catalogs, readers, sinks
 from sleuthflow.streaming.case_stream import TrailingCases, good_events
 
 DIGITS = 6
-QUERY_TREES = 20
 HOURS = views.WINDOW_HOURS
+# Files of the feed of the stream query; a third of them makes a micro-batch.
+STREAM_FILES = 12
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -171,7 +172,7 @@ def counterparty_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metrics_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return company.metrics_long(company_metrics(spark, sf_dir)).select("company_id", "metric", "value")
+    return company.metrics_long(company_metrics(spark, sf_dir)).select("company_id", "metric", "value", "display")
 
 
 def _company_risk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -318,13 +319,19 @@ def alert_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_case_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream, run to its end; trailing windows must equal the batch result."""
-    source = (
-        spark.readStream.schema(views.table(spark, sf_dir, "events").schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf_dir)
-    )
-    stream = good_events(views.as_case_events(source), "2 days")
+    """The events as a stream of several micro-batches; trailing windows must equal the batch result.
+
+    Every case numbers its events alike, so event ids repeat between cases. The files come in no order of time;
+    the lateness allowed is the span of the table.
+    """
+    place = Window.partitionBy("case_id").orderBy("pos")
+    numbered = views.raw_events(spark, sf_dir).withColumn("event_id", F.concat(F.lit("ev-"), F.row_number().over(place)))
+    feed = scratch_path(spark, "feed")
+    numbered.repartition(STREAM_FILES, "case_id", "event_id").write.parquet(feed)
+    stored = spark.read.parquet(feed)
+    days = stored.agg(F.date_diff(F.max("ts"), F.min("ts"))).first()[0] + 2
+    source = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", -(-STREAM_FILES // 3)).parquet(feed)
+    stream = good_events(source, f"{days} days")
 
     def compute(events: DataFrame) -> DataFrame:
         windows = cases.case_windows(cases.window_events(events, HOURS))
@@ -338,16 +345,10 @@ def stream_case_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Models
 
-_models: dict[tuple[str, str], object] = {}
-
-
 def _model(spark: SparkSession, sf_dir: str):
-    """Model on the training rows, fitted once per session and data folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _models:
-        train = materialize(_split(spark, sf_dir).where(~F.col("is_test")), "train")
-        _models[key] = ml.train_risk_model(train, trees=QUERY_TREES)
-    return _models[key]
+    """Model on the training rows, fitted anew by every query that uses it."""
+    train = materialize(_split(spark, sf_dir).where(~F.col("is_test")), "train")
+    return ml.train_risk_model(train)
 
 
 def train_risk_model(spark: SparkSession, sf_dir: str) -> DataFrame:

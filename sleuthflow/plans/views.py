@@ -98,13 +98,20 @@ def good_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with stray blanks and case, wrong channels, empty currencies and negative amounts."""
+    """Events with stray blanks and case, unreadable and missing fields, empty ids, wrong channels and amounts."""
     number = F.col("pos")
+    amount = F.when(number % 97 == 0, -F.col("amount")).otherwise(F.col("amount")).cast("string")
+    ts = F.concat(F.lit("\t"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("\n"))
     return raw_events(spark, sf_dir).withColumns(
         {
+            "ts": F.when(number % 83 == 0, F.lit(None)).when(number % 89 == 0, "not-a-time").otherwise(ts),
+            "event_id": F.when(number % 103 == 0, " \t").otherwise(F.col("event_id")),
+            "sender_id": F.when(number % 107 == 0, "").otherwise(F.concat(F.col("sender_id"), F.lit("\u00a0"))),
+            "jurisdiction": F.when(number % 109 == 0, "\n").otherwise(F.lit("kz\r\n")),
+            "asset_type": F.when(number % 113 == 0, "\t").otherwise(F.col("asset_type")),
             "channel": F.when(F.col("event_type") == "error", " Wire ").otherwise(F.col("channel")),
-            "currency": F.when(number % 101 == 0, "  ").when(number % 7 == 0, " usd ").otherwise(F.col("currency")),
-            "amount": F.when(number % 97 == 0, -F.col("amount")).otherwise(F.col("amount")),
+            "currency": F.when(number % 101 == 0, "  ").when(number % 7 == 0, "\tusd ").otherwise(F.col("currency")),
+            "amount": F.when(number % 127 == 0, F.lit(None)).when(number % 79 == 0, "12x").otherwise(amount),
             "sender_type": F.when(F.col("sender_type") == "company", " Company ").otherwise(F.col("sender_type")),
         }
     )

@@ -12,7 +12,9 @@ from sleuthflow.operators.contracts import check_events
 
 
 def good_events(stream: DataFrame, lateness: str) -> DataFrame:
-    """Checked events of a stream, each event id once within the lateness allowed.
+    """Checked events of a stream, each event id of a case once within the lateness allowed.
+
+    Cases number their events alike, so the event id alone does not name an event.
 
     An event older than the watermark is late and is dropped; the progress of the query counts them
     (`numRowsDroppedByWatermark`).
@@ -22,7 +24,7 @@ def good_events(stream: DataFrame, lateness: str) -> DataFrame:
         checked.where(F.col("reason").isNull())
         .drop("reason")
         .withWatermark("ts", lateness)
-        .dropDuplicatesWithinWatermark(["event_id"])
+        .dropDuplicatesWithinWatermark([c for c in ("case_id", "event_id") if c in checked.columns])
     )
 
 

@@ -174,7 +174,7 @@ def test_batch_isolates_bad_supplied_features(spark):
     scores, failures = scoring.score_batch(events_frame(spark, rows), cases=requested, model=model)
     assert [r.case_id for r in scores.collect()] == ["a"]
     errors = {r.case_id: r.error for r in failures.collect()}
-    assert errors["b"] == "Feature 'growth_rate' out of range [0.0, 1.2]"
+    assert errors["b"] == "Feature 'growth_rate' out of range [0.0, 1.2]: 7.0"
     assert errors["c"].startswith("Missing features: ['referral_ratio', ")
 
 

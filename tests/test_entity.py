@@ -61,8 +61,8 @@ def test_features_of_the_operational_row(spark):
     ("changes", "reason"),
     [
         ({}, None),
-        ({"tx_count_total": 3.0}, "Operational field 'tx_count_total' out of range [10.0, 2000000.0]"),
-        ({"payouts_total": float("nan")}, "Operational field 'payouts_total' out of range [0.0, 10000000000.0]"),
+        ({"tx_count_total": 3.0}, "Operational field 'tx_count_total' out of range [10.0, 2000000.0]: 3.0"),
+        ({"payouts_total": float("nan")}, "Operational field 'payouts_total' out of range [0.0, 10000000000.0]: nan"),
         ({"referred_clients_current": 91.0}, "referred_clients_current cannot exceed new_clients_current."),
         ({"top1_wallet_share": 0.6}, "top1_wallet_share cannot exceed top10_wallet_share."),
     ],
@@ -80,4 +80,4 @@ def test_clamp_policy_keeps_the_row(spark):
 def test_feature_contract(spark):
     assert contracts.check_features(features_frame(spark)).first().reason is None
     bad = contracts.check_features(features_frame(spark, growth_rate=float("nan"))).first()
-    assert bad.reason == "Feature 'growth_rate' out of range [0.0, 1.2]"
+    assert bad.reason == "Feature 'growth_rate' out of range [0.0, 1.2]: nan"

@@ -80,6 +80,16 @@ def test_components_and_depth(spark, limit):
     assert found == {c: (components(links), walk_depth(links)) for c, links in by_case(rows).items()}
 
 
+@pytest.mark.parametrize("limit", [256, 0])
+def test_self_loops_count_the_same_on_both_ways(spark, limit):
+    rows = [("a", "A", "A"), ("a", "B", "C"), ("b", "A", "A"), ("c", "A", "B"), ("c", "B", "B")]
+    edges, _ = frames(spark, rows)
+    found = {r.case_id: (r.components, r.walk_depth) for r in graph.case_shape(edges, limit=limit).collect()}
+    assert found == {c: (components(links), walk_depth(links)) for c, links in by_case(rows).items()}
+    single = {r.case_id: r.components for r in graph.case_components(edges, limit).collect()}
+    assert single == {"a": 2, "b": 1, "c": 1}
+
+
 @pytest.mark.parametrize("limit", [256, 4])
 def test_single_measures_agree(spark, limit):
     rows = random_edges(2, cases=6)

@@ -93,8 +93,57 @@ def test_ledger_source(spark, tmp_path):
     names = ["company_id", "timestamp", "amount", "direction", "counterparty_type", "counterparty_name"]
     sinks.write_dataset(spark.createDataFrame([row], names), path)
     loaded = readers.load_ledger(spark, path)
-    assert dict(loaded.dtypes)["amount"] == "decimal(18,2)"
     assert loaded.first().company_id == "c1"
+    assert dict(readers.load_ledger(spark, path, amount_type="decimal(18,2)").dtypes)["amount"] == "decimal(18,2)"
+
+
+def test_small_ledger_amounts_are_kept(spark, tmp_path):
+    names = ["company_id", "timestamp", "amount", "direction", "counterparty_type", "counterparty_name"]
+    rows = [("c1", "2026-01-01 10:00:00", amount, "in", "legal", "p") for amount in ("0.00412345", "12.3456")]
+    path = str(tmp_path / "ledger.csv")
+    sinks.write_dataset(spark.createDataFrame(rows, names), path)
+    assert sorted(r.amount for r in readers.load_ledger(spark, path).collect()) == [0.00412345, 12.3456]
+
+
+def test_a_key_of_a_late_line_is_a_column(spark, tmp_path):
+    lines = [dict(row, sender_id=f"S{k}") for k in range(2000) for row in transfers()[:3]]
+    for line in lines[:5000]:
+        del line["memo"]
+    (tmp_path / "log.json").write_text("\n".join(map(json.dumps, lines)))
+    log = readers.load_transactions(spark, str(tmp_path / "log.json"))
+    assert log.where("memo = 'x'").count() == 1000
+    named = ["sender_id", "receiver_id", "amount", "timestamp"]
+    assert readers.load_transactions(spark, str(tmp_path / "log.json"), columns=named).columns == named
+
+
+def test_unreadable_rows_get_a_reason_and_stop_a_load(spark, tmp_path):
+    rows = [("A", "B", "12x", "2026-01-01"), ("A", "B", " 5.5\t", "2026-01-02"), ("A", "B", "", "2026-01-03"), ("A", "B", "1", "soon")]
+    path = str(tmp_path / "log.csv")
+    sinks.write_dataset(spark.createDataFrame(rows, ["sender_id", "receiver_id", "amount", "timestamp"]), path)
+    checked = readers.check_transactions(spark, path).collect()
+    assert sorted(filter(None, (r.reason for r in checked))) == ["Unreadable amount: 12x", "Unreadable timestamp: soon"]
+    assert sorted(r.amount for r in checked if r.amount is not None) == [1.0, 5.5]
+    with pytest.raises(Exception, match="Unreadable (amount: 12x|timestamp: soon)"):
+        readers.load_transactions(spark, path).agg({"amount": "sum"}).collect()
+
+
+def test_a_batch_envelope_and_equal_case_ids(spark, tmp_path):
+    def request(case, rows, **more):
+        events = [{k: (v.isoformat() + "Z" if k == "ts" else v) for k, v in r.items() if k not in ("case_id", "pos")} for r in rows]
+        return {"case_id": case, "events": events, **more}
+
+    small = [event("x", i, NOON, f"S{i}", f"R{i}") for i in range(2)]
+    large = [event("x", i, NOON, f"S{i}", "R") for i in range(4)]
+    bad = [event("x", 0, NOON, "S", "S")]
+    batch = {"cases": [request("k", small), request("k", large, window_hours=5), request(" ", bad)]}
+    (tmp_path / "batch.json").write_text(json.dumps(batch) + "\n" + json.dumps(request("k", small)))
+    events, asked = readers.explode_requests(readers.load_case_requests(spark, str(tmp_path / "batch.json")))
+    assert events.groupBy("request_id").count().count() == 4
+    scores, failures = scoring.score_batch(events, cases=asked)
+    found = scores.collect()
+    assert [r.case_id for r in found] == ["k"] * 3 and len({r.request_id for r in found}) == 3
+    assert len({r.global_risk for r in found}) == 2
+    assert [(r.case_id, r.error) for r in failures.collect()] == [("unknown-case", "sender_id and receiver_id must be different.")]
 
 
 def test_dated_sink_prunes(spark, tmp_path):

@@ -18,7 +18,8 @@ def test_trailing_windows_equal_the_batch_result(spark, tmp_path):
     feed = tmp_path / "feed"
     first = [event("a", i, NOON + timedelta(hours=i), f"S{i}", "R") for i in range(5)]
     late = [event("a", 9, NOON + timedelta(hours=1, minutes=30), "L", "R"), event("b", 0, NOON, "S", "R")]
-    repeated = [first[-1], event("b", 1, NOON + timedelta(hours=3), "S", "R"), event("b", 2, NOON, "S", "S")]
+    same_ids = [{**event("b", i, NOON + timedelta(hours=i), f"T{i}", "R"), "event_id": first[i]["event_id"]} for i in range(3)]
+    repeated = [first[-1], event("b", 11, NOON + timedelta(hours=3), "S", "R"), event("b", 12, NOON, "S", "S"), *same_ids]
     parts = [first, late, repeated]
 
     def compute(events):
@@ -29,7 +30,7 @@ def test_trailing_windows_equal_the_batch_result(spark, tmp_path):
         write(spark, feed, part)
         run = trailing.start(good_events(source(spark, feed), "2 days"), str(tmp_path / "checkpoint"), available_now=True)
         run.awaitTermination()
-    rows = {r["event_id"]: r for part in parts for r in part if r["sender_id"] != r["receiver_id"]}
+    rows = {(r["case_id"], r["event_id"]): r for part in parts for r in part if r["sender_id"] != r["receiver_id"]}
     batch = compute(events_frame(spark, list(rows.values())))
     assert sorted(trailing.latest().select(batch.columns).collect()) == sorted(batch.collect())
 
