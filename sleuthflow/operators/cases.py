@@ -1,7 +1,7 @@
 """Trailing case windows and the per-case facts drawn from them.
 
-Windowed events are aggregated in one pass to three small tables (`case_rollup`): by transfer edge, by
-minute and by amount. Everything else about a case is computed from those.
+Windowed events are kept once as narrow rows (`case_rollup`). Edges, minutes and amounts are aggregated from
+those, and everything else about a case from these aggregates.
 """
 
 from __future__ import annotations
@@ -98,46 +98,34 @@ def case_windows(windowed: DataFrame, key: str = "case_id", event_case_id: str |
 
 
 def case_rollup(windowed: DataFrame) -> DataFrame:
-    """Grouping sets by edge, by minute and by amount in one pass; `facet` names the set of a row.
+    """What the measures of a case read of its windowed events: one narrow row per event, nothing multiplied.
 
-    Amounts are in minor units, `per_one` of them to 1.
+    It needs no shuffle of its own. Edges, minutes and amounts are aggregated from it with a map-side combine,
+    each from its own columns. Amounts are in minor units, `per_one` of them to 1.
     """
     units, per_one = minor_units(windowed, "amount")
-    micros = F.unix_micros("ts")
-    prepared = windowed.select(
+    return windowed.select(
         "case_id",
         "sender_id",
         "receiver_id",
-        F.floor(micros / F.lit(MINUTE_US)).alias("minute"),
-        units.alias("amount_key"),
         units.alias("units"),
         F.when(F.col("sender_type").isin(catalog.PAYER_TYPES), units).otherwise(F.lit(0)).alias("payout"),
         (F.col("channel") == "crypto").cast("int").alias("is_crypto"),
-        micros.alias("us"),
+        F.unix_micros("ts").alias("us"),
         "window_hours",
-    )
-    keys = ["case_id", "sender_id", "receiver_id", "minute", "amount_key"]
-    facet = (
-        F.when(F.grouping("sender_id") == 0, "edge").when(F.grouping("minute") == 0, "minute").otherwise("amount")
-    )
-    return prepared.groupingSets(
-        [["case_id", "sender_id", "receiver_id"], ["case_id", "minute"], ["case_id", "amount_key"]], *keys
-    ).agg(
-        facet.alias("facet"),
-        F.count("*").alias("n"),
-        F.sum("units").alias("total"),
-        F.sum("payout").alias("payouts"),
-        F.sum("is_crypto").alias("n_crypto"),
-        F.min("us").alias("first_us"),
-        F.max("us").alias("last_us"),
-        F.max("window_hours").alias("window_hours"),
         F.lit(per_one).alias("per_one"),
     )
 
 
 def edges_of(rollup: DataFrame) -> DataFrame:
     """Distinct directed edges of each case with what they carried."""
-    return rollup.where(F.col("facet") == "edge").drop("facet", "minute", "amount_key")
+    return rollup.groupBy("case_id", "sender_id", "receiver_id").agg(
+        F.count("*").alias("n"),
+        F.sum("units").alias("total"),
+        F.sum("payout").alias("payouts"),
+        F.sum("is_crypto").alias("n_crypto"),
+        F.max("per_one").alias("per_one"),
+    )
 
 
 def event_gaps(rollup: DataFrame) -> DataFrame:
@@ -147,7 +135,12 @@ def event_gaps(rollup: DataFrame) -> DataFrame:
     only the step from one active minute to the next needs an order. A case has at most
     720 hours * 60 + 1 minutes, which bounds the window. The mean gap is the span over the gap count.
     """
-    minutes = rollup.where(F.col("facet") == "minute")
+    minutes = rollup.groupBy("case_id", F.floor(F.col("us") / F.lit(MINUTE_US)).alias("minute")).agg(
+        F.count("*").alias("n"),
+        F.min("us").alias("first_us"),
+        F.max("us").alias("last_us"),
+        F.max("window_hours").alias("window_hours"),
+    )
     order = Window.partitionBy("case_id").orderBy("minute")
     step = F.col("first_us") - F.lag("last_us").over(order)
     near = F.col("n") - 1 + F.when(step <= GAP_SECONDS * 1_000_000, 1).otherwise(0)
@@ -177,7 +170,9 @@ def event_gaps(rollup: DataFrame) -> DataFrame:
 
 def small_parts(rollup: DataFrame) -> DataFrame:
     """Events below 0.35 of the mean amount of their case, counted over distinct amounts."""
-    amounts = rollup.where(F.col("facet") == "amount").select("case_id", "amount_key", "n", "total")
+    amounts = rollup.groupBy("case_id", F.col("units").alias("amount_key")).agg(
+        F.count("*").alias("n"), F.sum("units").alias("total")
+    )
     means = amounts.groupBy("case_id").agg(
         F.count("*").alias("n_rows"),
         (F.sum("total").cast("double") / F.sum("n").cast("double")).alias("mean_amount"),

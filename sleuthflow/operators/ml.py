@@ -15,6 +15,7 @@ from sleuthflow.functions.columns import band
 from sleuthflow.operators.contracts import check_features, check_ops
 from sleuthflow.operators.entity import operational_to_features
 from sleuthflow.operators.quality import assert_no_leakage
+from sleuthflow.session import scratch_path
 
 
 def _assembler(feature_names: list[str], output: str) -> VectorAssembler:
@@ -33,6 +34,9 @@ def train_risk_model(
 ) -> PipelineModel:
     """Gradient-boosted trees on `label`. NaN, Inf and NULL features stop the fit."""
     assert_no_leakage(feature_names)
+    context = train.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(scratch_path(train.sparkSession, "boosting"))
     booster = GBTClassifier(
         featuresCol="features",
         labelCol="label",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sleuthflow import catalog
+from sleuthflow.operators.findings import CONCLUSIONS, WORDING
 from sleuthflow.plans.views import BORDERLINE_STRIP, WINDOW_HOURS
 
 D = "DOUBLE"
@@ -44,6 +45,30 @@ def _display(metric: str) -> str:
     return f"printf('%.0f', {metric}::DOUBLE)"
 
 
+def _narrative() -> str:
+    """Text of the findings: risk level, a sentence per finding, the conclusion."""
+    rising = {
+        "physical": ("physical_inflow_ratio * 100", 60, 35),
+        "crypto": ("crypto_exposure_ratio * 100", 30, 10),
+        "dependency": ("dependency_ratio", 0.8, 0.5),
+        "concentration": ("concentration_index * 100", 40, 25),
+    }
+    lines = []
+    for name in ("physical", "crypto", "dependency", "holding", "concentration"):
+        pattern, red, yellow, green = WORDING[name]
+        value, high, low = rising.get(name, ("avg_holding_time", 30, 60))
+        sign = "<" if name == "holding" else ">="
+        tail = f"CASE WHEN {value} {sign} {high} THEN '{red}' WHEN {value} {sign} {low} THEN '{yellow}' ELSE '{green}' END"
+        lines.append(f"printf('{pattern}', {value}) || {tail}")
+    closing = "CASE " + " ".join(
+        f"WHEN probability >= {limit} THEN '{CONCLUSIONS[key]}'"
+        for limit, key in ((0.75, "priority_check"), (0.55, "deep_analysis"), (0.30, "monitoring"))
+    )
+    head = "'Risk level ' || risk_level || printf(' (%.1f%%)', probability * 100)"
+    last = f"'Company ' || company_id || ': ' || {closing} ELSE '{CONCLUSIONS['no_action']}' END"
+    return "concat_ws(chr(10) || chr(10), " + ", ".join([head, *lines, last]) + ")"
+
+
 _OPS_REASON = (
     "CASE " + _reason(catalog.OPERATIONAL_BOUNDS, "Operational field")
     + "WHEN referred_clients_current > new_clients_current "
@@ -681,7 +706,9 @@ ORACLES: dict[str, str] = {
         CASE WHEN avg_holding_time < 30 THEN 'red' WHEN avg_holding_time < 60 THEN 'yellow' ELSE 'green' END AS holding_band,
         CASE WHEN concentration_index * 100 >= 40 THEN 'red' WHEN concentration_index * 100 >= 25 THEN 'yellow' ELSE 'green' END AS concentration_band,
         CASE WHEN probability >= 0.75 THEN 'priority_check' WHEN probability >= 0.55 THEN 'deep_analysis'
-        WHEN probability >= 0.30 THEN 'monitoring' ELSE 'no_action' END AS conclusion FROM crisk""",
+        WHEN probability >= 0.30 THEN 'monitoring' ELSE 'no_action' END AS conclusion, """
+        + _narrative()
+        + " AS narrative FROM crisk",
     ),
     "factor_contributions": _with(
         "crisk",

@@ -189,7 +189,7 @@ def factor_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return company_findings(*_company_risk(spark, sf_dir)).drop("narrative")
+    return company_findings(*_company_risk(spark, sf_dir))
 
 
 # Cases
@@ -345,10 +345,22 @@ def stream_case_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Models
 
+_fitted: dict[tuple[str, int, str], object] = {}
+
+
 def _model(spark: SparkSession, sf_dir: str):
-    """Model on the training rows, fitted anew by every query that uses it."""
+    """Model of full size on the training rows.
+
+    Queries over the same rows share one fit: the key is a digest of the rows themselves, so changed data are
+    fitted anew. A fresh session fits again.
+    """
     train = materialize(_split(spark, sf_dir).where(~F.col("is_test")), "train")
-    return ml.train_risk_model(train)
+    digest = F.sum(F.xxhash64(*sorted(train.columns)).cast("decimal(38,0)")).cast("string")
+    rows, mark = train.agg(F.count("*"), digest).first()
+    key = (spark.sparkContext.applicationId, rows, mark)
+    if key not in _fitted:
+        _fitted[key] = ml.train_risk_model(train)
+    return _fitted[key]
 
 
 def train_risk_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -197,3 +197,11 @@ def test_batch_isolates_failures(spark):
         "short": "window_hours must be > 0.",
         "void": "events cannot be empty.",
     }
+
+
+def test_a_rollup_stores_no_more_rows_than_events(spark, sf_dir):
+    from sleuthflow.plans import views
+
+    events = views.good_events(spark, sf_dir)
+    windowed = cases.window_events(events, views.WINDOW_HOURS)
+    assert scoring.rollup_of(events, views.WINDOW_HOURS).count() <= windowed.count()
