@@ -27,6 +27,11 @@ CONCLUSIONS = {
 }
 
 
+def _even(pattern: str, value: Column) -> Column:
+    """Halves go to the even neighbour where no digit is printed, as Python prints them."""
+    return F.rint(value) if "%.0f" in pattern else value
+
+
 def _values() -> dict[str, Column]:
     return {
         "physical": F.col("physical_inflow_ratio") * 100,
@@ -59,7 +64,7 @@ def company_findings(
     ordered = list(values)
     lines = [
         F.concat(
-            F.format_string(wording[name][0], values[name]),
+            F.format_string(wording[name][0], _even(wording[name][0], values[name])),
             F.when(bands[name] == "red", wording[name][1])
             .when(bands[name] == "yellow", wording[name][2])
             .otherwise(wording[name][3]),
