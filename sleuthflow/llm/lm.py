@@ -25,7 +25,7 @@ from sleuthflow.llm.common import fold, slices, texts_as_bytes
 from sleuthflow.session import materialize
 
 HELD_OUT, DELETED = 1, 0
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_200_000
 RANGE_TOKENS = 1_000_000
 END = xxhash.xxh64_intdigest(b"\n", seed=42)  # no word holds white space
 #: Histogram cells of held-out tokens: eighths of a power of two; beyond FAR there is no estimate.
