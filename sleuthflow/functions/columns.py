@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -24,6 +25,22 @@ def number_text(value: Column) -> Column:
     return F.when(F.isnan(x), "nan").when((size >= 1e7) & (size < 1e16), fixed).otherwise(x.cast("string"))
 
 
+def printed(pattern: str, value: Column) -> Column:
+    """`pattern` with one `%.<digits>f`, rounded as C and Python round: by the exact binary value, ties to even.
+
+    The JVM rounds the shortest decimal text of a double, half up. The product with 2 * 10**digits is taken
+    without error (Veltkamp split), which tells on which side of a tie the value lies.
+    """
+    digits = int(re.search(r"%\.(\d)f", pattern)[1])
+    x, unit = value.cast("double"), 10.0**digits
+    high = x * F.lit(134217729.0) - (x * F.lit(134217729.0) - x)
+    double = x * F.lit(2 * unit)
+    rest = (high * F.lit(2 * unit) - double) + (x - high) * F.lit(2 * unit)
+    tie = F.abs(double % 2) == 1
+    whole = F.when(tie & (rest > 0), (double + 1) / 2).when(tie & (rest < 0), (double - 1) / 2).otherwise(F.rint(double / 2))
+    return F.format_string(pattern, whole / F.lit(unit))
+
+
 def clip(value: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(value, F.lit(float(low))), F.lit(float(high)))
 

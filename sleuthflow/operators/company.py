@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sleuthflow import catalog
-from sleuthflow.functions.columns import at_least, band, clip01, require_columns, share
+from sleuthflow.functions.columns import at_least, band, clip01, printed, require_columns, share
 from sleuthflow.functions.money import in_money, minor_units
 from sleuthflow.functions.ranking import top_k
 from sleuthflow.session import materialize
@@ -260,12 +260,12 @@ def metrics_long(metrics: DataFrame) -> DataFrame:
     money = F.col("metric").isin("total_inflow", "total_outflow", "crypto_inflow", "crypto_outflow", "total_volume")
     thousandth = F.col("metric").isin("dependency_ratio", "concentration_index")
     text = (
-        F.when(percent, F.format_string("%.1f%%", F.col("value") * 100))
-        .when(thousandth, F.format_string("%.3f", "value"))
-        .when(F.col("metric") == "avg_holding_time", F.format_string("%.1f", "value"))
-        .when(F.col("metric") == "entropy_of_flows", F.format_string("%.4f", "value"))
+        F.when(percent, printed("%.1f%%", F.col("value") * 100))
+        .when(thousandth, printed("%.3f", F.col("value")))
+        .when(F.col("metric") == "avg_holding_time", printed("%.1f", F.col("value")))
+        .when(F.col("metric") == "entropy_of_flows", printed("%.4f", F.col("value")))
         .when(money, F.format_number("value", 0))
-        .otherwise(F.format_string("%.0f", "value"))
+        .otherwise(printed("%.0f", F.col("value")))
     )
     return long.withColumn("display", text)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sleuthflow.functions.columns import band
+from sleuthflow.functions.columns import band, printed
 
 # Band limits of the findings and of the conclusion.
 RISING_LIMITS = {"physical": (60.0, 35.0), "crypto": (30.0, 10.0), "dependency": (0.8, 0.5), "concentration": (40.0, 25.0)}
@@ -27,11 +27,6 @@ CONCLUSIONS = {
 }
 
 
-def _even(pattern: str, value: Column) -> Column:
-    """Halves go to the even neighbour where no digit is printed, as Python prints them."""
-    return F.rint(value) if "%.0f" in pattern else value
-
-
 def _values() -> dict[str, Column]:
     return {
         "physical": F.col("physical_inflow_ratio") * 100,
@@ -64,7 +59,7 @@ def company_findings(
     ordered = list(values)
     lines = [
         F.concat(
-            F.format_string(wording[name][0], _even(wording[name][0], values[name])),
+            printed(wording[name][0], values[name]),
             F.when(bands[name] == "red", wording[name][1])
             .when(bands[name] == "yellow", wording[name][2])
             .otherwise(wording[name][3]),
@@ -73,7 +68,7 @@ def company_findings(
     ]
     verdict = band(F.col("probability"), CONCLUSION_LIMITS, "no_action")
     closing = F.coalesce(*[F.when(verdict == key, F.lit(text)) for key, text in conclusions.items()])
-    head = F.concat(F.lit("Risk level "), F.col("risk_level"), F.format_string(" (%.1f%%)", F.col("probability") * 100))
+    head = F.concat(F.lit("Risk level "), F.col("risk_level"), printed(" (%.1f%%)", F.col("probability") * 100))
     subject = F.concat(F.lit("Company "), F.col("company_id").cast("string"), F.lit(": "), closing)
     return metrics.join(risk.select("company_id", "probability", "risk_level"), "company_id").select(
         "company_id",

@@ -142,3 +142,16 @@ def test_daily_flow_fills_missing_directions(spark):
     rows = [("c", datetime(2025, 1, 1), Decimal(5), "in", "legal", "p")]
     row = company.daily_flow(spark.createDataFrame(rows, SCHEMA)).first()
     assert (row.day, row.inflow, row.outflow) == (date(2025, 1, 1), 5, 0)
+
+
+def test_numbers_print_as_python_prints_them(spark):
+    from pyspark.sql import functions as F
+
+    from sleuthflow.functions.columns import printed
+
+    values = [0.485, 0.495, 0.125, 0.375, 2.5, 3.5, 4.5, 0.15, 0.25, 1.005, -0.485, 0.0, 123456.785, 1e-9, 0.0049999]
+    row = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (0, 1, 2, 3):
+        pattern = f"%.{digits}f"
+        found = [r[0] for r in row.select(printed(pattern, F.col("v"))).collect()]
+        assert found == [pattern % v for v in values]
