@@ -6,15 +6,39 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _local_scratch: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once per application, through Spark's own file distribution.
+
+    Workers do not search the driver's folders for modules. The archive is made on the driver and copied to the
+    executors by Spark.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    folder = Path(tempfile.mkdtemp(prefix="sleuthflow-code-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = folder / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as held:
+        for source in sorted(package.rglob("*.py")):
+            held.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Runtime settings the operators rely on: UTC days and adaptive execution."""
+    """What the operators rely on: UTC days, adaptive execution, this package on the workers."""
+    ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")

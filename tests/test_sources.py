@@ -172,3 +172,24 @@ def test_catalog_tables(spark):
     assert [r.typology for r in catalogs.typologies_table(spark).orderBy("place").collect()] == catalog.TYPOLOGIES
     assert catalogs.thresholds_table(spark).where("scale = 'case' and band = 'HIGH'").first().at_least == 0.7
     assert catalogs.engine_status(None)["tabular_model_loaded"] is False
+
+
+def test_workers_get_the_package(tmp_path):
+    """A driver that runs elsewhere and finds the package by sys.path alone."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    script = f"""
+import sys; sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+from sleuthflow.session import configure
+spark = configure(SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate())
+def run(batches):
+    import sleuthflow.catalog
+    yield from batches
+print("rows", spark.range(3).mapInArrow(run, "id long").count())
+"""
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=200)
+    assert "rows 3" in done.stdout, done.stderr[-2000:]
