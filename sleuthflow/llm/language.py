@@ -108,9 +108,16 @@ def sample(docs: DataFrame, language: str = "lang", key: str = "doc_id", text: s
     """
     labelled = docs.where(F.col(language).isNotNull() & F.col(key).isNotNull())
     common = labelled.groupBy(language).count().orderBy(F.desc("count"), F.asc(language)).limit(LANGUAGES)
-    names = [r[0] for r in common.collect()]
+    counts = {r[0]: r["count"] for r in common.collect()}
+    names = list(counts)
     at = F.xxhash64(F.lit("sample"), F.col(key))
-    slim = labelled.where(F.col(language).isin(names)).select(F.col(language).alias("lang"), F.col(key).alias("key"), at.alias("at"))
+    # Hashes are even, so the first SAMPLE_TEXTS of n lie in the lowest few SAMPLE_TEXTS / n of the range; with
+    # the others left out beforehand, the ranking reads a bounded number of rows whatever the table's size.
+    share = F.lit(False)
+    for name, count in counts.items():
+        reach = int(min(1.0, 4 * SAMPLE_TEXTS / count) * 2**64) - 2**63
+        share = share | ((F.col(language) == name) & (at < F.lit(min(reach, 2**63 - 1))))
+    slim = labelled.where(share).select(F.col(language).alias("lang"), F.col(key).alias("key"), at.alias("at"))
     keys = [r[0] for r in top_k(slim, ["lang"], [F.asc("at"), F.asc("key")], SAMPLE_TEXTS).select("key").distinct().collect()]
     body = F.substring(F.coalesce(F.col(text), F.lit("")).cast("binary"), 1, TEXT_BYTES)
     rows = labelled.where(F.col(language).isin(names) & F.col(key).isin(keys)).select(

@@ -35,7 +35,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints over 3-word shingles, linked at 2 bits or fewer."""
     configure(spark)
-    return simhash.near_duplicates(documents(spark, sf_dir), words=3, width=1, radius=2)
+    return simhash.near_duplicates(documents(spark, sf_dir), words=3, width=1, radius=2, repeats=True)
 
 
 def op4_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

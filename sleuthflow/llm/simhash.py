@@ -66,13 +66,19 @@ def shingle_hashes(text: bytes, words: int, limit: int = SLICE_BYTES) -> Iterato
         yield np.array([digest(b" ".join(last), SEED)], np.uint64)
 
 
-def fingerprint(text: bytes, words: int, width: int = 1) -> np.ndarray:
+def fingerprint(text: bytes, words: int, width: int = 1, repeats: bool = True) -> np.ndarray:
     """Fingerprint as signed 64-bit words; a text without words has zeros.
 
+    Without `repeats` every distinct shingle counts once, so that a line said a hundred times does not outweigh
+    the rest; the hashes of a text are then held together.
+
     The first word takes the bits of the shingle hashes themselves, each further one those of a remixed hash.
     """
     total, counts = 0, np.zeros((width, 64), np.int64)
-    for hashes in shingle_hashes(text, words):
+    found = shingle_hashes(text, words)
+    if not repeats:
+        found = [np.unique(np.concatenate([np.zeros(0, np.uint64), *found]))]
+    for hashes in found:
         total += len(hashes)
         for n in range(width):
             octets = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -86,13 +92,15 @@ def fingerprint(text: bytes, words: int, width: int = 1) -> np.ndarray:
     return np.packbits(counts * 2 > total, axis=1).view(">i8")[:, 0].astype(np.int64)
 
 
-def fingerprints(docs: DataFrame, words: int = 5, width: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(
+    docs: DataFrame, words: int = 5, width: int = 1, key: str = "doc_id", text: str = "text", repeats: bool = True
+) -> DataFrame:
     """(key, fp) of every document, whole texts: lower-case ASCII letters, words by ASCII white space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
-                found = np.concatenate([fingerprint(t, words, width) for t in texts_as_bytes(part, text)])
+                found = np.concatenate([fingerprint(t, words, width, repeats) for t in texts_as_bytes(part, text)])
                 offsets = pa.array(np.arange(0, len(found) + 1, width, dtype=np.int32))
                 fp = pa.ListArray.from_arrays(offsets, pa.array(found))
                 yield pa.RecordBatch.from_arrays([part.column(0), fp], [key, "fp"])
@@ -101,7 +109,7 @@ def fingerprints(docs: DataFrame, words: int = 5, width: int = 1, key: str = "do
     return source.mapInArrow(run, f"`{key}` {source.schema[key].dataType.simpleString()}, fp array<bigint>")
 
 
-def radius_of(similarity: float, bits: int, slack: float = 1.5) -> int:
+def radius_of(similarity: float, bits: int, slack: float = 1.0) -> int:
     """Differing bits up to which texts of a Jaccard similarity are linked.
 
     Shingle counts of Jaccard similarity J have cosine 2 J / (1 + J), and a bit differs with probability
@@ -201,6 +209,7 @@ def near_duplicates(
     radius: int | None = None,
     key: str = "doc_id",
     text: str = "text",
+    repeats: bool = False,
 ) -> DataFrame:
     """(key, fingerprint, component_id) of every document.
 
@@ -214,7 +223,7 @@ def near_duplicates(
     bits = 64 * width
     sieve = radius_of(similarity, 64, 2.0) if radius is None else radius
     radius = radius_of(similarity, bits) if radius is None else radius
-    signed = materialize(fingerprints(docs, words, width, key, text), "fingerprints")
+    signed = materialize(fingerprints(docs, words, width, key, text, repeats), "fingerprints")
     name = F.col("fp")[0] if width == 1 else F.xxhash64("fp")
     signed = signed.withColumn("id", name)
     classes = materialize(signed.groupBy("id").agg(F.first("fp").alias("fp"), F.min(key).alias("least")), "classes")

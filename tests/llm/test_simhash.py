@@ -36,7 +36,7 @@ def plain_groups(keyed, radius):
 def check(df, rows, n, radius):
     keyed = [(k, plain_fingerprint(t, n)) for k, t in rows]
     expected = [(k, f"{f:016x}", g) for (k, f), g in zip(keyed, plain_groups(keyed, radius))]
-    found = simhash.near_duplicates(df, words=n, width=1, radius=radius)
+    found = simhash.near_duplicates(df, words=n, width=1, radius=radius, repeats=True)
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(expected, key=repr)
 
 
