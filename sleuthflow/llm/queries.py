@@ -1,4 +1,4 @@
-"""Registered queries of the operators: callables (spark, sf_dir) -> DataFrame and their DuckDB checks."""
+"""Registered queries of the operators: callables (spark, sf_dir) -> DataFrame."""
 
 from __future__ import annotations
 
@@ -91,21 +91,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_topk_segments": op10_topk_segments,
 }
-
-ORACLES: dict[str, str] = {
-    "op10_topk_segments": """
-        WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS w
-            FROM embeddings
-            WHERE len(embedding) > 0
-              AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)
-        ), s AS (
-            SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.w, c.w)::BIGINT AS score
-            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.w) = len(c.w)
-        )
-        SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score
-        FROM s
-        WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
-        QUALIFY row_number() OVER w <= 20
-    """,
-}
