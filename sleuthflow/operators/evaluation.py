@@ -73,39 +73,41 @@ def binary_metrics(scored: DataFrame, score: str = "score", label: str = "label"
 
 
 def score_counts(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """Distinct scores with their positives and negatives, written once for the passes over them."""
+    """Distinct scores with their positives and negatives, from the highest down in parts of even size.
+
+    The parts are cut by rank, so scores crowded into a sliver of their range are split too. Rows without a
+    score are left out.
+    """
     counted = scored.groupBy(F.col(score).cast("double").alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("tp"), F.count_if(F.col(label) == 0).alias("fp")
     )
-    return materialize(counted, "score-counts")
+    ranged = counted.where(F.col("score").isNotNull()).repartitionByRange(F.desc("score"))
+    return materialize(ranged.withColumn("part", F.spark_partition_id()), "score-counts")
 
 
-def score_points(counted: DataFrame, buckets: int = 1024) -> DataFrame:
-    """Distinct scores in [0, 1] with their counts and the cumulative counts from the highest score down.
+def score_points(counted: DataFrame) -> DataFrame:
+    """Distinct scores with their counts and the cumulative counts from the highest score down.
 
-    The running sum is taken inside score buckets and over the bucket totals,
-    of which there are at most `buckets`, so no task orders all scores. `next_*` are the counts of the
-    next lower score.
+    The running sum is taken inside the parts and over their totals, one row per part, so no task orders all
+    scores. `next_*` are the counts of the next lower score.
     """
-    bucket = F.least(F.floor(F.col("score") * buckets), F.lit(buckets - 1)).cast("int")
-    placed = counted.withColumn("bucket", bucket)
-    down = Window.orderBy(F.desc("bucket"))
+    down = Window.orderBy("part")
     above = down.rowsBetween(Window.unboundedPreceding, -1)
     top = F.max(F.struct("score", "tp", "fp")).alias("top")
     offsets = (
-        placed.groupBy("bucket")
-        .agg(F.sum("tp").alias("bucket_tp"), F.sum("fp").alias("bucket_fp"), top)
+        counted.groupBy("part")
+        .agg(F.sum("tp").alias("part_tp"), F.sum("fp").alias("part_fp"), top)
         .select(
-            "bucket",
-            F.coalesce(F.sum("bucket_tp").over(above), F.lit(0)).alias("tp_above"),
-            F.coalesce(F.sum("bucket_fp").over(above), F.lit(0)).alias("fp_above"),
+            "part",
+            F.coalesce(F.sum("part_tp").over(above), F.lit(0)).alias("tp_above"),
+            F.coalesce(F.sum("part_fp").over(above), F.lit(0)).alias("fp_above"),
             F.lead("top").over(down).alias("below"),
         )
     )
-    inside = Window.partitionBy("bucket").orderBy(F.desc("score"))
+    inside = Window.partitionBy("part").orderBy(F.desc("score"))
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    # At most `buckets` offset rows.
-    return placed.join(F.broadcast(offsets), "bucket").select(
+    # One offset row per part, that is per shuffle partition.
+    return counted.join(F.broadcast(offsets), "part").select(
         "score",
         "tp",
         "fp",

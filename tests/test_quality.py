@@ -116,3 +116,20 @@ def test_collinear_points_are_dropped(spark):
     scored = spark.createDataFrame([(0.9, 1), (0.8, 1), (0.7, 1), (0.2, 0), (0.1, 0)], "score double, label int")
     kept = sorted((r.threshold for r in evaluation.roc_curve(scored).collect()), reverse=True)
     assert kept == [float("inf"), 0.9, 0.7, 0.1]
+
+
+def test_crowded_scores_are_cut_by_rank_and_may_lie_outside_zero_to_one(spark):
+    rows = [(0.9 + k / 1e7, k % 2) for k in range(5000)] + [(-3.0, 0), (7.5, 1), (None, 1)]
+    scored = spark.createDataFrame(rows, "score double, label int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        counted = evaluation.score_counts(scored)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in counted.groupBy("part").count().collect()]
+    assert len(sizes) >= 3 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    won = sum((a > b) + 0.5 * (a == b) for a, x in rows[::50] if x == 1 and a is not None for b, y in rows[::50] if y == 0)
+    sampled = spark.createDataFrame(rows[::50], "score double, label int")
+    found = evaluation.binary_metrics(sampled).first().roc_auc
+    ones, zeros = sum(x for a, x in rows[::50] if a is not None), sum(1 - x for a, x in rows[::50] if a is not None)
+    assert found == (won / (ones * zeros) if ones * zeros else 0.0)
