@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, datetime, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -28,6 +30,12 @@ def good_events(stream: DataFrame, lateness: str) -> DataFrame:
     )
 
 
+def bad_events(stream: DataFrame) -> DataFrame:
+    """Events of a stream that break the contract, with the reason; they fail their case as in a batch."""
+    checked = check_events(stream)
+    return checked.where(F.col("reason").isNotNull()).select("case_id", "event_id", "reason")
+
+
 def hopping_case_windows(
     stream: DataFrame, window: str = "24 hours", hop: str = "1 hour", lateness: str = "1 hour"
 ) -> DataFrame:
@@ -70,23 +78,37 @@ class TrailingCases:
     ) -> None:
         self.spark, self.folder, self.compute, self.window_hours = spark, folder, compute, window_hours
         self.schema = None
+        self.newest = self._newest_day()
+
+    def _newest_day(self) -> datetime | None:
+        """Latest event of an earlier run, so that a restart reads as far as it has to."""
+        try:
+            return self.spark.read.parquet(f"{self.folder}/log").agg(F.max("ts")).first()[0]
+        except AnalysisException:
+            return None
 
-    def _log(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).option("basePath", f"{self.folder}/log").parquet(f"{self.folder}/log")
+    def _log(self, first: date, last: date) -> DataFrame:
+        """Events of the days from `first` to `last`; the folders of other days are not listed."""
+        days = ",".join(str(first + timedelta(days=n)) for n in range((last - first).days + 1))
+        root = f"{self.folder}/log"
+        return self.spark.read.schema(self.schema).option("basePath", root).parquet(f"{root}/event_date={{{days}}}")
 
     def _batch(self, batch: DataFrame, number: int) -> None:
         if self.schema is None:
             self.schema = f"{_ddl(batch)}, event_date date, batch bigint"
-        path = f"{self.folder}/log/batch={number}"
-        batch.withColumn("event_date", F.to_date("ts")).write.mode("overwrite").partitionBy("event_date").parquet(path)
-        log = self._log().where(F.col("batch") <= number)
-        added = log.where(F.col("batch") == number)
-        oldest = added.agg(F.min("ts").alias("ts")).first()["ts"]
+        placed = batch.withColumns({"event_date": F.to_date("ts"), "batch": F.lit(number).cast("bigint")})
+        # A batch that runs again overwrites its own folders only.
+        placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "batch").parquet(
+            f"{self.folder}/log"
+        )
+        oldest, newest = placed.agg(F.min("ts"), F.max("ts")).first()
         if oldest is None:
             return
-        reach = F.lit(oldest) - F.make_dt_interval(F.lit(0), F.lit(self.window_hours))
-        recent = log.where(F.col("event_date") >= F.to_date(reach))
-        touched = recent.join(added.select("case_id").distinct(), "case_id", "left_semi").drop("event_date", "batch")
+        self.newest = max(newest, self.newest or newest)
+        log = self._log((oldest - timedelta(hours=self.window_hours)).date(), self.newest.date())
+        log = log.where(F.col("batch") <= number)
+        added = log.where(F.col("batch") == number)
+        touched = log.join(added.select("case_id").distinct(), "case_id", "left_semi").drop("event_date", "batch")
         result = self.compute(touched)
         result.write.mode("overwrite").parquet(f"{self.folder}/cases/batch={number}")
 
@@ -95,12 +117,33 @@ class TrailingCases:
         writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
         return writer.start()
 
+    def start_quarantine(self, bad: DataFrame, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+        """Keep events that break the contract; their cases leave `latest` and appear in `failures`."""
+
+        def keep(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{self.folder}/bad/batch={number}")
+
+        writer = bad.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
+        writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
+        return writer.start()
+
+    def failures(self) -> DataFrame:
+        """One row per case with a bad event: the first of its reasons by event id."""
+        path = f"{self.folder}/bad"
+        try:
+            bad = self.spark.read.option("basePath", path).parquet(path)
+        except AnalysisException:
+            return self.spark.createDataFrame([], "case_id string, error string")
+        first = F.min(F.struct("event_id", "reason"))["reason"]
+        return bad.groupBy("case_id").agg(first.alias("error"))
+
     def latest(self) -> DataFrame:
-        """Newest result of every case."""
+        """Newest result of every case without bad events."""
         path = f"{self.folder}/cases"
         results = self.spark.read.option("basePath", path).parquet(path)
         newest = results.groupBy("case_id").agg(F.max("batch").alias("batch"))
-        return results.join(newest, ["case_id", "batch"], "left_semi").drop("batch")
+        kept = results.join(newest, ["case_id", "batch"], "left_semi").drop("batch")
+        return kept.join(self.failures(), "case_id", "left_anti")
 
 
 def _ddl(df: DataFrame) -> str:

@@ -53,7 +53,7 @@ def test_missing_columns_fail_at_plan_time(spark):
 
 def test_features_of_the_operational_row(spark):
     row = entity.operational_to_features(ops_frame(spark), keep=[]).first()
-    expected = [0.285714, 0.244444, 0.619048, 0.18, 42, 0.38, 0.5556, 3.746712, 5]
+    expected = [0.25, 0.2, 0.25, 0.25, 30, 0.4, 0.535, 3.309447, 4]
     assert [row[n] for n in catalog.FEATURES] == pytest.approx(expected, abs=1e-6)
 
 

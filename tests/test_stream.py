@@ -3,7 +3,7 @@ from datetime import timedelta
 from samples import EVENT_SCHEMA, NOON, event, events_frame
 
 from sleuthflow.operators import cases
-from sleuthflow.streaming.case_stream import TrailingCases, good_events, hopping_case_windows
+from sleuthflow.streaming.case_stream import TrailingCases, bad_events, good_events, hopping_case_windows
 
 
 def source(spark, folder):
@@ -44,3 +44,34 @@ def test_hopping_windows(spark, tmp_path):
     run.awaitTermination()
     found = {r.window_start: r.n_events for r in spark.table("live").where("case_id = 'a'").collect()}
     assert found == {NOON - timedelta(hours=1): 1, NOON: 2, NOON + timedelta(hours=1): 2, NOON + timedelta(hours=2): 1}
+
+
+def test_bad_events_fail_their_case_and_other_days_are_not_listed(spark, tmp_path):
+    feed = tmp_path / "feed"
+    parts = [
+        [event(c, i, NOON + timedelta(days=10 * i, hours=c == "b"), f"S{i}", "R") for c in ("a", "b")] for i in range(3)
+    ]
+    parts[1].append(event("b", 9, NOON, "S", "S"))
+
+    def compute(events):
+        return cases.case_windows(cases.window_events(events, 3))
+
+    trailing = TrailingCases(spark, str(tmp_path / "state"), compute, 3)
+    listed = []
+    plain = trailing._log
+
+    def log(first, last):
+        listed.append((last - first).days + 1)
+        return plain(first, last)
+
+    trailing._log = log
+    for part in parts:
+        write(spark, feed, part)
+        stream = source(spark, feed)
+        trailing.start(good_events(stream, "40 days"), str(tmp_path / "c1"), available_now=True).awaitTermination()
+        trailing.start_quarantine(bad_events(stream), str(tmp_path / "c2"), available_now=True).awaitTermination()
+    assert [r.case_id for r in trailing.latest().collect()] == ["a"]
+    assert [tuple(r) for r in trailing.failures().collect()] == [("b", "sender_id and receiver_id must be different.")]
+    assert max(listed) <= 2
+    # A new process finds the newest event again.
+    assert TrailingCases(spark, str(tmp_path / "state"), compute, 3).newest == NOON + timedelta(days=20, hours=1)
