@@ -29,6 +29,9 @@ HEADLINE = [
     "counterparty_network",
     "class_overlap",
     "roc_curve",
+    "score_batch_failures",
+    "dataset_quality_gate",
+    "stream_case_windows",
 ]
 
 

@@ -30,6 +30,34 @@ def _reason(bounds: dict[str, tuple[float, float]], noun: str) -> str:
     return whens
 
 
+def _population_map(rounds: int = 600) -> str:
+    """Two principal components by power iteration on the correlation matrix, the second after deflation."""
+    n, names = len(catalog.FEATURES), catalog.FEATURES
+
+    def known(value: str) -> str:
+        return f"coalesce(CASE WHEN isfinite({value}) THEN {value} END, 0)"
+
+    matrix = ", ".join("[" + ", ".join(known(f"corr({a}, {b})") for b in names) + "]" for a in names)
+    scores = ", ".join(known(f"(({a} - s.stat['{a}_mean']) / nullif(s.stat['{a}_dev'], 0))") for a in names)
+    stats = ", ".join(f"'{a}_mean': avg({a}), '{a}_dev': stddev_pop({a})" for a in names)
+
+    def power(name: str, source: str) -> str:
+        start = ", ".join(f"{1 + k / 10}::DOUBLE" for k in range(n))
+        return f"""{name}_run(i, v) AS (SELECT 0, [{start}] UNION ALL
+            SELECT i + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w)))
+            FROM (SELECT i, list_transform(m, lambda r: list_dot_product(r, v)) AS w FROM {name}_run, {source} WHERE i < {rounds})),
+        {name} AS (SELECT list_transform(v, lambda x: x * sign(v[list_position(list_transform(v, lambda y: abs(y)),
+            list_max(list_transform(v, lambda y: abs(y))))])) AS v FROM {name}_run WHERE i = {rounds})"""
+
+    return f"""WITH RECURSIVE s AS (SELECT {{{stats}}} AS stat FROM lab), c AS (SELECT [{matrix}] AS m FROM lab),
+        {power("first", "c")},
+        flat AS (SELECT list_transform(range(1, {n + 1}), lambda a: list_transform(range(1, {n + 1}), lambda b: m[a][b]
+            - list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) * v[a] * v[b])) AS m FROM c, first),
+        {power("second", "flat")}
+        SELECT entity_id, label, is_borderline, list_dot_product([{scores}], first.v) AS pca1,
+            list_dot_product([{scores}], second.v) AS pca2 FROM lab, s, first, second"""
+
+
 def _display(metric: str) -> str:
     """Text of a metric: money with separators, counts without, shares in percent."""
     if metric in ("total_inflow", "total_outflow", "crypto_inflow", "crypto_outflow", "total_volume"):
@@ -216,6 +244,7 @@ _BLOCKS: list[tuple[str, list[str], str]] = [
         """SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(entity_id), entity_id)
         <= ceil(0.2 * count(*) OVER (PARTITION BY label)) AS is_test FROM lab""",
     ),
+    ("pca", ["lab"], _population_map()),
     (
         "score",
         ["lab"],
@@ -765,6 +794,17 @@ ORACLES: dict[str, str] = {
         "w",
         """SELECT case_id, count(*) AS n_events, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us FROM w GROUP BY case_id""",
     ),
+    "population_pca": _with(
+        "pca", 'SELECT entity_id, round(pca1, 4) AS "PCA1", round(pca2, 4) AS "PCA2", label, is_borderline FROM pca'
+    ),
+    "population_layers": _with(
+        "pca",
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS layer, count(*) AS n, round(avg(pca1), 4) AS center_pca1, round(avg(pca2), 4) AS center_pca2 "
+            f"FROM pca WHERE {rule} HAVING count(*) > 0"
+            for name, rule in (("legit", "label = 0"), ("pyramid", "label = 1"), ("borderline", "is_borderline"))
+        ),
+    ),
     "stratified_split": _with("split", "SELECT entity_id, label, is_test FROM split"),
     "binary_metrics": _with(
         "ranked",

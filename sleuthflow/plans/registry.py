@@ -15,6 +15,8 @@ from sleuthflow.sources import catalogs, readers, sinks
 from sleuthflow.streaming.case_stream import TrailingCases, good_events
 
 DIGITS = 6
+# Digits to which eigenvectors of different solvers agree.
+PCA_DIGITS = 4
 HOURS = views.WINDOW_HOURS
 # Files of the feed of the stream query; a third of them makes a micro-batch.
 STREAM_FILES = 12
@@ -391,11 +393,13 @@ def _population(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def population_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _population(spark, sf_dir).select("entity_id", "PCA1", "PCA2", "label", "is_borderline")
+    axes = [F.round(c, PCA_DIGITS).alias(c) for c in ("PCA1", "PCA2")]
+    return _population(spark, sf_dir).select("entity_id", *axes, "label", "is_borderline")
 
 
 def population_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ml.layer_summary(ml.population_layers(_population(spark, sf_dir)))
+    centers = [F.round(c, PCA_DIGITS).alias(c) for c in ("center_pca1", "center_pca2")]
+    return ml.layer_summary(ml.population_layers(_population(spark, sf_dir))).select("layer", "n", *centers)
 
 
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
