@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales as transfers from customer to supplier; refunds go the other way."""
-    lines = spread_if_narrow(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
+    lines = spread_if_narrow(table(spark, sf_dir, "lineitem"), "l_orderkey")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     customer = F.concat(F.lit("C"), F.col("o_custkey").cast("string"))
     supplier = F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))
@@ -38,7 +38,7 @@ def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier ledgers: nations are the counterparties, market segments their types."""
-    lines = spread_if_narrow(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
+    lines = spread_if_narrow(table(spark, sf_dir, "lineitem"), "l_orderkey")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     customers = table(spark, sf_dir, "customer")
     nations = table(spark, sf_dir, "nation")

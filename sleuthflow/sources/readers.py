@@ -13,13 +13,14 @@ from sleuthflow.sources import schemas
 
 
 def spread_if_narrow(df: DataFrame, *keys: str) -> DataFrame:
-    """Redistribute a scan that has fewer splits than the cluster has cores.
+    """Redistribute a scan that leaves most of the cluster idle.
 
-    One large file with a single row group (or gzip) gives one task for everything up to the next
-    shuffle. An input of many files already has enough splits and is returned as it is.
+    One large file with a single row group (or gzip) gives one task for everything up to the next shuffle.
+    An input whose splits fill a quarter of the cores is returned as it is, since a shuffle of it would cost
+    more. With the key of the next join as `keys`, that join uses the same partitioning.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *keys) if 4 * df.rdd.getNumPartitions() < cores else df
 
 
 def _format_of(path: str) -> str:
