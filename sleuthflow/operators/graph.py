@@ -7,11 +7,12 @@ tables, and both paths give the same exact result.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sleuthflow.functions.ranking import top_k
 from sleuthflow.functions.skew import attach
-from sleuthflow.session import materialize
+from sleuthflow.session import materialize, scratch_path
 
 SMALL_CASE_EDGES = 256
 MAX_WALK = 8
@@ -217,72 +218,82 @@ def case_hub_metrics(edges: DataFrame, parties: DataFrame, limit: int = SMALL_CA
     )
 
 
+def _path_counts(adjacency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, numbers of shortest paths) between all nodes of a small graph, level by level from all at once.
+
+    Unreachable pairs have distance infinity.
+    """
+    count = len(adjacency)
+    far = np.full((count, count), np.inf)
+    np.fill_diagonal(far, 0)
+    paths = np.eye(count)
+    level, depth = paths, 0
+    while level.any():
+        depth += 1
+        level = np.where(np.isinf(far), level @ adjacency, 0)
+        new = level > 0
+        far[new] = depth
+        paths = np.where(new, level, paths)
+    return far, paths
+
+
 def _betweenness_batches():
-    """Batch function for small cases: path counts from every node, kept where the hub lies on a shortest path."""
-
-    def levels(source, onward):
-        found, level, depth = {source: (0, 1)}, {source: 1}, 0
-        while level:
-            depth += 1
-            reached = {}
-            for node, paths in level.items():
-                for nxt in onward.get(node, ()):
-                    if nxt not in found:
-                        reached[nxt] = reached.get(nxt, 0) + paths
-            found.update({node: (depth, paths) for node, paths in reached.items()})
-            level = reached
-        return found
-
-    def betweenness(hub, sources, targets):
-        onward = {}
-        for src, dst in zip(sources, targets):
-            onward.setdefault(src, []).append(dst)
-        nodes = set(sources) | set(targets)
-        if len(nodes) < 3:
+    """Batch function for small cases: share of shortest paths through the hub, over all pairs of other nodes."""
+
+    def betweenness(hub: str, sources: np.ndarray, targets: np.ndarray) -> float:
+        nodes, at = np.unique(np.concatenate([sources, targets]).astype(str), return_inverse=True)
+        count = len(nodes)
+        if count < 3:
             return 0.0
-        from_hub = levels(hub, onward)
-        total = 0.0
-        for source in nodes - {hub}:
-            reach = levels(source, onward)
-            if hub not in reach:
-                continue
-            to_hub, paths_to_hub = reach[hub]
-            for target, (length, paths) in reach.items():
-                if target not in (source, hub) and target in from_hub and to_hub + from_hub[target][0] == length:
-                    total += paths_to_hub * from_hub[target][1] / paths
-        return total / ((len(nodes) - 1) * (len(nodes) - 2))
+        adjacency = np.zeros((count, count))
+        adjacency[at[: len(sources)], at[len(sources) :]] = 1
+        np.fill_diagonal(adjacency, 0)
+        far, paths = _path_counts(adjacency)
+        h = int(np.searchsorted(nodes, hub))
+        through = (far[:, h, None] + far[None, h, :] == far) & np.isfinite(far)
+        through[h, :] = through[:, h] = False
+        np.fill_diagonal(through, False)
+        share = np.outer(paths[:, h], paths[h, :])[through] / paths[through]
+        return float(share.sum() / ((count - 1) * (count - 2)))
 
     def batches(frames):
         for frame in frames:
-            frame["hub_betweenness"] = [
-                betweenness(*row) for row in zip(frame["hub_node"], frame["src"], frame["dst"])
-            ]
-            yield frame[["case_id", "hub_betweenness"]]
+            rows = zip(frame["hub_node"], frame["src"], frame["dst"])
+            yield frame[["case_id"]].assign(hub_betweenness=[betweenness(*row) for row in rows])
 
     return batches
 
 
 def _levels(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Breadth-first levels from each (case, source): (case, source, node, dist, paths), one join per level."""
-    found = materialize(
-        seeds.select("case_id", "source", F.col("source").alias("node"), F.lit(0).alias("dist"), F.lit(1.0).alias("paths")),
-        "bfs-seed",
+    """Breadth-first levels from each (case, source): (case, source, node, dist, paths), one join per level.
+
+    Every level is written once beside the earlier ones. `seeds` may have `most`, the distance up to which its
+    source is followed.
+    """
+    spark = edges.sparkSession
+    root = scratch_path(spark, "bfs")
+    bounded = seeds if "most" in seeds.columns else seeds.withColumn("most", F.lit(None).cast("int"))
+    columns = ["case_id", "source", "node", "dist", "paths", "most"]
+    level = bounded.select(
+        "case_id", "source", F.col("source").alias("node"), F.lit(0).alias("dist"), F.lit(1.0).alias("paths"), "most"
     )
-    level, depth = found, 0
+    schema, depth = level.schema, 0
     while True:
+        level.write.parquet(f"{root}/level={depth}")
+        level = spark.read.schema(schema).parquet(f"{root}/level={depth}")
+        found = spark.read.schema(schema).parquet(*[f"{root}/level={d}" for d in range(depth + 1)])
+        if level.isEmpty():
+            return found.select(*columns[:-1])
         depth += 1
-        ahead = (
-            level.withColumnRenamed("node", "src")
+        level = (
+            level.where(F.coalesce(F.col("most") >= depth, F.lit(True)))
+            .withColumnRenamed("node", "src")
             .join(edges, ["case_id", "src"])
-            .groupBy("case_id", "source", F.col("dst").alias("node"))
+            .groupBy("case_id", "source", F.col("dst").alias("node"), "most")
             .agg(F.sum("paths").alias("paths"))
             .join(found, ["case_id", "source", "node"], "left_anti")
-            .select("case_id", "source", "node", F.lit(depth).alias("dist"), "paths")
+            .select("case_id", "source", "node", F.lit(depth).alias("dist"), "paths", "most")
         )
-        level = materialize(ahead, "bfs-level")
-        if level.isEmpty():
-            return found
-        found = materialize(found.unionByName(level), "bfs-found")
 
 
 def _betweenness_by_joins(edges: DataFrame, hubs: DataFrame) -> DataFrame:
@@ -296,7 +307,10 @@ def _betweenness_by_joins(edges: DataFrame, hubs: DataFrame) -> DataFrame:
         "case_id", F.col("node").alias("source"), F.col("dist").alias("to_hub"), F.col("paths").alias("paths_in")
     )
     sources = backward.where(F.col("to_hub") > 0)
-    reach = _levels(edges, sources.select("case_id", "source"))
+    # Beyond the hub's farthest node no path leads through the hub, so nothing behind that distance is kept.
+    farthest = forward.groupBy("case_id").agg(F.max("from_hub").alias("_far"))
+    seeds = sources.join(farthest, "case_id").select("case_id", "source", (F.col("to_hub") + F.col("_far")).alias("most"))
+    reach = _levels(edges, seeds)
     through = (
         reach.where(F.col("node") != F.col("source"))
         .join(forward.where(F.col("from_hub") > 0), ["case_id", "node"])

@@ -117,3 +117,20 @@ def test_long_chain_is_one_component(spark):
     rows = [("chain", f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)]
     edges, _ = frames(spark, rows)
     assert graph.case_components(edges, limit=0).first().components == 1
+
+
+@pytest.mark.parametrize("limit", [256, 0])
+def test_hub_metrics_of_a_chain_a_star_and_a_loop(spark, limit):
+    rows = [("chain", f"n{i}", f"n{i + 1}") for i in range(8)] + [("chain", "x", "n4")]
+    rows += [("star", f"s{i}", "hub") for i in range(5)] + [("star", "hub", f"t{i}") for i in range(4)]
+    rows += [("loop", "a", "b"), ("loop", "b", "c"), ("loop", "c", "a"), ("loop", "d", "b")]
+    edges, parties = frames(spark, rows)
+    found = {r.case_id: r.hub_betweenness for r in graph.case_hub_metrics(edges, parties, limit).collect()}
+    assert found == pytest.approx({c: hub_metrics(links)[2] for c, links in by_case(rows).items()})
+
+
+def test_path_counts_of_a_long_chain():
+    import numpy as np
+
+    far, paths = graph._path_counts(np.eye(300, k=1))
+    assert far[0, 299] == 299 and paths[0, 299] == 1 and np.isinf(far[1, 0])
