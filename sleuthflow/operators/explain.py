@@ -46,6 +46,7 @@ def explain_cases(scored: DataFrame) -> DataFrame:
     c = F.col
     pattern = "Case %s has global risk %.3f (%s). Strongest typology: %s."
     return scored.select(
+        *[name for name in ("request_id",) if name in scored.columns],
         "case_id",
         F.format_string(pattern, c("case_id"), c("global_risk"), c("risk_band"), strongest_typology()).alias("summary"),
         strongest_features(c("features")).alias("tabular_factors"),

@@ -72,6 +72,9 @@ def predict_risk(model: PipelineModel, features: DataFrame) -> DataFrame:
         {
             "label_text": F.when(good, band(F.col("probability"), catalog.MODEL_BANDS, "Low")),
             "threshold_policy": F.lit(catalog.THRESHOLD_POLICY),
+            "threshold_values": F.create_map(
+                *[F.lit(x) for limit, name in reversed(catalog.MODEL_BANDS) for x in (name.lower(), limit)]
+            ),
         }
     )
 

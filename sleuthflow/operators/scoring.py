@@ -133,7 +133,7 @@ def _with_tabular(featured: DataFrame, model: PipelineModel | None) -> DataFrame
     bad = F.raise_error(F.concat(F.lit("case "), F.col("case_id"), F.lit(": "), F.col("reason")))
     score = F.when(F.col("reason").isNull(), F.col("probability")).otherwise(bad)
     return scored.withColumn("tabular_score", score).drop(
-        "reason", "probability", "label_text", "threshold_policy", *catalog.FEATURES
+        "reason", "probability", "label_text", "threshold_policy", "threshold_values", *catalog.FEATURES
     )
 
 
@@ -194,6 +194,7 @@ def score_batch(
     cases: DataFrame | None = None,
     model: PipelineModel | None = None,
     order_by: str = "pos",
+    detail: bool = False,
     **versions: str,
 ) -> tuple[DataFrame, DataFrame]:
     """(scores, failures): a bad event fails its case only, all others are scored.
@@ -203,7 +204,8 @@ def score_batch(
     are shuffled once.
 
     With a `request_id` in `events` and `cases` every request is a case of its own, whatever its case id; both
-    results then have the column too.
+    results then have the column too. With `detail` the scores are the wide rows that `explain_cases` takes, so
+    that a batch is scored once for both.
     """
     if "request_id" in events.columns and cases is not None and "request_id" in cases.columns:
         names = cases.select("request_id", "case_id")
@@ -211,7 +213,7 @@ def score_batch(
             df.select(F.col("request_id").alias("case_id"), *[c for c in df.columns if c not in ("case_id", "request_id")])
             for df in (events, cases)
         ]
-        scores, failures = score_batch(apart[0], window_hours, apart[1], model, order_by, **versions)
+        scores, failures = score_batch(apart[0], window_hours, apart[1], model, order_by, detail, **versions)
         by_request = [r.withColumnRenamed("case_id", "request_id").join(names, "request_id") for r in (scores, failures)]
         return by_request[0], by_request[1]
     trimmed = strip("case_id")
@@ -235,7 +237,8 @@ def score_batch(
         failures = failures.unionByName(empty.withColumn("error", F.lit("events cannot be empty.")))
     good = judged.where(F.col("error").isNull()).drop("error")
     rollup = materialize(case_rollup(within(checked.drop("reason"), good)), "case-rollup")
-    return as_output(score_rollup(rollup, cases, model), **versions), failures
+    wide = score_rollup(rollup, cases, model)
+    return (wide if detail else as_output(wide, **versions)), failures
 
 
 def alert_queue(scored: DataFrame, key: str, risk: str, k: int, dossier: DataFrame | None = None) -> DataFrame:

@@ -19,6 +19,7 @@ def test_predictions_and_quarantine(spark, model):
     assert 0 <= found["k"].probability <= 1
     assert found["k"].label_text in {"Low", "Medium", "High"}
     assert found["k"].threshold_policy == "fixed_0.4_0.7"
+    assert found["k"].threshold_values == {"medium": 0.4, "high": 0.7}
     assert (found["bad"].probability, found["bad"].label_text, found["bad"].growth_rate) == (None, None, 9.0)
     assert found["bad"].reason.startswith("Feature 'growth_rate' out of range")
 

@@ -5,7 +5,7 @@ from samples import OPERATIONAL_ROW, NOON, event, features_frame
 from test_quality import population
 
 from sleuthflow import catalog
-from sleuthflow.operators import entity, scoring
+from sleuthflow.operators import entity, explain, scoring
 from sleuthflow.sources import readers, sinks
 
 ROWS = [("A", "B", 100.0), ("C", "B", 250.0), ("B", "D", 80.0)]
@@ -144,6 +144,9 @@ def test_a_batch_envelope_and_equal_case_ids(spark, tmp_path):
     assert [r.case_id for r in found] == ["k"] * 3 and len({r.request_id for r in found}) == 3
     assert len({r.global_risk for r in found}) == 2
     assert [(r.case_id, r.error) for r in failures.collect()] == [("unknown-case", "sender_id and receiver_id must be different.")]
+    wide, _ = scoring.score_batch(events, cases=asked, detail=True)
+    told = {r.request_id: r.summary for r in explain.explain_cases(wide).collect()}
+    assert told.keys() == {r.request_id for r in found} and all(s.startswith("Case k has") for s in told.values())
 
 
 def test_dated_sink_prunes(spark, tmp_path):
