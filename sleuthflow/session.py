@@ -37,11 +37,15 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """What the operators rely on: UTC days, adaptive execution, this package on the workers."""
+    """What the operators rely on: UTC days, adaptive execution, this package on the workers, small Arrow batches.
+
+    Texts differ in length by orders of magnitude, so batches to Python workers are bounded by bytes.
+    """
     ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return spark
 
 
