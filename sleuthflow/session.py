@@ -69,6 +69,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/sleuthflow-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def clear_scratch(spark: SparkSession) -> bool:
+    """Remove the intermediate tables of this application; results that are still to be read from them must be
+    written first. True if there was something to remove."""
+    jvm, folder = spark._jvm, f"{scratch_dir(spark)}/sleuthflow-{spark.sparkContext.applicationId}"
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once and read it back.
 

@@ -165,6 +165,7 @@ def test_scratch_follows_the_session_setting(spark, tmp_path, monkeypatch):
     assert session.scratch_path(spark, "t").startswith(str(tmp_path))
     session.materialize(spark.range(3), "t")
     assert any(p.name.startswith("t-") for p in tmp_path.glob("*/*"))
+    assert session.clear_scratch(spark) and not list(tmp_path.glob("*/*"))
     spark.conf.unset("sleuthflow.test.dir")
 
 
