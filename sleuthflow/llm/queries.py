@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sleuthflow.llm import bpe, language, lm, mixing, projections, secrets, segments, sharding, simhash
+from sleuthflow.llm import bpe, language, lm, mixing, projections, secrets, segments, sharding, simhash, substring
 from sleuthflow.llm.common import WORD, documents, embeddings, fold
 from sleuthflow.session import configure, materialize
 
@@ -58,6 +58,12 @@ def op6_lm_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(documents(spark, sf_dir))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and sentences of whole texts that repeat an earlier one, with their offsets."""
+    configure(spark)
+    return substring.repeated(documents(spark, sf_dir)).drop("copy")
+
+
 def op8_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text; models from documents outside fold 0."""
     configure(spark)
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_shard_tree": op4_shard_tree,
     "op5_ann_projections": op5_ann_projections,
     "op6_lm_deleted_interpolation": op6_lm_deleted_interpolation,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_language_ppm": op8_language_ppm,
     "op9_secret_scan": op9_secret_scan,
     "op10_topk_segments": op10_topk_segments,
