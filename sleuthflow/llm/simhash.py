@@ -9,7 +9,9 @@ with exclusive-or and bit counts. A tile pair reports a spanning forest of the l
 of a dense group.
 
 Fingerprints of several 64-bit words serve similarities as low as 0.8, which 64 bits cannot tell from chance:
-the first word sifts the pairs, the whole fingerprint decides.
+the first word sifts the pairs, the whole fingerprint makes them candidates, and the sets of shingles decide.
+Candidate groups are cut in blocks of bounded size; each pair of blocks of a group is one row and reports a
+spanning forest of the pairs whose Jaccard similarity is high enough.
 """
 
 from __future__ import annotations
@@ -34,6 +36,10 @@ TILE, WIDE_TILE = 2048, 8192
 QUARTERED = 3
 #: Pairs compared at once.
 AT_ONCE = 1 << 21
+#: Standard deviations of the distance at the wanted similarity that candidates may lie above its mean.
+SLACK = 3.5
+#: Shingles and texts in a block that is compared exactly.
+BLOCK, BLOCK_TEXTS = 1 << 18, 256
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -66,6 +72,10 @@ def shingle_hashes(text: bytes, words: int, limit: int = SLICE_BYTES) -> Iterato
         yield np.array([digest(b" ".join(last), SEED)], np.uint64)
 
 
+def _distinct(text: bytes, words: int) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words)]))
+
+
 def fingerprint(text: bytes, words: int, width: int = 1, repeats: bool = True) -> np.ndarray:
     """Fingerprint as signed 64-bit words; a text without words has zeros.
 
@@ -75,9 +85,7 @@ def fingerprint(text: bytes, words: int, width: int = 1, repeats: bool = True) -
     The first word takes the bits of the shingle hashes themselves, each further one those of a remixed hash.
     """
     total, counts = 0, np.zeros((width, 64), np.int64)
-    found = shingle_hashes(text, words)
-    if not repeats:
-        found = [np.unique(np.concatenate([np.zeros(0, np.uint64), *found]))]
+    found = shingle_hashes(text, words) if repeats else [_distinct(text, words)]
     for hashes in found:
         total += len(hashes)
         for n in range(width):
@@ -109,6 +117,21 @@ def fingerprints(
     return source.mapInArrow(run, f"`{key}` {source.schema[key].dataType.simpleString()}, fp array<bigint>")
 
 
+def shingle_sets(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
+    """(key, shingles): sorted distinct hashes of every text's shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                found = [_distinct(t, words).view(np.int64) for t in texts_as_bytes(part, text)]
+                offsets = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
+                sets = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([part.column(0), sets], [key, "shingles"])
+
+    source = docs.select(key, text)
+    return source.mapInArrow(run, f"`{key}` {source.schema[key].dataType.simpleString()}, shingles array<bigint>")
+
+
 def radius_of(similarity: float, bits: int, slack: float = 1.0) -> int:
     """Differing bits up to which texts of a Jaccard similarity are linked.
 
@@ -201,6 +224,73 @@ def linked(distinct: DataFrame, radius: int, width: int = 1, sieve: int | None =
     return pairs.select("_ids", "_words", "ids", "words", same.alias("same")).mapInArrow(run, "u bigint, v bigint")
 
 
+def _similar(sets: list[np.ndarray], split: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of Jaccard similarity `similarity` or more as a forest (child, parent) over all sets.
+
+    The first `split` sets are compared with the others; all with all if `split` is their number.
+    """
+    label, sizes = np.arange(len(sets)), np.array([len(x) for x in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    mark = np.zeros(int(codes.max(initial=0)) + 1, bool)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    for i in range(split):
+        low = i + 1 if split == len(sets) else split
+        open_ = (label[low:] != label[i]) & (np.minimum(sizes[low:], sizes[i]) >= similarity * np.maximum(sizes[low:], sizes[i]) - 1)
+        if not open_.any():
+            continue
+        own = codes[ends[i] - sizes[i] : ends[i]]
+        mark[own] = True
+        start = ends[low] - sizes[low]
+        both = np.bincount(owner[start:][mark[codes[start:]]], minlength=len(sets))[low:]
+        mark[own] = False
+        union = sizes[low:] + sizes[i] - both
+        near = low + np.flatnonzero(open_ & (both / np.maximum(union, 1) >= similarity))
+        if len(near):
+            joined = np.unique(label[np.append(near, i)])
+            label[np.isin(label, joined)] = joined[0]
+    child = np.flatnonzero(label != np.arange(len(label)))
+    return child, label[child]
+
+
+def verified(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): edges that join the ids of `sets` (id, shingles) of Jaccard similarity `similarity` or more.
+
+    All pairs inside a group of `groups` (id, root) are compared, block by block.
+    """
+    members = materialize(groups.join(sets, "id").select("root", "id", "shingles"), "members")
+    needed = F.greatest(F.ceil(F.sum(F.size("shingles")) / F.lit(BLOCK)), F.ceil(F.count("*") / F.lit(BLOCK_TEXTS)))
+    sizes = members.groupBy("root").agg(needed.cast("int").alias("blocks"))
+    blocks = (
+        members.join(sizes, "root")
+        .groupBy("root", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
+        .agg(F.collect_list(F.struct("id", "shingles")).alias("rows"))
+    )
+    sides = F.col("rows.id").alias("ids"), F.transform("rows", lambda x: F.size(x["shingles"])).alias("sizes"), F.flatten("rows.shingles").alias("shingles")
+    blocks = materialize(blocks.select("root", "blocks", "block", *sides), "blocks")
+    # Groups of one block need no join.
+    nothing = [F.array().cast("array<bigint>").alias("ids2"), F.array().cast("array<int>").alias("sizes2"), F.array().cast("array<bigint>").alias("shingles2")]
+    single = blocks.select("ids", "sizes", "shingles", *nothing)
+    several = blocks.where(F.col("blocks") > 1)
+    left = several.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).where(F.col("other") > F.col("block"))
+    right = several.select("root", F.col("block").alias("other"), F.col("ids").alias("ids2"), F.col("sizes").alias("sizes2"), F.col("shingles").alias("shingles2"))
+    pairs = left.join(right, ["root", "other"]).select("ids", "sizes", "shingles", "ids2", "sizes2", "shingles2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for row in range(batch.num_rows):
+                a, n, x, b, m, y = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in range(6))
+                split = [*np.split(x, np.cumsum(n)[:-1]), *(np.split(y, np.cumsum(m)[:-1]) if len(b) else [])]
+                child, parent = _similar(split, len(a), similarity)
+                ids = np.concatenate([a, b])
+                u.append(ids[child])
+                v.append(ids[parent])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(w)) for w in (u, v)], ["u", "v"])
+
+    return single.unionByName(pairs).mapInArrow(run, "u bigint, v bigint")
+
+
 def near_duplicates(
     docs: DataFrame,
     words: int = 5,
@@ -213,21 +303,35 @@ def near_duplicates(
 ) -> DataFrame:
     """(key, fingerprint, component_id) of every document.
 
-    Documents are linked if their fingerprints of `width` 64-bit words differ in at most `radius` bits, by
-    default those of the wanted Jaccard similarity of shingles; component_id is the smallest key that links
-    reach, the document's own included. Null and blank texts have fingerprint zero and are linked like any
+    With a `radius`, documents are linked if their fingerprints of `width` 64-bit words differ in at most
+    `radius` bits. Without one, those of Jaccard similarity `similarity` or more over distinct shingles are linked,
+    as far as their fingerprints are near enough to make them candidates; none below is. component_id is the smallest
+    key that links reach, the document's own included. Null and blank texts have fingerprint zero and are linked like any
     other. Fewer words than a shingle make one shingle of all. Null keys get the component of their
     fingerprint, null if nothing in it has a key. Repeated rows stay repeated; an empty table gives an empty
     one; other columns are not read. Classes of wide fingerprints are named by a 64-bit hash.
     """
-    bits = 64 * width
-    sieve = radius_of(similarity, 64, 2.0) if radius is None else radius
-    radius = radius_of(similarity, bits) if radius is None else radius
-    signed = materialize(fingerprints(docs, words, width, key, text, repeats), "fingerprints")
+    exact = radius is None
+    sieve = radius_of(similarity, 64, SLACK) if exact else radius
+    radius = radius_of(similarity, 64 * width, SLACK) if exact else radius
+    at, owned = F.xxhash64(key, text), docs
+    if exact:
+        owned = docs.select(F.struct(F.col(key).alias("key"), at.alias("at")).alias("owner"), text)
+    signed = materialize(fingerprints(owned, words, width, "owner" if exact else key, text, repeats), "fingerprints")
     name = F.col("fp")[0] if width == 1 else F.xxhash64("fp")
     signed = signed.withColumn("id", name)
-    classes = materialize(signed.groupBy("id").agg(F.first("fp").alias("fp"), F.min(key).alias("least")), "classes")
+    kept = [F.first("fp").alias("fp"), F.min("owner.key" if exact else key).alias("least")]
+    if exact:
+        kept.append(F.min("owner.at").alias("at"))
+    classes = materialize(signed.groupBy("id").agg(*kept), "classes")
+    signed = signed.select(F.col("owner.key" if exact else key).alias(key), "fp", "id")
     roots = components(linked(classes, radius, width, sieve), "u", "v")
+    if exact:
+        roots = materialize(roots, "candidates")
+        groups = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "id")
+        wanted = classes.join(groups, "id").select("id", "at")
+        texts = docs.select(at.alias("at"), text).join(wanted, "at").groupBy("id").agg(F.first(text).alias(text))
+        roots = components(verified(groups, shingle_sets(texts, words, "id", text), similarity), "u", "v")
     rooted = classes.join(roots, classes["id"] == roots["node"], "left").select(
         "id", "least", F.coalesce("root", "id").alias("root")
     )

@@ -93,6 +93,52 @@ def test_wide_fingerprints_find_similar_texts_only(spark):
     assert sum(g in pairs for g in groups.values()) >= 57 and all(g in pairs or len(g) == 1 for g in groups.values())
 
 
+def changed(rng, words, count):
+    """`words` with `count` of them replaced, no two within a shingle of five: five shingles go, five come."""
+    near = list(words)
+    for at in rng.sample(range(1, len(words) // 6 - 1), count):
+        near[6 * at] = f"changed{rng.randrange(10**9)}"
+    return near
+
+
+def similarity(a, b):
+    a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def exact_groups(texts, at_least):
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if similarity(texts[a], texts[b]) >= at_least:
+                group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
+    return group
+
+
+def test_no_text_below_the_similarity_is_linked_and_none_above_is_lost(spark):
+    rng = random.Random(3)
+    texts = []
+    for k in range(40):
+        words = [f"{rng.choice('bcdfgh')}{rng.randrange(900)}" for _ in range(300)]
+        texts += [words, changed(rng, words, 8 if k % 2 else 6)]
+    assert all(0.74 < similarity(texts[2 * k], texts[2 * k + 1]) < 0.83 for k in range(40))
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    assert [found[k] for k in range(len(texts))] == exact_groups(texts, 0.8)
+
+
+def test_blocks_of_a_chain_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 700)
+    rng = random.Random(4)
+    texts = [[f"{rng.choice('bcdfgh')}{rng.randrange(900)}" for _ in range(300)]]
+    for k in range(30):
+        texts.append(changed(rng, texts[-1], 8 if k % 6 == 5 else 4))
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    expected = exact_groups(texts, 0.8)
+    assert [found[k] for k in range(len(texts))] == expected and len(set(expected)) == 6
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(k, k + 1) for k in range(100, 160)] + [(5, k) for k in range(6, 30)] + [(3, 3), (5, 6), (6, 5), (None, 1)]
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
