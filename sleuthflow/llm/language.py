@@ -8,13 +8,17 @@ the empty context all bytes are alike. The language with the shortest code for t
 
 Because the statistics are frozen, the code length of a byte depends on the `order` bytes before it alone. The
 trees are therefore compiled to one table over byte classes (bytes in no sample behave alike and share one),
-and the code length of a text is a sum of table rows over all its bytes.
+and the code length of a text is a sum of table rows over all its bytes. If that table is too large for many
+languages or bytes, only contexts of one byte get a table; longer ones keep, for each context and string that a
+language has seen, what it adds to the code length of the next shorter context.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -24,30 +28,66 @@ from sleuthflow.functions.ranking import top_k
 from sleuthflow.llm.common import extended, slices
 
 ORDER = 2
-#: Bounds of the sample: texts and bytes of each language, bytes of each text, and languages.
+#: Bounds of the sample: texts and bytes of each language, and bytes of each text.
 SAMPLE_TEXTS = 400
 SAMPLE_BYTES = 400_000
 TEXT_BYTES = 20_000
-LANGUAGES = 16
+#: Cells (contexts times bytes times languages) up to which the model is one table.
+CELLS = 1 << 24
+#: A text that costs less per byte than this in some language is in it; above, held-out texts decide, if there are enough.
+MOST_BITS, LEAST_HELD_OUT = 8.0, 10
+#: Share of a language's letters from which a script is one of its own.
+OWN_SCRIPT = 0.01
 #: Bytes of a text that are looked up at once.
 RUN = 1 << 20
 NO_LANGUAGE = "und"
 
 
+@dataclass
+class Sparse:
+    """keys, sorted; those of row k have values[ends[k] : ends[k + 1]] in the languages of the same places."""
+
+    keys: np.ndarray
+    ends: np.ndarray
+    languages: np.ndarray
+    values: np.ndarray
+
+    def sums(self, asked: np.ndarray, counts: np.ndarray, languages: int) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.keys, asked), max(0, len(self.keys) - 1))
+        hit = self.keys[at] == asked if len(self.keys) else np.zeros(len(asked), bool)
+        at, counts = at[hit], counts[hit]
+        sizes = self.ends[at + 1] - self.ends[at]
+        flat = np.repeat(self.ends[at] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return np.bincount(self.languages[flat], self.values[flat] * np.repeat(counts, sizes), languages)
+
+
 @dataclass
 class Model:
-    """languages; class of each byte; bits[(c2 * K + c1) * K + c, language]: code length of c after c2, c1."""
+    """languages; class of each byte; bits[(c2 * K + c1) * K + c, language]: code length of c after c2, c1.
+
+    With `layers`, bits stops at contexts of one byte, and each layer has what the contexts of one byte more (their
+    escapes) and the strings seen after them add.
+    """
 
     languages: list[str]
     classes: np.ndarray
     bits: np.ndarray
     order: int
+    layers: list[tuple[Sparse, Sparse]] = field(default_factory=list)
 
     @property
     def size(self) -> int:
         return int(self.classes.max()) + 1
 
 
+@dataclass
+class Limits:
+    """most[language, k]: bits per byte up to which a text of k bits of length is in the language; scripts of the samples."""
+
+    most: dict[tuple[str, int], float]
+    scripts: set[str]
+
+
 def _code_lengths(texts: list[bytes], classes: np.ndarray, size: int, order: int) -> np.ndarray:
     """Bits of every (context, byte) of one language, by context tree from the empty context up."""
     bits = np.full(size, np.log2(256.0))
@@ -80,9 +120,49 @@ def train(samples: dict[str, list[bytes]], order: int = ORDER) -> Model:
             seen[np.frombuffer(text, np.uint8)] = True
     classes = np.where(seen, np.cumsum(seen), 0).astype(np.uint8)
     size = int(classes.max()) + 1
-    columns = [_code_lengths(samples[x], classes, size, order) for x in languages]
-    bits = np.stack(columns, axis=1) if columns else np.zeros((size ** (order + 1), 0))
-    return Model(languages, classes, bits.astype(np.float32), order)
+    whole = order if order < 2 or size ** (order + 1) * len(languages) <= CELLS else 1
+    columns = [_code_lengths(samples[x], classes, size, whole).astype(np.float32) for x in languages]
+    bits = np.stack(columns, axis=1) if columns else np.zeros((size ** (whole + 1), 0), np.float32)
+    layers = _layers([samples[x] for x in languages], classes, size, order, bits) if whole < order else []
+    return Model(languages, classes, bits, order, layers)
+
+
+def _grams(kinds: np.ndarray, size: int, depth: int) -> np.ndarray:
+    gram = np.zeros(max(0, len(kinds) - depth), np.int64)
+    for k in range(depth + 1):
+        gram = gram * size + kinds[k : k + len(gram)]
+    return gram
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> Sparse:
+    """One table of the (keys, values) of each language."""
+    keys = np.concatenate([k for k, _ in parts])
+    names = np.repeat(np.arange(len(parts)), [len(k) for k, _ in parts])
+    order = np.argsort(keys, kind="stable")
+    found, start = np.unique(keys[order], return_index=True)
+    values = np.concatenate([v for _, v in parts])[order].astype(np.float32)
+    return Sparse(found, np.append(start, len(keys)), names[order].astype(np.int32), values)
+
+
+def _layers(samples: list[list[bytes]], classes: np.ndarray, size: int, order: int, bits: np.ndarray) -> list[tuple[Sparse, Sparse]]:
+    """What contexts of two bytes and more add, from the table `bits` of contexts of one byte."""
+    layers, shorter = [], [(np.arange(size**2), bits[:, n]) for n in range(len(samples))]
+    for depth in range(2, order + 1):
+        escapes, strings = [], []
+        for n, texts in enumerate(samples):
+            found = [_grams(classes[np.frombuffer(t, np.uint8)].astype(np.int64), size, depth) for t in texts]
+            keys, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
+            contexts, at, distinct = np.unique(keys // size, return_inverse=True, return_counts=True)
+            both = np.bincount(at, counts, len(contexts)) + distinct
+            escape, seen = -np.log2(distinct / both), -np.log2(counts / both[at])
+            # The end of a string that was seen was seen too.
+            held, values = shorter[n]
+            below = values[np.searchsorted(held, keys % size**depth)]
+            escapes.append((contexts, escape))
+            strings.append((keys, seen - escape[at] - below))
+            shorter[n] = (keys, seen)
+        layers.append((_merged(escapes), _merged(strings)))
+    return layers
 
 
 def code_lengths(model: Model, text: bytes) -> np.ndarray:
@@ -92,47 +172,89 @@ def code_lengths(model: Model, text: bytes) -> np.ndarray:
     before = np.zeros(order, np.int32)
     for low in range(0, len(text), RUN):
         kinds = np.concatenate([before, model.classes[np.frombuffer(text[low : low + RUN], np.uint8)].astype(np.int32)])
-        gram = kinds[: len(kinds) - order]
-        for k in range(1, order + 1):
-            gram = gram * size + kinds[k : len(kinds) - order + k]
-        total += model.bits.take(gram, axis=0).sum(axis=0, dtype=np.float64)
+        if model.layers:
+            counts = np.bincount(_grams(kinds[order - 1 :].astype(np.int64), size, 1), minlength=size**2)
+            some = counts.nonzero()[0]
+            total += counts[some] @ model.bits[some].astype(np.float64)
+            for depth, (escapes, strings) in enumerate(model.layers, 2):
+                keys, counts = np.unique(_grams(kinds[order - depth :].astype(np.int64), size, depth), return_counts=True)
+                total += escapes.sums(keys // size, counts, len(total)) + strings.sums(keys, counts, len(total))
+        else:
+            gram = kinds[: len(kinds) - order]
+            for k in range(1, order + 1):
+                gram = gram * size + kinds[k : len(kinds) - order + k]
+            total += model.bits.take(gram, axis=0).sum(axis=0, dtype=np.float64)
         before = kinds[len(kinds) - order :]
     return total
 
 
+def scripts(text: str) -> Counter[str]:
+    """Letters of a text by script, as the first word of their names says it."""
+    found: Counter[str] = Counter()
+    for c, n in Counter(text).items():
+        if c.isalpha():
+            found[unicodedata.name(c, "?").split(" ")[0].split("-")[0]] += n
+    return found
+
+
+def limits(samples: dict[str, list[bytes]], order: int = ORDER) -> Limits:
+    """Bits per byte of texts that the model has not seen: every fifth sample text, scored by a model of the others.
+
+    A limit lies as far above the highest held-out text of about the same length as that lies above the median,
+    and nowhere below MOST_BITS. Too few held-out texts give none.
+    """
+    model = train({x: [t for k, t in enumerate(texts) if k % 5] for x, texts in samples.items()}, order)
+    most, own = {}, set()
+    for n, name in enumerate(model.languages):
+        costs: dict[int, list[float]] = {}
+        for text in filter(None, samples[name][::5]):
+            costs.setdefault(len(text).bit_length(), []).append(float(code_lengths(model, text)[n] / len(text)))
+        for length, found in costs.items():
+            if len(found) >= LEAST_HELD_OUT:
+                most[name, length] = max(MOST_BITS, 2 * max(found) - float(np.median(found)))
+        letters = scripts("".join(t.decode(errors="ignore") for t in samples[name]))
+        own |= {x for x, count in letters.items() if count >= OWN_SCRIPT * letters.total()}
+    return Limits(most, own)
+
+
 def sample(docs: DataFrame, language: str = "lang", key: str = "doc_id", text: str = "text") -> dict[str, list[bytes]]:
-    """At most SAMPLE_TEXTS texts and SAMPLE_BYTES bytes of each of the LANGUAGES most frequent languages.
+    """At most SAMPLE_TEXTS texts and SAMPLE_BYTES bytes of every language that labels name.
 
     Texts are chosen by a hash of the key, so every labelled row has the same chance; the choice reads keys
     and labels only. A text gives its first TEXT_BYTES bytes, the last one of a language what room is left.
     """
     labelled = docs.where(F.col(language).isNotNull() & F.col(key).isNotNull())
-    common = labelled.groupBy(language).count().orderBy(F.desc("count"), F.asc(language)).limit(LANGUAGES)
-    counts = {r[0]: r["count"] for r in common.collect()}
-    names = list(counts)
     at = F.xxhash64(F.lit("sample"), F.col(key))
+    slim = labelled.select(F.col(language).alias("lang"), F.col(key).alias("key"), at.alias("at"))
     # Hashes are even, so the first SAMPLE_TEXTS of n lie in the lowest few SAMPLE_TEXTS / n of the range; with
     # the others left out beforehand, the ranking reads a bounded number of rows whatever the table's size.
-    share = F.lit(False)
-    for name, count in counts.items():
-        reach = int(min(1.0, 4 * SAMPLE_TEXTS / count) * 2**64) - 2**63
-        share = share | ((F.col(language) == name) & (at < F.lit(min(reach, 2**63 - 1))))
-    slim = labelled.where(share).select(F.col(language).alias("lang"), F.col(key).alias("key"), at.alias("at"))
-    keys = [r[0] for r in top_k(slim, ["lang"], [F.asc("at"), F.asc("key")], SAMPLE_TEXTS).select("key").distinct().collect()]
+    reach = (F.lit(4.0 * SAMPLE_TEXTS) / F.col("count") * F.lit(2.0**64) - F.lit(2.0**63)).cast("long")
+    reach = F.when(F.col("count") <= 4 * SAMPLE_TEXTS, F.lit(2**63 - 1)).otherwise(reach)
+    counts = slim.groupBy("lang").count().select("lang", reach.alias("reach"))
+    slim = slim.join(F.broadcast(counts), "lang").where(F.col("at") <= F.col("reach"))
+    keys = top_k(slim, ["lang"], [F.asc("at"), F.asc("key")], SAMPLE_TEXTS).select("key").distinct()
     body = F.substring(F.coalesce(F.col(text), F.lit("")).cast("binary"), 1, TEXT_BYTES)
-    rows = labelled.where(F.col(language).isin(names) & F.col(key).isin(keys)).select(
-        F.col(language).alias("lang"), at.alias("at"), body.alias("body")
-    )
-    found: dict[str, list[bytes]] = {x: [] for x in names}
-    room = dict.fromkeys(names, SAMPLE_BYTES)
+    rows = labelled.select(F.col(language).alias("lang"), F.col(key).alias("key"), at.alias("at"), body.alias("body"))
+    rows = rows.join(F.broadcast(keys), "key", "left_semi")
+    found: dict[str, list[bytes]] = {}
+    room: dict[str, int] = {}
     first = top_k(rows, ["lang"], [F.asc("at"), F.asc("body")], SAMPLE_TEXTS)
     for row in sorted(first.toLocalIterator(), key=lambda r: (r["lang"], r["rn"])):
-        if room[row["lang"]]:
-            found[row["lang"]].append(bytes(row["body"][: room[row["lang"]]]))
+        if room.setdefault(row["lang"], SAMPLE_BYTES):
+            found.setdefault(row["lang"], []).append(bytes(row["body"][: room[row["lang"]]]))
             room[row["lang"]] -= len(found[row["lang"]][-1])
     return {x: texts for x, texts in found.items() if any(texts)}
 
 
+def _standing(within: Limits | None, language: str, text: bytes, cost: float) -> str:
+    if within is None or cost <= MOST_BITS:
+        return "in"
+    letters = scripts(text.decode(errors="ignore"))
+    if 2 * sum(n for x, n in letters.items() if x not in within.scripts) > letters.total():
+        return "foreign"
+    return "in" if cost <= within.most.get((language, len(text).bit_length()), np.inf) else "out"
+
+
 def predict(
     df: DataFrame,
     model: Model,
@@ -140,35 +262,39 @@ def predict(
     language: str = "lang_pred",
     score: str = "score",
     bits_per_byte: str = "bits_per_byte",
+    within: Limits | None = None,
+    standing: str = "standing",
 ) -> DataFrame:
     """`df` with the predicted language of whole texts, its score and the bits per byte of the winner.
 
     score is the winner's share of probability among the languages, from the code lengths. A text that is
     null or has no letter is `und` with score 0 and null bits; so is every text if no language was learned.
     Ties go to the first language by name. Equal texts get equal results; other columns stay, those named like
-    an output are replaced; an empty table gives an empty one.
+    an output are replaced; an empty table gives an empty one. With limits, standing says whether the text is
+    `in` the language, `foreign` (most letters are of scripts that no language was learned in) or `out`.
     """
-    held = df.sparkSession.sparkContext.broadcast(model)
-    names = (language, score, bits_per_byte, "_letter")
-    kinds = (T.StringType(), T.DoubleType(), T.DoubleType())
+    held = df.sparkSession.sparkContext.broadcast((model, within))
+    names = (language, score, bits_per_byte, standing if within else "_letter", "_letter")
+    kinds = (T.StringType(), T.DoubleType(), T.DoubleType(), T.StringType())[: 4 if within else 3]
     asked = df.drop(*[n for n in names if n != text]).withColumn("_letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
+        model, within = held.value
         for batch in batches:
             for part in slices(batch, text):
                 found = []
                 for value, letter in zip(part.column(text).cast(pa.binary()), part.column("_letter").to_pylist()):
                     if not letter or not model.languages:
-                        found.append((NO_LANGUAGE, 0.0, None))
+                        found.append((NO_LANGUAGE, 0.0, None, "out"))
                         continue
                     body = value.as_py()
                     bits = code_lengths(model, body)
                     best = int(bits.argmin())
                     share = 1.0 / np.exp2(np.maximum(bits[best] - bits, -1000.0)).sum()
-                    found.append((model.languages[best], float(share), float(bits[best] / len(body))))
+                    cost = float(bits[best] / len(body))
+                    found.append((model.languages[best], float(share), cost, _standing(within, model.languages[best], body, cost)))
                 kept = {n: part.column(n) for n in part.schema.names if n != "_letter"}
-                added = [pa.array(x, k) for x, k in zip(zip(*found), (pa.string(), pa.float64(), pa.float64()))]
+                added = [pa.array(x, k) for x, k in zip(zip(*found), (pa.string(), pa.float64(), pa.float64(), pa.string()))]
                 yield pa.RecordBatch.from_pydict({**kept, **dict(zip(names, added))})
 
     schema = extended(asked.drop("_letter"), [T.StructField(n, k) for n, k in zip(names, kinds)])

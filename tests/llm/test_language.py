@@ -47,6 +47,40 @@ def test_tables_equal_the_tree(order):
         assert language.code_lengths(model, text) == pytest.approx(expected, rel=1e-5)
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_sparse_layers_equal_the_tree(order, monkeypatch):
+    monkeypatch.setattr(language, "CELLS", 0)
+    model = language.train(SAMPLES, order)
+    assert model.layers
+    alphabet = set(b"".join(b"".join(x) for x in SAMPLES.values()))
+    for text in (b"", b"t", b"the dog", "Füße \x00 zzz QQ über".encode(), b"the cat sat on the mat" * 3):
+        expected = [plain_bits(SAMPLES[x], text, order, alphabet) for x in model.languages]
+        assert language.code_lengths(model, text) == pytest.approx(expected, rel=1e-5)
+        monkeypatch.setattr(language, "RUN", 7)
+
+
+def test_every_labelled_language_is_learned(spark):
+    rows = [(40 * n + k, f"{chr(97 + n)}{chr(110 - n % 13)}ka {chr(97 + n)}{chr(97 + n)}lo " * 8, f"l{n:02d}") for n in range(22) for k in range(25 - n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(language.sample(docs))
+    assert model.languages == [f"l{n:02d}" for n in range(22)]
+    assert language.predict(docs, model).where(F.col("lang") != F.col("lang_pred")).count() == 0
+
+
+def test_limits_tell_junk_from_scripts_not_learned():
+    rng = np.random.default_rng(0)
+    words = [b"haus", b"und", b"katze", b"feld", b"lief", b"hund"]
+    texts = [b" ".join(words[k] for k in rng.integers(0, 6, 30)) for _ in range(200)]
+    within = language.limits({"de": texts})
+    model = language.train({"de": texts})
+    def standing(text):
+        body = text.encode()
+        return language._standing(within, "de", body, float(language.code_lengths(model, body)[0] / len(body)))
+    assert standing(texts[0].decode()) == "in"
+    assert standing("Ελληνικά γράμματα σε μια πρόταση " * 3) == standing("Русские буквы в одном предложении " * 3) == "foreign"
+    assert standing("QXZJ7%K#9" * 17) == "out"
+
+
 def test_long_texts_are_summed_in_runs(monkeypatch):
     model = language.train(SAMPLES)
     text = b"the hound and the field, der Hund und das Feld " * 50

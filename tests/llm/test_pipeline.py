@@ -35,6 +35,14 @@ def test_language_rejects_texts_without_letters_only(spark):
     assert kept == expected
 
 
+def test_language_keeps_scripts_without_a_sample(spark):
+    latin = [(k, f"der Hund und die Katze und das Feld {k}", "de") for k in range(30)]
+    other = [(100, "Ελληνικά γράμματα σε μια πρόταση " * 3, None), (101, "Русские буквы в одном предложении " * 3, None)]
+    docs = spark.createDataFrame([(k, t, x, "s", 1) for k, t, x in latin + other], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"]: r["lang"] for r in stages.in_a_language(docs).collect()}
+    assert kept == {**{k: "de" for k in range(30)}, 100: None, 101: None}
+
+
 def test_one_row_of_each_group_stays(spark):
     near = "alpha beta gamma delta epsilon zeta eta theta iota kappa " * 6
     rows = [(5, near), (3, near), (3, near), (9, near + "lambda"), (4, "other words here now again"), (None, near), (None, None), (1, "")]
