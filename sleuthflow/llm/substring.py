@@ -1,8 +1,10 @@
 """Repeated passages by hashing of lines.
 
-Units are the lines of a text and, inside a line, its sentences. A unit is normalised (lower case, words joined by
+Units are the lines of a text, its paragraphs (lines without a blank one between) and, inside a line, its sentences
+of some length. A unit is normalised (lower case, words joined by
 one blank) and hashed to 128 bits; digests are grouped globally, the earliest ranked occurrence stays and the others
-are reported with their offsets in the original text. A sentence inside a reported line is not reported again.
+are reported with their offsets in the original text. A sentence inside a reported line is not reported again;
+a line inside a reported paragraph, but for the first, is.
 """
 
 from __future__ import annotations
@@ -23,17 +25,30 @@ _SENTENCES = re.compile(r"\S.*?(?:[.!?](?=\s)|$)").finditer
 
 
 def units_of(text: str, least: int) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(line start, start, end, words, digest) of every line, and of the sentences of lines with several."""
+    """(line start, start, end, words, digest) of every line and of every paragraph of several lines, whatever their
+    length, and of the sentences of `least` words or more of lines with several. A paragraph counts for its first line."""
+
+    def unit(line: int, start: int, end: int, floor: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+        words = text[start:end].lower().split()
+        if len(words) >= floor:
+            yield line, start, end, len(words), xxhash.xxh3_128_digest(" ".join(words).encode())
+
+    block: list[tuple[int, int]] = []
     for line in _LINES(text):
-        parts = [line.span()]
-        sentences = [m.span() for m in _SENTENCES(text, *line.span())]
+        start, end = line.span()
+        if text[start:end].isspace() or (block and start > block[-1][1] + 1):
+            if len(block) > 1:
+                yield from unit(block[0][0], block[0][0], block[-1][1], 1)
+            block = []
+        if not text[start:end].isspace():
+            block.append((start, end))
+        yield from unit(start, start, end, 1)
+        sentences = [m.span() for m in _SENTENCES(text, start, end)]
         if len(sentences) > 1:
-            parts += sentences
-        for start, end in parts:
-            words = text[start:end].lower().split()
-            if len(words) >= least:
-                digest = xxhash.xxh3_128_digest(" ".join(words).encode())
-                yield line.start(), start, end, len(words), digest
+            for low, high in sentences:
+                yield from unit(start, low, high, least)
+    if len(block) > 1:
+        yield from unit(block[0][0], block[0][0], block[-1][1], 1)
 
 
 def units(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
@@ -62,7 +77,7 @@ def repeated(docs: DataFrame, least: int = LEAST_WORDS, key: str = "doc_id", tex
     """(key, start, end, n_words, kept_<key>, kept_start) of every unit that repeats an earlier one.
 
     Occurrences are ranked by key (nulls last), then by start; the first stays and has no row. Offsets are code
-    points of the original text, end exclusive. Units below `least` words are left alone; null and blank texts
+    points of the original text, end exclusive. Sentences below `least` words are left alone; null and blank texts
     have none. Repeated rows repeat their units, of which one stays; other columns are not read; an empty table
     gives an empty one. A unit that a third of all rows share is pre-aggregated and its join can be split.
     """

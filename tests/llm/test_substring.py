@@ -54,6 +54,13 @@ def test_passages_go_and_clean_rows_stay(spark):
     assert after == {3: "Own start here.\n\nOwn end.", 1: rows[1][1], 2: rows[2][1], 4: None}
 
 
+def test_short_lines_and_wrapped_paragraphs_are_found(spark):
+    rows = [(1, "short line\n\n这是一行中文文字\n\none two three four\nfive six seven"), (2, "own\n\nshort line\n\n这是一行中文文字\n\none two\nthree four five six\nseven")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {rows[1][1][r["start"] : r["end"]] for r in substring.repeated(df).collect()}
+    assert found == {"short line", "这是一行中文文字", "one two\nthree four five six\nseven"}
+
+
 def test_rows_of_all_kinds(spark):
     rows = [r[:2] for r in cases.TEXTS]
     found = substring.repeated(cases.documents(spark, True)).collect()
