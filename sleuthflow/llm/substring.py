@@ -52,25 +52,25 @@ def units_of(text: str, least: int) -> Iterator[tuple[int, int, int, int, bytes]
 
 
 def units(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    names = [key, "copy", "line", "start", "end", "n_words", "digest"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    source = docs.select(key, text, F.xxhash64(text).alias("copy"))
+    names = [key, "copy", "row", "line", "start", "end", "n_words", "digest"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    source = docs.select(key, text, F.xxhash64(text).alias("copy"), F.monotonically_increasing_id().alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
-                copies = part.column("copy").to_pylist()
+                copies = list(zip(part.column("copy").to_pylist(), part.column("row").to_pylist()))
                 rows, owner = [], []
                 for k, value in enumerate(part.column(text).to_pylist()):
                     for unit in units_of(value or "", least):
-                        rows.append((copies[k], *unit))
+                        rows.append((*copies[k], *unit))
                         owner.append(k)
                 columns = [part.column(0).take(pa.array(owner, pa.int32()))]
                 columns += [pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = source.schema[key].dataType.simpleString()
-    return source.mapInArrow(run, f"`{key}` {kind}, copy bigint, line int, start int, end int, n_words int, digest binary")
+    return source.mapInArrow(run, f"`{key}` {kind}, copy bigint, row bigint, line int, start int, end int, n_words int, digest binary")
 
 
 def repeated(docs: DataFrame, least: int = LEAST_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -89,10 +89,10 @@ def repeated(docs: DataFrame, least: int = LEAST_WORDS, key: str = "doc_id", tex
     again = materialize(again.drop("digest", "n"), "repeats")
     whole = (
         again.where(F.col("start") == F.col("line"))
-        .groupBy(F.col(key).alias("_k"), F.col("copy").alias("_copy"), F.col("line").alias("_line"))
+        .groupBy(F.col("row").alias("_row"), F.col("line").alias("_line"))
         .agg(F.max("end").alias("_until"))
     )
-    same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("copy") == F.col("_copy")) & (F.col("line") == F.col("_line"))
+    same = (F.col("row") == F.col("_row")) & (F.col("line") == F.col("_line"))
     found = again.join(whole, same, "left")
     inside = (F.col("start") > F.col("line")) | (F.col("end") < F.col("_until"))
     covered = F.coalesce(inside & (F.col("end") <= F.col("_until")), F.lit(False))

@@ -61,6 +61,14 @@ def test_short_lines_and_wrapped_paragraphs_are_found(spark):
     assert found == {"short line", "这是一行中文文字", "one two\nthree four five six\nseven"}
 
 
+def test_a_repeated_row_covers_its_own_sentences_only(spark):
+    first, second = (" ".join(f"{c}{k}" for k in range(12)) + "." for c in "st")
+    rows = [(1, first), (2, f"{first} {second}"), (2, f"{first} {second}")]
+    found = substring.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    whole = len(rows[1][1])
+    assert sorted((r["doc_id"], r["start"], r["end"]) for r in found) == [(2, 0, len(first)), (2, 0, whole)]
+
+
 def test_rows_of_all_kinds(spark):
     rows = [r[:2] for r in cases.TEXTS]
     found = substring.repeated(cases.documents(spark, True)).collect()
