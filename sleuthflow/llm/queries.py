@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sleuthflow.llm import bpe, language, lm, mixing, projections, secrets, segments, sharding, simhash, substring
+from sleuthflow.llm import alignment, bpe, caps, conversations, language, lm, mixing, projections, secrets, segments, sharding, simhash, substring
 from sleuthflow.llm.common import WORD, documents, embeddings, fold
 from sleuthflow.session import configure, materialize
 
 TOKENIZER = "word_bpe_49k.json"
+ALIGNED = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +87,26 @@ def op10_topk_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.top_products(embeddings(spark, sf_dir), F.col("id") % 20 == 0, k=20)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of every damaged conversation."""
+    configure(spark)
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversations.repairs(conversations.damaged(rows), gone="gone")
+
+
+def op12_cap_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label linked at a cosine of 0.93 or more."""
+    configure(spark)
+    return caps.near_duplicates(embeddings(spark, sf_dir), cosine=0.93)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers linked by shared ends, with the counts of their links over the corpus."""
+    configure(spark)
+    found = alignment.align(documents(spark, sf_dir), *map(public_tokenizers.path, ALIGNED), digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op2_mix_sources": op2_mix_sources,
@@ -97,4 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_ppm": op8_language_ppm,
     "op9_secret_scan": op9_secret_scan,
     "op10_topk_segments": op10_topk_segments,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_cap_near_dedup": op12_cap_near_dedup,
+    "op13_token_alignment": op13_token_alignment,
 }
