@@ -592,6 +592,9 @@ _CORRELATIONS = (
     "corr(centralization_index, gini_coefficient) AS corr_centralization_gini"
 )
 
+STREAM_WINDOWS = """
+    SELECT case_id, count(*) AS n_events, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us FROM w GROUP BY case_id"""
+
 ORACLES: dict[str, str] = {
     "read_transactions": _with(
         "tx",
@@ -790,10 +793,8 @@ ORACLES: dict[str, str] = {
         """SELECT case_id, round(global_risk, 6) AS global_risk, risk_band, summary, round(confidence, 6) AS confidence
         FROM (SELECT * FROM told ORDER BY told.global_risk DESC, case_id LIMIT 100)""",
     ),
-    "stream_case_windows": _with(
-        "w",
-        """SELECT case_id, count(*) AS n_events, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us FROM w GROUP BY case_id""",
-    ),
+    "stream_case_windows": _with("w", STREAM_WINDOWS),
+    "stream_case_state": _with("w", STREAM_WINDOWS),
     "population_pca": _with(
         "pca", 'SELECT entity_id, round(pca1, 4) AS "PCA1", round(pca2, 4) AS "PCA2", label, is_borderline FROM pca'
     ),

@@ -12,14 +12,16 @@ from sleuthflow.operators.findings import company_findings
 from sleuthflow.plans import views
 from sleuthflow.session import configure, materialize, scratch_path
 from sleuthflow.sources import catalogs, readers, sinks
+from sleuthflow.streaming import case_state
 from sleuthflow.streaming.case_stream import TrailingCases, good_events
+from sleuthflow.streaming.results import CaseResults
 
 DIGITS = 6
 # Digits to which eigenvectors of different solvers agree.
 PCA_DIGITS = 4
 HOURS = views.WINDOW_HOURS
-# Files of the feed of the stream query; a third of them makes a micro-batch.
-STREAM_FILES = 12
+# Micro-batches of the feed of the stream queries, files of each, and how late an event may be.
+STREAM_PARTS, STREAM_FILES, STREAM_LATENESS = 3, 4, "1 hour"
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -320,20 +322,24 @@ def alert_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.alert_queue(subjects, "case_id", "global_risk", 100, dossier)
 
 
-def stream_case_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of several micro-batches; trailing windows must equal the batch result.
-
-    Every case numbers its events alike, so event ids repeat between cases. The files come in no order of time;
-    the lateness allowed is the span of the table.
-    """
-    place = Window.partitionBy("case_id").orderBy("pos")
-    numbered = views.raw_events(spark, sf_dir).withColumn("event_id", F.concat(F.lit("ev-"), F.row_number().over(place)))
+def _event_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of micro-batches that follow each other in time."""
+    events = materialize(views.raw_events(spark, sf_dir), "case-events")
     feed = scratch_path(spark, "feed")
-    numbered.repartition(STREAM_FILES, "case_id", "event_id").write.parquet(feed)
-    stored = spark.read.parquet(feed)
-    days = stored.agg(F.date_diff(F.max("ts"), F.min("ts"))).first()[0] + 2
-    source = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", -(-STREAM_FILES // 3)).parquet(feed)
-    stream = good_events(source, f"{days} days")
+    cuts = events.agg(F.percentile_approx(F.unix_micros("ts"), [k / STREAM_PARTS for k in range(1, STREAM_PARTS)]).alias("c")).first()[0] or []
+    edges = [None, *sorted(set(cuts)), None]
+    for low, high in zip(edges, edges[1:]):
+        us = F.unix_micros("ts")
+        after = us > low if low is not None else F.lit(True)
+        until = us <= high if high is not None else F.lit(True)
+        # A part is a number of files, and files are taken in the order of their writing.
+        events.where(after & until).repartition(STREAM_FILES).write.mode("append").parquet(feed)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", STREAM_FILES).parquet(feed)
+
+
+def stream_case_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trailing windows recomputed from the log after every micro-batch must equal the batch result."""
+    stream = good_events(_event_feed(spark, sf_dir), STREAM_LATENESS)
 
     def compute(events: DataFrame) -> DataFrame:
         windows = cases.case_windows(cases.window_events(events, HOURS))
@@ -345,6 +351,17 @@ def stream_case_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trailing.latest()
 
 
+def stream_case_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trailing windows held in keyed state must equal the batch result."""
+    folder = scratch_path(spark, "state-results")
+    run = case_state.start(
+        spark, _event_feed(spark, sf_dir), folder, scratch_path(spark, "state-checkpoint"), HOURS, STREAM_LATENESS, available_now=True
+    )
+    run.awaitTermination()
+    found = CaseResults(spark, folder, case_state.WINDOW_SCHEMA).latest()
+    return found.select("case_id", "n_events", _micros("start_ts"), _micros("end_ts"))
+
+
 # Models
 
 _fitted: dict[tuple[str, int, str], object] = {}
@@ -472,6 +489,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         explain_cases,
         alert_queue,
         stream_case_windows,
+        stream_case_state,
         train_risk_model,
         predict_risk,
         predict_from_ops,

@@ -11,6 +11,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sleuthflow.functions.columns import require_columns
 from sleuthflow.operators.contracts import check_events
+from sleuthflow.streaming.results import CaseResults
+
+
+def checked_events(stream: DataFrame) -> DataFrame:
+    """Events of a stream that keep the contract."""
+    return check_events(stream).where(F.col("reason").isNull()).drop("reason")
 
 
 def good_events(stream: DataFrame, lateness: str) -> DataFrame:
@@ -21,19 +27,19 @@ def good_events(stream: DataFrame, lateness: str) -> DataFrame:
     An event older than the watermark is late and is dropped; the progress of the query counts them
     (`numRowsDroppedByWatermark`).
     """
-    checked = check_events(stream)
-    return (
-        checked.where(F.col("reason").isNull())
-        .drop("reason")
-        .withWatermark("ts", lateness)
-        .dropDuplicatesWithinWatermark([c for c in ("case_id", "event_id") if c in checked.columns])
-    )
+    checked = checked_events(stream)
+    named = [c for c in ("case_id", "event_id") if c in checked.columns]
+    return checked.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(named)
 
 
 def bad_events(stream: DataFrame) -> DataFrame:
-    """Events of a stream that break the contract, with the reason; they fail their case as in a batch."""
+    """Events of a stream that break the contract, with the reason; they fail their case as in a batch.
+
+    `pos`, the place of an event in its input, is kept if there is one: the first error of a case is the first by it.
+    """
     checked = check_events(stream)
-    return checked.where(F.col("reason").isNotNull()).select("case_id", "event_id", "reason")
+    place = F.col("pos") if "pos" in checked.columns else F.lit(None)
+    return checked.where(F.col("reason").isNotNull()).select("case_id", place.cast("bigint").alias("pos"), "event_id", "reason")
 
 
 def hopping_case_windows(
@@ -78,6 +84,7 @@ class TrailingCases:
     ) -> None:
         self.spark, self.folder, self.compute, self.window_hours = spark, folder, compute, window_hours
         self.schema = None
+        self.results = CaseResults(spark, f"{folder}/cases")
         self.newest = self._newest_day()
 
     def _newest_day(self) -> datetime | None:
@@ -109,8 +116,7 @@ class TrailingCases:
         log = log.where(F.col("batch") <= number)
         added = log.where(F.col("batch") == number)
         touched = log.join(added.select("case_id").distinct(), "case_id", "left_semi").drop("event_date", "batch")
-        result = self.compute(touched)
-        result.write.mode("overwrite").parquet(f"{self.folder}/cases/batch={number}")
+        self.results.add(self.compute(touched), number)
 
     def start(self, events: DataFrame, checkpoint: str, available_now: bool = False) -> StreamingQuery:
         writer = events.writeStream.foreachBatch(self._batch).option("checkpointLocation", checkpoint)
@@ -128,22 +134,18 @@ class TrailingCases:
         return writer.start()
 
     def failures(self) -> DataFrame:
-        """One row per case with a bad event: the first of its reasons by event id."""
+        """One row per case with a bad event: the first of its reasons by input place, then event id."""
         path = f"{self.folder}/bad"
         try:
             bad = self.spark.read.option("basePath", path).parquet(path)
         except AnalysisException:
             return self.spark.createDataFrame([], "case_id string, error string")
-        first = F.min(F.struct("event_id", "reason"))["reason"]
+        first = F.min(F.struct(F.col("pos").isNull().alias("unplaced"), "pos", "event_id", "reason"))["reason"]
         return bad.groupBy("case_id").agg(first.alias("error"))
 
     def latest(self) -> DataFrame:
         """Newest result of every case without bad events."""
-        path = f"{self.folder}/cases"
-        results = self.spark.read.option("basePath", path).parquet(path)
-        newest = results.groupBy("case_id").agg(F.max("batch").alias("batch"))
-        kept = results.join(newest, ["case_id", "batch"], "left_semi").drop("batch")
-        return kept.join(self.failures(), "case_id", "left_anti")
+        return self.results.latest().join(self.failures(), "case_id", "left_anti")
 
 
 def _ddl(df: DataFrame) -> str:
