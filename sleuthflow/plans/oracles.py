@@ -595,6 +595,39 @@ _CORRELATIONS = (
 STREAM_WINDOWS = """
     SELECT case_id, count(*) AS n_events, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us FROM w GROUP BY case_id"""
 
+_COARSE = f"""coarse AS (SELECT label, is_test, round({_PROXY}, 3) AS score FROM split)"""
+# The greatest over starts of the least over ends of the means between them: the isotonic curve, without pooling.
+_ISOTONIC = """
+    dist AS (SELECT score, count(*) AS n, count(*) FILTER (label = 1) AS p FROM coarse WHERE NOT is_test GROUP BY score),
+    summed AS (SELECT *, row_number() OVER o AS i, sum(n) OVER o AS cn, sum(p) OVER o AS cp FROM dist WINDOW o AS (ORDER BY score)),
+    means AS (SELECT a.i AS j, b.i AS k, (b.cp - a.cp + a.p)::DOUBLE / (b.cn - a.cn + a.n)::DOUBLE AS m FROM summed a JOIN summed b ON b.i >= a.i),
+    least_of AS (SELECT k AS i, min(m) OVER (PARTITION BY j ORDER BY k DESC) AS v FROM means),
+    risen AS (SELECT i, max(v) AS v FROM least_of GROUP BY i),
+    iso AS (SELECT min(score) AS low, max(score) AS high, sum(n)::BIGINT AS n, sum(p)::BIGINT AS positives, v AS value
+        FROM summed JOIN risen USING (i) GROUP BY v)"""
+_PLATT = f"""
+    totals AS (SELECT count(*) FILTER (label = 1)::{D} AS pos, count(*) FILTER (label = 0)::{D} AS neg FROM coarse WHERE NOT is_test),
+    aim AS (SELECT score AS x, n::{D} AS n, p * (pos + 1) / (pos + 2) + (n - p) / (neg + 2) AS t FROM dist, totals),
+    steps(k, a, b) AS (
+        SELECT 0, 0::{D}, ln((pos + 1) / (neg + 1)) FROM totals
+        UNION ALL
+        SELECT k + 1, a - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+        FROM (SELECT k, a, b, sum((n * q - t) * x) AS g0, sum(n * q - t) AS g1, sum(n * q * (1 - q) * x * x) AS h00,
+            sum(n * q * (1 - q) * x) AS h01, sum(n * q * (1 - q)) AS h11
+            FROM (SELECT *, 1 / (1 + exp(-(a * x + b))) AS q FROM steps, aim WHERE k < 20) GROUP BY k, a, b)
+    ),
+    platt AS (SELECT a AS slope, b AS "offset" FROM steps WHERE k = 20)"""
+_ISO_VALUE = """coalesce(
+    (SELECT max(value) FROM iso WHERE score BETWEEN low AND high),
+    (SELECT l.value + (h.value - l.value) * (score - l.high) / (h.low - l.high)
+        FROM (SELECT max_by(value, high) AS value, max(high) AS high FROM iso WHERE high < score) l,
+             (SELECT min_by(value, low) AS value, min(low) AS low FROM iso WHERE low > score) h),
+    (SELECT CASE WHEN score < min(low) THEN min(value) ELSE max(value) END FROM iso))"""
+_REPORTED = f"""ways AS (
+        SELECT 'raw' AS method, label, score AS p FROM coarse WHERE is_test
+        UNION ALL SELECT 'platt', label, 1 / (1 + exp(-(slope * score + "offset"))) FROM coarse, platt WHERE is_test
+        UNION ALL SELECT 'isotonic', label, {_ISO_VALUE} FROM coarse WHERE is_test)"""
+
 ORACLES: dict[str, str] = {
     "read_transactions": _with(
         "tx",
@@ -781,6 +814,21 @@ ORACLES: dict[str, str] = {
     )
     + """SELECT case_id, NULL::VARCHAR AS error, round(global_risk, 6) AS global_risk FROM scored UNION ALL
     SELECT DISTINCT case_id, 'sender_id and receiver_id must be different.', NULL::DOUBLE FROM ev_raw WHERE sender_id = receiver_id""",
+    # Requests are cases named by part; a supplied share stands in for the derived one.
+    "score_requests": _with("scored", "").replace(
+        "SELECT * FROM ev_raw WHERE sender_id <> receiver_id",
+        """SELECT * REPLACE (case_id || '#' || (pos // 64) AS case_id) FROM ev_raw WHERE (pos // 64) % 5 <> 4
+        AND case_id || '#' || (pos // 64) NOT IN (SELECT case_id || '#' || (pos // 64) FROM ev_raw WHERE sender_id = receiver_id)""",
+    ).replace(
+        f"{_PROXY} AS tab",
+        f"""CASE WHEN split_part(case_id, '#', 2)::BIGINT % 3 = 1 THEN {_clip(
+            f"(split_part(case_id, '#', 2)::BIGINT % 5) / {_d(5)} * {_d(0.35)} + (split_part(case_id, '#', 2)::BIGINT % 7) / {_d(7)} * {_d(0.35)}"
+            f" + (split_part(case_id, '#', 2)::BIGINT % 4) / {_d(4)} * {_d(0.30)}", 0.0, 1.0)} ELSE {_PROXY} END AS tab""",
+    )
+    + """SELECT case_id, NULL::VARCHAR AS error, round(global_risk, 6) AS global_risk FROM scored UNION ALL
+    SELECT case_id || '#' || (pos // 64), max(CASE WHEN (pos // 64) % 5 = 4 THEN 'window_hours must be > 0.'
+        ELSE 'sender_id and receiver_id must be different.' END), NULL::DOUBLE
+    FROM ev_raw GROUP BY 1, (pos // 64) % 5 = 4 HAVING (pos // 64) % 5 = 4 OR bool_or(sender_id = receiver_id)""",
     "explain_cases": _with(
         "told feature_rows",
         f"""SELECT case_id, summary, top_features, round(top_value, 6) AS top_value, n_events::{D} AS event_count,
@@ -806,6 +854,14 @@ ORACLES: dict[str, str] = {
             for name, rule in (("legit", "label = 0"), ("pyramid", "label = 1"), ("borderline", "is_borderline"))
         ),
     ),
+    "isotonic_curve": _with("split", f", {_COARSE}, {_ISOTONIC} SELECT low, high, n, positives, round(value, 6) AS value FROM iso"),
+    "platt_curve": _with("split", f""", {_COARSE}, {_ISOTONIC}, {_PLATT} SELECT round(slope, 6) AS slope, round("offset", 6) AS "offset" FROM platt"""),
+    "calibration_report": _with(
+        "split",
+        f""", {_COARSE}, {_ISOTONIC}, {_PLATT}, {_REPORTED} SELECT method, sum(n)::BIGINT AS n, round(sum(square) / sum(n), 6) AS brier,
+        round(sum(gap) / sum(n), 6) AS calibration_error FROM (SELECT method, least(floor(p * 10), 9) AS bin, count(*) AS n,
+        sum((p - label) * (p - label)) AS square, abs(sum(p - label)) AS gap FROM ways GROUP BY 1, 2) GROUP BY method""",
+    ),
     "stratified_split": _with("split", "SELECT entity_id, label, is_test FROM split"),
     "binary_metrics": _with(
         "ranked",

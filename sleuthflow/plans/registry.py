@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from sleuthflow import catalog
-from sleuthflow.operators import cases, company, contracts, entity, evaluation, explain, graph, ml, quality, scoring
+from sleuthflow.operators import calibration, cases, company, contracts, ensemble, entity, evaluation, explain, graph, ml, quality, scoring
 from sleuthflow.operators.findings import company_findings
 from sleuthflow.plans import views
 from sleuthflow.session import configure, materialize, scratch_path
@@ -294,6 +294,18 @@ def score_batch_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def score_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of request payloads, some with features of their own or with a window that no case may have."""
+    path = scratch_path(spark, "payloads") + ".json"
+    sinks.write_dataset(views.request_payloads(spark, sf_dir), path)
+    events, requests = readers.explode_requests(readers.load_case_requests(spark, path))
+    scores, failures = scoring.score_batch(events, cases=requests)
+    none = F.lit(None)
+    return scores.select("case_id", none.cast("string").alias("error"), "global_risk").unionByName(
+        failures.select("case_id", "error", none.cast("double").alias("global_risk"))
+    )
+
+
 def explain_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = explain.explain_cases(_scored(spark, sf_dir))
 
@@ -400,6 +412,25 @@ def predict_from_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("entity_id", "probability", "label_text", *catalog.FEATURES)
 
 
+def score_cases_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases whose tabular branch is the fitted model."""
+    return _flat(scoring.score_cases(views.good_events(spark, sf_dir), HOURS, model=_model(spark, sf_dir)))
+
+
+def risk_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each feature adds to the score of every entity, from the node table of the model."""
+    nodes = materialize(ensemble.node_table(_model(spark, sf_dir)), "nodes")
+    return ensemble.contributions(views.features(spark, sf_dir), nodes, catalog.FEATURES, "entity_id")
+
+
+def risk_from_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every entity from the node table alone."""
+    nodes = materialize(ensemble.node_table(_model(spark, sf_dir)), "nodes")
+    depth = _model(spark, sf_dir).stages[-1].getMaxDepth()
+    found = ensemble.predict(views.features(spark, sf_dir), nodes, catalog.FEATURES, depth)
+    return found.select("entity_id", "margin", "probability")
+
+
 def feature_importance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.feature_importances(_model(spark, sf_dir), 5)
 
@@ -437,6 +468,35 @@ def roc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curve.withColumn("threshold", F.least("threshold", F.lit(2.0)))
 
 
+def _coarse_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(training, held-out) proxy scores to three digits with the planted label."""
+    rows = _split(spark, sf_dir).select("label", "is_test", F.round(scoring.tabular_proxy(), 3).alias("score"))
+    rows = materialize(rows, "coarse-scores")
+    return rows.where(~F.col("is_test")), rows.where("is_test")
+
+
+def isotonic_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibration.isotonic_curve(_coarse_scores(spark, sf_dir)[0])
+
+
+def platt_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slope, offset = calibration.platt_curve(_coarse_scores(spark, sf_dir)[0])
+    return spark.createDataFrame([(slope, offset)], "slope double, offset double")
+
+
+def calibration_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out error of the raw score and of both calibrations, fitted on the training rows."""
+    train, test = _coarse_scores(spark, sf_dir)
+    slope, offset = calibration.platt_curve(train)
+    ways = {
+        "raw": test.withColumn("p", F.col("score")),
+        "isotonic": calibration.apply_curve(test, calibration.isotonic_curve(train), out="p"),
+        "platt": test.withColumn("p", calibration.platt(slope, offset)),
+    }
+    found = [calibration.calibration_report(rows, "p").withColumn("method", F.lit(name)) for name, rows in ways.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 def risk_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounds of facts and features next to the range seen in the data."""
     ops = materialize(views.operational(spark, sf_dir), "operational")
@@ -486,6 +546,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         typology_probs,
         score_cases,
         score_batch_failures,
+        score_requests,
         explain_cases,
         alert_queue,
         stream_case_windows,
@@ -493,12 +554,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         train_risk_model,
         predict_risk,
         predict_from_ops,
+        score_cases_model,
+        risk_from_nodes,
+        risk_contributions,
         feature_importance_topk,
         population_pca,
         population_layers,
         stratified_split,
         binary_metrics,
         roc_curve,
+        isotonic_curve,
+        platt_curve,
+        calibration_report,
         risk_catalog,
     )
 } | {"company_findings": findings}

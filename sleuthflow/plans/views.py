@@ -131,6 +131,23 @@ def case_requests(spark: SparkSession, sf_dir: str, chunk: int = 64) -> DataFram
     )
 
 
+def request_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of their own case each: every third with supplied features, every fifth with a window of no length."""
+    part = F.col("part")
+    share = {"growth_rate": 5, "payout_dependency": 7, "centralization_index": 4}
+    values = {
+        n: (part % share[n] / F.lit(float(share[n])) if n in share else F.lit((low + high) / 2))
+        for n, (low, high) in catalog.FEATURE_BOUNDS.items()
+    }
+    supplied = F.create_map(*[x for n, v in values.items() for x in (F.lit(n), v.cast("double"))])
+    return case_requests(spark, sf_dir).select(
+        F.concat("case_id", F.lit("#"), part.cast("string")).alias("case_id"),
+        "events",
+        F.when(part % 5 == 4, 0).otherwise(WINDOW_HOURS).alias("window_hours"),
+        F.when(part % 3 == 1, supplied).alias("tabular_features"),
+    )
+
+
 def operational(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operational facts that pass the contract."""
     checked = check_ops(entity_operational(transfers(spark, sf_dir)))
