@@ -29,10 +29,12 @@ from sleuthflow.llm.bpe import byte_units
 from sleuthflow.llm.common import slices
 from sleuthflow.session import materialize
 
+#: Text bytes that are aligned at once.
+SLICE_BYTES = 1_000_000
 #: Text bytes of the documents that ask for their counts together.
 BLOCK_BYTES = 16_000_000
 #: Ids in the windows that are kept between slices, and links of a group that are listed one by one.
-CACHED_IDS, LARGE = 4_000_000, 4096
+CACHED_IDS, LARGE = 2_000_000, 4096
 SPACE, PIECE_SPACE = b" ", "▁"
 #: The split pattern of byte-level tokenizers that use their built-in one (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -289,7 +291,7 @@ def _counted(docs: DataFrame, source, key: str, text: str, digest: bool) -> Data
         aligner, task = _aligner(source), TaskContext.get().partitionId() << 32
         block, key_type = None, None
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SLICE_BYTES):
                 block = block or Block(task)
                 key_type, n = part.column(0).type, part.num_rows
                 found = aligner.align(part.column(1).to_pylist())

@@ -14,6 +14,7 @@ equal ranks mean equal texts up to a short tail, and ranks are renewed from one
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import deque
 from collections.abc import Iterator
 
@@ -63,6 +64,15 @@ def _moves(initial: str, deleted: bool, cut: bool) -> list[list[tuple[int, str,
 MOVES = {(i, d, c): _moves(i, d, c) for i in ("s", "u", "a", "") for d in (False, True) for c in (False, True)}
 
 
+#: (state, other): by how much the rest can cost more from a state than from the other. Behind an answer, all goes on as
+#: from the start but for a system turn, which is deleted then; an inserted turn leads across the two halves of a pair.
+BEHIND = {
+    (ANSWERED, START): DELETE, (ANSWERED, SYSTEM): 0, (START, ANSWERED): 0, (START, SYSTEM): 0,
+    (ASKED, ANSWERED): INSERT, (ANSWERED, ASKED): INSERT, (START, ASKED): INSERT, (SYSTEM, ASKED): INSERT,
+    (ASKED, SYSTEM): INSERT, (ASKED, START): INSERT + DELETE,
+}
+
+
 class Node:
     """Edits of one row on a surviving path."""
 
@@ -90,6 +100,9 @@ class Survivors:
                 found = (cost + more, rank, tail + edits)
                 if following not in best or found < best[following][0]:
                     best[following] = (found, node, edits)
+        # A path that another one beats whatever comes is no survivor; without that, all rows deleted would be one forever.
+        costs = {state: b[0][0] for state, b in best.items()}
+        best = {p: b for p, b in best.items() if not any(costs[q] + BEHIND.get((q, p), math.inf) < b[0][0] for q in costs)}
         ranks: dict[tuple[int, str], tuple[int, str]] = {}
         base = None
         for rank, tail in sorted({b[0][1:] for b in best.values()}):
