@@ -7,12 +7,16 @@ tables, and both paths give the same exact result.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sleuthflow.functions.ranking import top_k
 from sleuthflow.functions.skew import attach
-from sleuthflow.session import materialize, scratch_path
+from sleuthflow.session import materialize, remove, scratch_path
 
 SMALL_CASE_EDGES = 256
 MAX_WALK = 8
@@ -185,6 +189,8 @@ def case_shape(edges: DataFrame, limit: int = SMALL_CASE_EDGES) -> DataFrame:
     return small.unionByName(_components_by_joins(rest).join(_walk_by_joins(rest, MAX_WALK), "case_id"))
 
 
+#: Pairs (source, node) of large cases that are stored at a time.
+CHUNK_PAIRS = 200_000_000
 HUB_SCHEMA = "case_id string, hub_betweenness double"
 
 
@@ -200,8 +206,13 @@ def hub_nodes(parties: DataFrame) -> DataFrame:
     )
 
 
-def case_hub_metrics(edges: DataFrame, parties: DataFrame, limit: int = SMALL_CASE_EDGES) -> DataFrame:
-    """Hub, its in-degree share and its normalised directed betweenness."""
+def case_hub_metrics(
+    edges: DataFrame, parties: DataFrame, limit: int = SMALL_CASE_EDGES, chunk_pairs: int = CHUNK_PAIRS, pivots: int | None = None
+) -> DataFrame:
+    """Hub, its in-degree share and its normalised directed betweenness.
+
+    `chunk_pairs` and `pivots` are those of large cases (see `_betweenness_by_joins`).
+    """
     hubs = hub_nodes(parties)
     arrays = edge_arrays(edges, limit)
     ends = [F.col(f"links.{end}").alias(end) for end in ("src", "dst")]
@@ -209,7 +220,7 @@ def case_hub_metrics(edges: DataFrame, parties: DataFrame, limit: int = SMALL_CA
     between = small.mapInPandas(_betweenness_batches(), HUB_SCHEMA)
     rest = _large_edges(edges, limit)
     if rest is not None:
-        between = between.unionByName(_betweenness_by_joins(rest, hubs))
+        between = between.unionByName(_betweenness_by_joins(rest, hubs, chunk_pairs, pivots))
     return hubs.join(between, "case_id", "left").select(
         "case_id",
         "hub_node",
@@ -218,60 +229,113 @@ def case_hub_metrics(edges: DataFrame, parties: DataFrame, limit: int = SMALL_CA
     )
 
 
-def _path_counts(adjacency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distances, numbers of shortest paths) between all nodes of a small graph, level by level from all at once.
-
-    Unreachable pairs have distance infinity.
-    """
-    count = len(adjacency)
-    far = np.full((count, count), np.inf)
-    np.fill_diagonal(far, 0)
-    paths = np.eye(count)
-    level, depth = paths, 0
-    while level.any():
-        depth += 1
-        level = np.where(np.isinf(far), level @ adjacency, 0)
-        new = level > 0
-        far[new] = depth
-        paths = np.where(new, level, paths)
-    return far, paths
+class _Cases:
+    """Graphs of many small cases side by side; a pair (source, node) of one case has a place in one flat table."""
+
+    def __init__(self, sources: list[np.ndarray], targets: list[np.ndarray]) -> None:
+        named = [np.unique(np.concatenate(both).astype(str), return_inverse=True) for both in zip(sources, targets)]
+        self.names = [names for names, _ in named]
+        self.counts = np.array([len(n) for n in self.names])
+        self.first = self.counts.cumsum() - self.counts
+        src = np.concatenate([at[: len(s)] + f for (_, at), s, f in zip(named, sources, self.first)])
+        dst = np.concatenate([at[len(s) :] + f for (_, at), s, f in zip(named, sources, self.first)])
+        src, dst = np.unique(np.stack([src, dst])[:, src != dst], axis=1)
+        self.case = np.repeat(np.arange(len(self.counts)), self.counts)
+        squares = self.counts**2
+        # Row of a source: the place of its pair with the first node of its case.
+        local = np.arange(len(self.case)) - self.first[self.case]
+        self.row = (squares.cumsum() - squares)[self.case] + local * self.counts[self.case]
+        self.pairs = int(squares.sum())
+        self.onward, self.back = (self._sorted(*ends) for ends in ((src, dst), (dst, src)))
+
+    def _sorted(self, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, ends): ends of the edges of node n are ends[starts[n] : starts[n + 1]]."""
+        order = src.argsort(kind="stable")
+        return np.searchsorted(src[order], np.arange(len(self.case) + 1)), dst[order]
+
+    def levels(self, edges: tuple[np.ndarray, np.ndarray], seeds: np.ndarray, most: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(source, node, distance, shortest paths) level by level from every seed, each up to its distance `most`.
+
+        A pair is met once, so the work of a seed is at most the edges of its case, whatever the depth.
+        """
+        starts, ends = edges
+        met = np.zeros(self.pairs, bool)
+        source, node, paths, depth = seeds, seeds, np.ones(len(seeds)), 0
+        met[self.row[source] + node - self.first[self.case[node]]] = True
+        limit = np.zeros(len(self.case), np.int64)
+        limit[seeds] = most
+        while len(source):
+            yield source, node, depth, paths
+            depth += 1
+            going = limit[source] >= depth
+            source, node, paths = source[going], node[going], paths[going]
+            degree = starts[node + 1] - starts[node]
+            at = np.repeat(starts[node] - (degree.cumsum() - degree), degree) + np.arange(degree.sum())
+            source, paths, node = np.repeat(source, degree), np.repeat(paths, degree), ends[at]
+            key = self.row[source] + node - self.first[self.case[node]]
+            fresh = ~met[key]
+            key, place, inverse = np.unique(key[fresh], return_index=True, return_inverse=True)
+            source, node = source[fresh][place], node[fresh][place]
+            paths = np.bincount(inverse, weights=paths[fresh], minlength=len(key))
+            met[key] = True
+
+    def whole(self, edges: tuple[np.ndarray, np.ndarray], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distance and paths of every node from the one seed of its case; unreachable ones have distance -1."""
+        far, paths = np.full(len(self.case), -1), np.zeros(len(self.case))
+        for _, node, depth, n in self.levels(edges, seeds, np.full(len(seeds), len(self.case))):
+            far[node], paths[node] = depth, n
+        return far, paths
+
+    def betweenness(self, hubs: list[str]) -> np.ndarray:
+        """Share of the shortest paths between other nodes that lead through the hub of each case."""
+        hub = self.first + np.array([np.searchsorted(names, h) for names, h in zip(self.names, hubs)])
+        to_hub, paths_in = self.whole(self.back, hub)
+        from_hub, paths_on = self.whole(self.onward, hub)
+        farthest = np.zeros(len(self.counts), np.int64)
+        np.maximum.at(farthest, self.case, from_hub)
+        seeds = np.flatnonzero((to_hub > 0) & (farthest[self.case] > 0))
+        total = np.zeros(len(self.counts))
+        for source, node, depth, paths in self.levels(self.onward, seeds, to_hub[seeds] + farthest[self.case[seeds]]):
+            through = (from_hub[node] > 0) & (to_hub[source] + from_hub[node] == depth) & (node != source)
+            source, node = source[through], node[through]
+            share = paths_in[source] * paths_on[node] / paths[through]
+            total += np.bincount(self.case[source], weights=share, minlength=len(total))
+        others = (self.counts - 1) * (self.counts - 2)
+        return np.where(others > 0, total / np.maximum(others, 1), 0.0)
+
+
+#: Pairs of nodes that small cases handled together may have.
+PAIRS_AT_ONCE = 4_000_000
 
 
 def _betweenness_batches():
     """Batch function for small cases: share of shortest paths through the hub, over all pairs of other nodes."""
 
-    def betweenness(hub: str, sources: np.ndarray, targets: np.ndarray) -> float:
-        nodes, at = np.unique(np.concatenate([sources, targets]).astype(str), return_inverse=True)
-        count = len(nodes)
-        if count < 3:
-            return 0.0
-        adjacency = np.zeros((count, count))
-        adjacency[at[: len(sources)], at[len(sources) :]] = 1
-        np.fill_diagonal(adjacency, 0)
-        far, paths = _path_counts(adjacency)
-        h = int(np.searchsorted(nodes, hub))
-        through = (far[:, h, None] + far[None, h, :] == far) & np.isfinite(far)
-        through[h, :] = through[:, h] = False
-        np.fill_diagonal(through, False)
-        share = np.outer(paths[:, h], paths[h, :])[through] / paths[through]
-        return float(share.sum() / ((count - 1) * (count - 2)))
-
     def batches(frames):
         for frame in frames:
-            rows = zip(frame["hub_node"], frame["src"], frame["dst"])
-            yield frame[["case_id"]].assign(hub_betweenness=[betweenness(*row) for row in rows])
+            sources, targets = frame["src"].tolist(), frame["dst"].tolist()
+            # A case of n edges has at most 2 n nodes.
+            pairs = np.array([4 * len(s) ** 2 for s in sources], np.int64)
+            part = (pairs.cumsum() - pairs) // PAIRS_AT_ONCE
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sources)]
+            found = [
+                _Cases(sources[low:high], targets[low:high]).betweenness(frame["hub_node"].tolist()[low:high])
+                for low, high in zip(edges, edges[1:])
+                if high > low
+            ]
+            yield frame[["case_id"]].assign(hub_betweenness=np.concatenate(found) if found else [])
 
     return batches
 
 
-def _levels(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def _levels(edges: DataFrame, seeds: DataFrame, root: str | None = None) -> DataFrame:
     """Breadth-first levels from each (case, source): (case, source, node, dist, paths), one join per level.
 
     Every level is written once beside the earlier ones. `seeds` may have `most`, the distance up to which its
     source is followed.
     """
     spark = edges.sparkSession
-    root = scratch_path(spark, "bfs")
+    root = root or scratch_path(spark, "bfs")
     bounded = seeds if "most" in seeds.columns else seeds.withColumn("most", F.lit(None).cast("int"))
     columns = ["case_id", "source", "node", "dist", "paths", "most"]
     level = bounded.select(
@@ -296,29 +360,62 @@ def _levels(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         )
 
 
-def _betweenness_by_joins(edges: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Exact hub betweenness of large cases. Only nodes that reach the hub are taken as sources."""
+def pivot_error(pivots: int, miss: float = 0.05) -> float:
+    """Bound on the error of a betweenness from `pivots` sources that holds with a chance of 1 - `miss` (Hoeffding).
+
+    A source adds at most the number of nodes it can reach beside the hub, so its share is between 0 and 1.
+    """
+    return math.sqrt(math.log(2 / miss) / (2 * pivots))
+
+
+def _betweenness_by_joins(
+    edges: DataFrame, hubs: DataFrame, chunk_pairs: int = CHUNK_PAIRS, pivots: int | None = None
+) -> DataFrame:
+    """Hub betweenness of large cases. Only nodes that reach the hub are taken as sources.
+
+    Sources are taken in chunks, so that no more than about `chunk_pairs` (source, node) pairs are stored at a
+    time; a chunk leaves one number per case and its levels are removed. With `pivots`, so many sources of a case
+    stand for all of them (see `pivot_error`); without, the result is exact.
+    """
+    spark = edges.sparkSession
     cases = edges.select("case_id").distinct()
     hub = hubs.join(cases, "case_id", "left_semi").select("case_id", F.col("hub_node").alias("source"))
-    forward = _levels(edges, hub).select(
-        "case_id", "node", F.col("dist").alias("from_hub"), F.col("paths").alias("paths_on")
+    forward = materialize(
+        _levels(edges, hub).where(F.col("dist") > 0).select("case_id", "node", F.col("dist").alias("from_hub"), F.col("paths").alias("paths_on")),
+        "from-hub",
     )
     backward = _levels(edges.select("case_id", F.col("dst").alias("src"), F.col("src").alias("dst")), hub).select(
         "case_id", F.col("node").alias("source"), F.col("dist").alias("to_hub"), F.col("paths").alias("paths_in")
     )
-    sources = backward.where(F.col("to_hub") > 0)
     # Beyond the hub's farthest node no path leads through the hub, so nothing behind that distance is kept.
     farthest = forward.groupBy("case_id").agg(F.max("from_hub").alias("_far"))
-    seeds = sources.join(farthest, "case_id").select("case_id", "source", (F.col("to_hub") + F.col("_far")).alias("most"))
-    reach = _levels(edges, seeds)
-    through = (
-        reach.where(F.col("node") != F.col("source"))
-        .join(forward.where(F.col("from_hub") > 0), ["case_id", "node"])
-        .join(sources, ["case_id", "source"])
-        .where(F.col("dist") == F.col("to_hub") + F.col("from_hub"))
-        .groupBy("case_id")
-        .agg(F.sum(F.col("paths_in") * F.col("paths_on") / F.col("paths")).alias("total"))
-    )
+    sources = backward.where(F.col("to_hub") > 0).join(farthest, "case_id").withColumn("most", F.col("to_hub") + F.col("_far")).drop("_far")
+    if pivots is not None:
+        sizes = sources.groupBy("case_id").agg(F.count("*").alias("_all"))
+        sources = top_k(sources, ["case_id"], [F.xxhash64("case_id", "source"), F.col("source")], pivots, "_rank").drop("_rank").join(sizes, "case_id")
+        sources = sources.withColumn("weight", F.greatest(F.col("_all") / F.lit(pivots), F.lit(1.0))).drop("_all")
+    else:
+        sources = sources.withColumn("weight", F.lit(1.0))
+    reached = hubs.select("case_id", "nodes")
+    sources = materialize(sources, "sources")
+    pairs = sources.join(reached, "case_id").agg(F.sum("nodes")).first()[0] or 0
+    chunks = max(1, -(-int(pairs) // chunk_pairs))
+    totals = []
+    for n in range(chunks):
+        mine = sources if chunks == 1 else sources.where(F.pmod(F.xxhash64("case_id", "source"), F.lit(chunks)) == n)
+        root = scratch_path(spark, "bfs")
+        reach = _levels(edges, mine.select("case_id", "source", "most"), root)
+        through = (
+            reach.where(F.col("node") != F.col("source"))
+            .join(forward, ["case_id", "node"])
+            .join(mine, ["case_id", "source"])
+            .where(F.col("dist") == F.col("to_hub") + F.col("from_hub"))
+            .groupBy("case_id")
+            .agg(F.sum(F.col("weight") * F.col("paths_in") * F.col("paths_on") / F.col("paths")).alias("total"))
+        )
+        totals.append(materialize(through, "through"))
+        remove(spark, root)
+    through = reduce(DataFrame.unionByName, totals).groupBy("case_id").agg(F.sum("total").alias("total"))
     norm = (F.col("nodes") - 1) * (F.col("nodes") - 2)
     return (
         hubs.join(through, "case_id")

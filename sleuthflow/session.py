@@ -72,8 +72,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def clear_scratch(spark: SparkSession) -> bool:
     """Remove the intermediate tables of this application; results that are still to be read from them must be
     written first. True if there was something to remove."""
-    jvm, folder = spark._jvm, f"{scratch_dir(spark)}/sleuthflow-{spark.sparkContext.applicationId}"
-    path = jvm.org.apache.hadoop.fs.Path(folder)
+    return remove(spark, f"{scratch_dir(spark)}/sleuthflow-{spark.sparkContext.applicationId}")
+
+
+def remove(spark: SparkSession, folder: str) -> bool:
+    """Remove a folder of intermediate tables. True if there was something to remove."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

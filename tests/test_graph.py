@@ -1,6 +1,7 @@
 import random
 from itertools import permutations
 
+import numpy as np
 import pytest
 
 from sleuthflow.operators import graph
@@ -129,8 +130,38 @@ def test_hub_metrics_of_a_chain_a_star_and_a_loop(spark, limit):
     assert found == pytest.approx({c: hub_metrics(links)[2] for c, links in by_case(rows).items()})
 
 
-def test_path_counts_of_a_long_chain():
-    import numpy as np
+def test_paths_of_a_long_chain():
+    chain = np.array([f"n{i:03d}" for i in range(301)])
+    case = graph._Cases([chain[:-1], chain[1:2]], [chain[1:], chain[:1]])
+    far, paths = case.whole(case.onward, np.array([0]))
+    assert far[300] == 300 and paths[300] == 1 and (far[301:] == -1).all()
+    case = graph._Cases([chain[:-1]] * 2, [chain[1:]] * 2)
+    found = case.betweenness(["n150", "n000"])
+    assert found == pytest.approx([150 * 150 / (300 * 299), 0.0])
 
-    far, paths = graph._path_counts(np.eye(300, k=1))
-    assert far[0, 299] == 299 and paths[0, 299] == 1 and np.isinf(far[1, 0])
+
+def test_work_of_a_chain_follows_its_pairs():
+    """Every (source, node) pair is met once: 256 edges give about 32,000 pairs, not levels times pairs."""
+    chain = np.array([f"n{i:03d}" for i in range(257)])
+    case = graph._Cases([chain[:-1]], [chain[1:]])
+    seeds = np.arange(257)
+    met = sum(len(node) for _, node, _, _ in case.levels(case.onward, seeds, np.full(257, 999)))
+    assert met == 257 * 258 // 2
+
+
+@pytest.mark.parametrize("chunk_pairs", [1, 40, 10**9])
+def test_large_cases_in_chunks_of_sources(spark, chunk_pairs):
+    rows = random_edges(7, cases=4)
+    edges, parties = frames(spark, rows)
+    found = {r.case_id: r.hub_betweenness for r in graph.case_hub_metrics(edges, parties, 0, chunk_pairs).collect()}
+    assert found == pytest.approx({c: hub_metrics(links)[2] for c, links in by_case(rows).items()})
+
+
+def test_pivots_stay_within_their_bound(spark):
+    rows = random_edges(9, cases=3)
+    edges, parties = frames(spark, rows)
+    exact = {c: hub_metrics(links)[2] for c, links in by_case(rows).items()}
+    few = {r.case_id: r.hub_betweenness for r in graph.case_hub_metrics(edges, parties, 0, pivots=3).collect()}
+    assert all(abs(few[c] - exact[c]) <= graph.pivot_error(3) for c in exact)
+    enough = {r.case_id: r.hub_betweenness for r in graph.case_hub_metrics(edges, parties, 0, pivots=1000).collect()}
+    assert enough == pytest.approx(exact)
