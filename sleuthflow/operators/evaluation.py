@@ -142,3 +142,43 @@ def roc_curve(
         F.try_divide(F.col("tp_upto").cast("double"), positives.cast("double")).alias("tpr"),
     )
     return start.unionByName(curve)
+
+
+def _placements(scored: DataFrame, score: str, label: str) -> DataFrame:
+    """(score, higher): per distinct score, share of the other class that a positive beats, and that beats a negative."""
+    points = materialize(score_points(score_counts(scored, score, label)), "score-points")
+    totals = points.agg(F.sum("tp").alias("m"), F.sum("fp").alias("n")).first()
+    m, n = float(totals["m"] or 0), float(totals["n"] or 0)
+    below = F.lit(n) - F.col("fp_upto") + F.col("fp") / F.lit(2.0)
+    above = F.col("tp_upto") - F.col("tp") / F.lit(2.0)
+    return points.select("score", F.try_divide(below, F.lit(n)).alias("beaten"), F.try_divide(above, F.lit(m)).alias("beating"))
+
+
+def compare_auc(scored: DataFrame, first: str, second: str, label: str = "label") -> DataFrame:
+    """(auc_first, auc_second, difference, deviation, z): two scores of the same rows by DeLong's test, one row.
+
+    The deviation is that of the difference, with the covariance of both scores. Rows without both scores or with
+    a label other than 0 and 1 are left out; without two rows of each class the deviation is null.
+    """
+    rows = materialize(
+        scored.where(F.col(label).isin(0, 1) & F.col(first).isNotNull() & F.col(second).isNotNull())
+        .select(F.col(label).alias("label"), F.col(first).cast("double").alias("a"), F.col(second).cast("double").alias("b")),
+        "scored-twice",
+    )
+    placed = rows
+    for name in ("a", "b"):
+        found = _placements(rows, name, "label").select(F.col("score").alias(name), F.col("beaten").alias(f"{name}_1"), F.col("beating").alias(f"{name}_0"))
+        placed = placed.join(materialize(found, "placements"), name)
+    parts = {}
+    for k in (1, 0):
+        of = [F.when(F.col("label") == k, F.col(f"{name}_{k}")) for name in ("a", "b")]
+        parts |= {f"n{k}": F.count(of[0]), f"auc_a{k}": F.avg(of[0]), f"auc_b{k}": F.avg(of[1])}
+        parts |= {f"v{k}": F.var_samp(of[0]) + F.var_samp(of[1]) - F.lit(2.0) * F.covar_samp(*of)}
+    told = placed.agg(*[c.alias(n) for n, c in parts.items()])
+    known = (F.col("n1") > 1) & (F.col("n0") > 1)
+    deviation = F.when(known, F.sqrt(F.greatest(F.col("v1") / F.col("n1") + F.col("v0") / F.col("n0"), F.lit(0.0))))
+    difference = F.col("auc_a1") - F.col("auc_b1")
+    return told.select(
+        F.col("auc_a1").alias("auc_first"), F.col("auc_b1").alias("auc_second"), difference.alias("difference"),
+        deviation.alias("deviation"), F.try_divide(difference, deviation).alias("z"),
+    )

@@ -628,6 +628,30 @@ _REPORTED = f"""ways AS (
         UNION ALL SELECT 'platt', label, 1 / (1 + exp(-(slope * score + "offset"))) FROM coarse, platt WHERE is_test
         UNION ALL SELECT 'isotonic', label, {_ISO_VALUE} FROM coarse WHERE is_test)"""
 
+_DRIFT = f"""
+    long AS ({" UNION ALL ".join(f"SELECT '{f}' AS feature, {f}::{D} AS value, is_test FROM split" for f in catalog.FEATURES)}),
+    edges AS (SELECT feature, [{", ".join(f"quantile_cont(value, {k / 10})" for k in range(1, 10))}] AS e FROM long WHERE NOT is_test GROUP BY feature),
+    celled AS (SELECT feature, value, is_test, len(list_filter(e, lambda x: x < value)) AS cell FROM long JOIN edges USING (feature)),
+    sizes AS (SELECT feature, count(*) FILTER (NOT is_test) AS r, count(*) FILTER (is_test) AS c FROM long GROUP BY feature),
+    shares AS (SELECT feature, greatest(count(*) FILTER (NOT is_test) / max(r)::{D}, 1e-4) AS a, greatest(count(*) FILTER (is_test) / max(c)::{D}, 1e-4) AS b
+        FROM celled JOIN sizes USING (feature) GROUP BY feature, cell),
+    psi AS (SELECT feature, sum((b - a) * ln(b / a)) AS v FROM shares GROUP BY feature),
+    gaps_ AS (SELECT feature, max(abs(fr / r::{D} - fc / c::{D})) AS ks FROM (SELECT feature, value,
+        sum(count(*) FILTER (NOT is_test)) OVER (PARTITION BY feature ORDER BY value) AS fr,
+        sum(count(*) FILTER (is_test)) OVER (PARTITION BY feature ORDER BY value) AS fc FROM long GROUP BY feature, value) JOIN sizes USING (feature) GROUP BY feature)
+    SELECT feature, r AS n_reference, c AS n_current, round(v, 6) AS stability_index, round(ks, 6) AS ks
+    FROM sizes JOIN psi USING (feature) JOIN gaps_ USING (feature)"""
+# Every positive against every negative, once per score.
+_DELONG = f"""
+    two AS (SELECT row_number() OVER () AS id, label, round({_PROXY}, 4) AS a, round(centralization_index, 4) AS b FROM lab),
+    fought AS (SELECT p.id AS p, n.id AS n, CASE WHEN p.a > n.a THEN 1 WHEN p.a = n.a THEN 0.5::{D} ELSE 0 END AS a,
+        CASE WHEN p.b > n.b THEN 1 WHEN p.b = n.b THEN 0.5::{D} ELSE 0 END AS b FROM two p JOIN two n ON p.label = 1 AND n.label = 0),
+    pos AS (SELECT avg(a) AS a, avg(b) AS b FROM fought GROUP BY p),
+    neg AS (SELECT avg(a) AS a, avg(b) AS b FROM fought GROUP BY n),
+    told AS (SELECT (SELECT avg(a) FROM pos) AS x, (SELECT avg(b) FROM pos) AS y,
+        sqrt((SELECT var_samp(a - b) / count(*) FROM pos) + (SELECT var_samp(a - b) / count(*) FROM neg)) AS d)
+    SELECT round(x, 6) AS auc_first, round(y, 6) AS auc_second, round(x - y, 6) AS difference, round(d, 6) AS deviation, round((x - y) / d, 6) AS z FROM told"""
+
 ORACLES: dict[str, str] = {
     "read_transactions": _with(
         "tx",
@@ -854,6 +878,8 @@ ORACLES: dict[str, str] = {
             for name, rule in (("legit", "label = 0"), ("pyramid", "label = 1"), ("borderline", "is_borderline"))
         ),
     ),
+    "feature_drift": _with("split", f", {_DRIFT}"),
+    "compare_scores": _with("lab", f", {_DELONG}"),
     "isotonic_curve": _with("split", f", {_COARSE}, {_ISOTONIC} SELECT low, high, n, positives, round(value, 6) AS value FROM iso"),
     "platt_curve": _with("split", f""", {_COARSE}, {_ISOTONIC}, {_PLATT} SELECT round(slope, 6) AS slope, round("offset", 6) AS "offset" FROM platt"""),
     "calibration_report": _with(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from sleuthflow import catalog
-from sleuthflow.operators import calibration, cases, company, contracts, ensemble, entity, evaluation, explain, graph, ml, quality, scoring
+from sleuthflow.operators import calibration, cases, company, contracts, drift, ensemble, entity, evaluation, explain, graph, ml, quality, scoring
 from sleuthflow.operators.findings import company_findings
 from sleuthflow.plans import views
 from sleuthflow.session import configure, materialize, scratch_path
@@ -497,6 +497,20 @@ def calibration_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
+def feature_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of the held-out rows against those of the training rows."""
+    split = _split(spark, sf_dir)
+    return drift.drift(split.where(~F.col("is_test")), split.where("is_test"), catalog.FEATURES)
+
+
+def compare_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proxy score against its strongest feature, by their areas under the curve."""
+    rows = views.labeled(spark, sf_dir).select(
+        "label", F.round(scoring.tabular_proxy(), 4).alias("proxy"), F.round("centralization_index", 4).alias("single")
+    )
+    return evaluation.compare_auc(rows, "proxy", "single")
+
+
 def risk_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounds of facts and features next to the range seen in the data."""
     ops = materialize(views.operational(spark, sf_dir), "operational")
@@ -566,6 +580,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         isotonic_curve,
         platt_curve,
         calibration_report,
+        feature_drift,
+        compare_scores,
         risk_catalog,
     )
 } | {"company_findings": findings}
