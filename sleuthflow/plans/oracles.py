@@ -880,6 +880,11 @@ ORACLES: dict[str, str] = {
     ),
     "feature_drift": _with("split", f", {_DRIFT}"),
     "compare_scores": _with("lab", f", {_DELONG}"),
+    "profile_ranges": _with(
+        "tx",
+        """SELECT substr(receiver_id, 1, 1) AS side, year(ts)::INTEGER AS year, count(*) AS n_rows, count(DISTINCT sender_id) AS senders,
+        round(sum(amount)::DOUBLE, 6) AS amount, TRUE AS senders_near, TRUE AS median_near FROM tx GROUP BY 1, 2""",
+    ),
     "isotonic_curve": _with("split", f", {_COARSE}, {_ISOTONIC} SELECT low, high, n, positives, round(value, 6) AS value FROM iso"),
     "platt_curve": _with("split", f""", {_COARSE}, {_ISOTONIC}, {_PLATT} SELECT round(slope, 6) AS slope, round("offset", 6) AS "offset" FROM platt"""),
     "calibration_report": _with(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from sleuthflow import catalog
-from sleuthflow.operators import calibration, cases, company, contracts, drift, ensemble, entity, evaluation, explain, graph, ml, quality, scoring
+from sleuthflow.operators import calibration, cases, company, contracts, drift, ensemble, entity, evaluation, explain, graph, ml, profile, quality, scoring
 from sleuthflow.operators.findings import company_findings
 from sleuthflow.plans import views
 from sleuthflow.session import configure, materialize, scratch_path
@@ -511,6 +511,32 @@ def compare_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.compare_auc(rows, "proxy", "single")
 
 
+def profile_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transfers by year and side, merged from stored days, with exact counts beside the sketches.
+
+    A distinct count may be off by three standard errors, the rank of the median by twice its error.
+    """
+    rows = materialize(views.transfers(spark, sf_dir).withColumn("side", F.substring("receiver_id", 1, 1)), "transfers")
+    days = materialize(profile.daily_profile(rows, ["side"], "timestamp", ["sender_id"], ["amount"]), "days")
+    years = days.withColumn("year", F.year("day"))
+    told = materialize(profile.merged(years, ["side", "year"], ["sender_id"], ["amount"]), "years")
+    exact = (
+        rows.withColumn("year", F.year("timestamp")).join(F.broadcast(told.select("side", "year", "amount_median")), ["side", "year"])
+        .groupBy("side", "year").agg(
+            F.count_distinct("sender_id").alias("senders"),
+            F.count_if(F.col("amount") < F.col("amount_median")).alias("below"),
+            F.count_if(F.col("amount") <= F.col("amount_median")).alias("upto"),
+        )
+    )
+    off = F.abs(F.col("sender_id_distinct") - F.col("senders"))
+    slack, half = F.lit(2 * profile.rank_error()) * F.col("n_rows") + 1, F.col("n_rows") / 2
+    return told.join(exact, ["side", "year"]).select(
+        "side", "year", "n_rows", "senders", F.col("amount_sum").alias("amount"),
+        (off <= F.lit(3 * profile.distinct_error()) * F.col("senders")).alias("senders_near"),
+        ((F.col("below") - slack <= half) & (F.col("upto") + slack >= half)).alias("median_near"),
+    )
+
+
 def risk_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounds of facts and features next to the range seen in the data."""
     ops = materialize(views.operational(spark, sf_dir), "operational")
@@ -582,6 +608,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         calibration_report,
         feature_drift,
         compare_scores,
+        profile_ranges,
         risk_catalog,
     )
 } | {"company_findings": findings}
