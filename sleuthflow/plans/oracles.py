@@ -652,6 +652,15 @@ _DELONG = f"""
         sqrt((SELECT var_samp(a - b) / count(*) FROM pos) + (SELECT var_samp(a - b) / count(*) FROM neg)) AS d)
     SELECT round(x, 6) AS auc_first, round(y, 6) AS auc_second, round(x - y, 6) AS difference, round(d, 6) AS deviation, round((x - y) / d, 6) AS z FROM told"""
 
+# Windows stand on the clock; those are closed that end no later than the latest event less an hour.
+_HOPPING = f"""
+    , hops AS (SELECT case_id, unnest(range(0, {WINDOW_HOURS}, 4)) AS back, ts, amount, channel FROM ev),
+    windows_ AS (SELECT case_id, (epoch_us(ts) // 14400000000 * 14400000000 - back * 3600000000)::BIGINT AS window_start, ts, amount, channel FROM hops)
+    SELECT case_id, window_start AS window_start_us, count(*) AS n_events, round(sum(amount)::{D}, 6) AS amount_total,
+        epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us, count(*) FILTER (channel = 'crypto') AS crypto_events
+    FROM windows_ WHERE window_start + {WINDOW_HOURS} * 3600000000 <= (SELECT epoch_us(max(ts)) FROM ev) - 3600000000
+    GROUP BY case_id, window_start"""
+
 ORACLES: dict[str, str] = {
     "read_transactions": _with(
         "tx",
@@ -870,6 +879,20 @@ ORACLES: dict[str, str] = {
     "population_pca": _with(
         "pca", 'SELECT entity_id, round(pca1, 4) AS "PCA1", round(pca2, 4) AS "PCA2", label, is_borderline FROM pca'
     ),
+    # Fitted to the training rows, applied to the others.
+    "population_project": _with(
+        "split",
+        ", " + _population_map().replace("WITH RECURSIVE ", "").replace("FROM lab)", "FROM split WHERE NOT is_test)")
+        .replace("SELECT entity_id, label, is_borderline,", "pca AS (SELECT entity_id,").replace("FROM lab, s, first, second", "FROM split, s, first, second WHERE is_test)")
+        .replace("        pca AS", "        , pca AS")
+        + ' SELECT entity_id, round(pca1, 4) AS "PCA1", round(pca2, 4) AS "PCA2" FROM pca',
+    ),
+    "load_population": _with(
+        "lab",
+        "SELECT label, is_borderline, count(*) AS n, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in catalog.FEATURES)
+        + " FROM lab GROUP BY label, is_borderline",
+    ),
+    "stream_hopping_windows": _with("ev", _HOPPING),
     "population_layers": _with(
         "pca",
         " UNION ALL ".join(

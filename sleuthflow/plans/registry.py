@@ -13,7 +13,7 @@ from sleuthflow.plans import views
 from sleuthflow.session import configure, materialize, scratch_path
 from sleuthflow.sources import catalogs, readers, sinks
 from sleuthflow.streaming import case_state
-from sleuthflow.streaming.case_stream import TrailingCases, good_events
+from sleuthflow.streaming.case_stream import TrailingCases, good_events, hopping_case_windows
 from sleuthflow.streaming.results import CaseResults
 
 DIGITS = 6
@@ -363,6 +363,17 @@ def stream_case_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trailing.latest()
 
 
+def stream_hopping_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hopping windows of the event stream that the watermark has closed."""
+    live = hopping_case_windows(_event_feed(spark, sf_dir), f"{HOURS} hours", "4 hours", STREAM_LATENESS)
+    out = scratch_path(spark, "hopping")
+    writer = live.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "hopping-checkpoint"))
+    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    closed = spark.read.schema(live.schema).parquet(out)
+    amount = F.col("amount_total").cast("double").alias("amount_total")
+    return closed.select("case_id", _micros("window_start"), "n_events", amount, _micros("start_ts"), _micros("end_ts"), "crypto_events")
+
+
 def stream_case_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trailing windows held in keyed state must equal the batch result."""
     folder = scratch_path(spark, "state-results")
@@ -450,6 +461,26 @@ def population_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.layer_summary(ml.population_layers(_population(spark, sf_dir))).select("layer", "n", *centers)
 
 
+def population_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out rows on a map that was fitted to the training rows and read back from its files."""
+    split = _split(spark, sf_dir)
+    fitted = ml.fit_population_map(split.where(~F.col("is_test")))
+    path = scratch_path(spark, "map")
+    sinks.save_model(fitted.model, path)
+    stored = ml.PopulationMap(sinks.load_model(path), fitted.factors)
+    axes = [F.round(c, PCA_DIGITS).alias(c) for c in ("PCA1", "PCA2")]
+    return stored.project(split.where("is_test")).select("entity_id", *axes)
+
+
+def load_population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled features written as CSV, loaded as a population and counted by class and strip."""
+    path = scratch_path(spark, "population") + ".csv"
+    rows = views.labeled(spark, sf_dir).select(*catalog.FEATURES, "label", "is_borderline")
+    sinks.write_dataset(rows, path)
+    loaded = readers.load_population(spark, path)
+    return loaded.groupBy("label", "is_borderline").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in catalog.FEATURES])
+
+
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _split(spark, sf_dir).select("entity_id", "label", "is_test")
 
@@ -591,6 +622,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         alert_queue,
         stream_case_windows,
         stream_case_state,
+        stream_hopping_windows,
         train_risk_model,
         predict_risk,
         predict_from_ops,
@@ -600,6 +632,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         feature_importance_topk,
         population_pca,
         population_layers,
+        population_project,
+        load_population,
         stratified_split,
         binary_metrics,
         roc_curve,

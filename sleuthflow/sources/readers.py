@@ -10,6 +10,8 @@ from sleuthflow.operators.contracts import ops_reason
 from sleuthflow.operators.entity import operational_to_features
 from sleuthflow.sources import schemas
 
+#: Different keys that JSON files may have if the caller does not name the columns.
+MOST_COLUMNS = 4096
 
 
 def spread_if_narrow(df: DataFrame, *keys: str) -> DataFrame:
@@ -33,7 +35,8 @@ def _format_of(path: str) -> str:
 def _columns(spark: SparkSession, path: str, multiline: bool) -> list[str]:
     """Column names as the file states them: the CSV header, or the keys of all JSON lines.
 
-    A JSON key may first appear in any line, so all lines are read; only distinct names reach the driver.
+    A JSON key may first appear in any line, so all lines are read; only distinct names reach the driver, and files
+    with data in their keys are refused.
     Loaders skip this pass if the caller names the columns.
     """
     if _format_of(path) == "csv":
@@ -42,7 +45,10 @@ def _columns(spark: SparkSession, path: str, multiline: bool) -> list[str]:
         if multiline:
             return spark.read.json(path, multiLine=True).columns
         keys = spark.read.text(path).select(F.explode(F.json_object_keys("value")).alias("name")).distinct()
-        return sorted(row["name"] for row in keys.collect())
+        names = sorted(row["name"] for row in keys.limit(MOST_COLUMNS + 1).collect())
+        if len(names) > MOST_COLUMNS:
+            raise ValueError(f"{path} has more than {MOST_COLUMNS} different keys; name the columns to load.")
+        return names
     return spark.read.parquet(path).columns
 
 
