@@ -118,5 +118,5 @@ def start(
     """Keep the windows of all cases in the result store at `folder`; a restart goes on from `checkpoint`."""
     results = CaseResults(spark, folder, WINDOW_SCHEMA)
     writer = windows_of(stream, window_hours, lateness).writeStream.outputMode("update")
-    writer = writer.foreachBatch(results.add).option("checkpointLocation", checkpoint)
+    writer = writer.foreachBatch(results.put).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")).start()

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sleuthflow.functions.columns import require_columns
 from sleuthflow.operators.contracts import check_events
-from sleuthflow.streaming.results import CaseResults
+from sleuthflow.streaming.results import MERGE_EVERY, BatchTable, CaseResults
 
 
 def checked_events(stream: DataFrame) -> DataFrame:
@@ -65,12 +65,16 @@ def hopping_case_windows(
 class TrailingCases:
     """Exact trailing windows on a stream.
 
-    Each micro-batch adds its events to a log partitioned by day, then recomputes the cases it touched
+    Each micro-batch adds its events to a log by batch and day, then recomputes the cases it touched
     from that log with the batch operators, so hot cases are split as they are there. A trailing window
     reaches back `window_hours` from the latest event of its case, so only days from `window_hours`
     before the oldest event of the batch are read. An event later than everything in the batch is already in
     the log and is read too; late events simply recompute their case.
 
+    With `keep_hours`, the log is merged every few batches and holds events no older than that before the newest one:
+    a trigger then lists the days that are kept in a bounded number of folders. It must cover the window and
+    the lateness allowed, or late events lose what their window needs. Without it, the log keeps everything.
+
     A batch writes to folders named after its number and overwrites them if it runs again, so a restart
     after a lost executor or driver does not count anything twice.
     """
@@ -81,42 +85,43 @@ class TrailingCases:
         folder: str,
         compute: Callable[[DataFrame], DataFrame],
         window_hours: int = 24,
+        keep_hours: int | None = None,
+        merge_every: int = MERGE_EVERY,
     ) -> None:
+        if keep_hours is not None and keep_hours < window_hours:
+            raise ValueError("keep_hours must cover window_hours.")
         self.spark, self.folder, self.compute, self.window_hours = spark, folder, compute, window_hours
-        self.schema = None
-        self.results = CaseResults(spark, f"{folder}/cases")
+        self.results = CaseResults(spark, f"{folder}/cases", merge_every=merge_every)
+
+        def kept(rows: DataFrame) -> DataFrame:
+            return rows.where(F.col("event_date") >= F.lit((self.newest - timedelta(hours=keep_hours)).date()))
+
+        self.log = BatchTable(spark, f"{folder}/log", None, kept if keep_hours is not None else None, merge_every, ["event_date"])
         self.newest = self._newest_day()
 
     def _newest_day(self) -> datetime | None:
         """Latest event of an earlier run, so that a restart reads as far as it has to."""
-        try:
-            return self.spark.read.parquet(f"{self.folder}/log").agg(F.max("ts")).first()[0]
-        except AnalysisException:
-            return None
+        rows = self.log.read()
+        return rows.agg(F.max("ts")).first()[0] if rows is not None else None
 
     def _log(self, first: date, last: date) -> DataFrame:
-        """Events of the days from `first` to `last`; the folders of other days are not listed."""
-        days = ",".join(str(first + timedelta(days=n)) for n in range((last - first).days + 1))
-        root = f"{self.folder}/log"
-        return self.spark.read.schema(self.schema).option("basePath", root).parquet(f"{root}/event_date={{{days}}}")
+        """Events of the days from `first` to `last`; the files of other days are not read."""
+        return self.log.read().where(F.col("event_date").between(F.lit(first), F.lit(last)))
 
     def _batch(self, batch: DataFrame, number: int) -> None:
-        if self.schema is None:
-            self.schema = f"{_ddl(batch)}, event_date date, batch bigint"
-        placed = batch.withColumns({"event_date": F.to_date("ts"), "batch": F.lit(number).cast("bigint")})
-        # A batch that runs again overwrites its own folders only.
-        placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "batch").parquet(
-            f"{self.folder}/log"
-        )
-        oldest, newest = placed.agg(F.min("ts"), F.max("ts")).first()
+        # A batch that runs again overwrites its own folder only.
+        self.log.add(batch.withColumn("event_date", F.to_date("ts")), number)
+        if self.log.holds(number):
+            return
+        added = self.log.one("batch", number)
+        oldest, newest = added.agg(F.min("ts"), F.max("ts")).first()
         if oldest is None:
             return
         self.newest = max(newest, self.newest or newest)
         log = self._log((oldest - timedelta(hours=self.window_hours)).date(), self.newest.date())
-        log = log.where(F.col("batch") <= number)
-        added = log.where(F.col("batch") == number)
-        touched = log.join(added.select("case_id").distinct(), "case_id", "left_semi").drop("event_date", "batch")
-        self.results.add(self.compute(touched), number)
+        touched = log.join(added.select("case_id").distinct(), "case_id", "left_semi").drop("event_date", "_batch")
+        self.results.put(self.compute(touched), number)
+        self.log.tidy(number)
 
     def start(self, events: DataFrame, checkpoint: str, available_now: bool = False) -> StreamingQuery:
         writer = events.writeStream.foreachBatch(self._batch).option("checkpointLocation", checkpoint)
@@ -146,7 +151,3 @@ class TrailingCases:
     def latest(self) -> DataFrame:
         """Newest result of every case without bad events."""
         return self.results.latest().join(self.failures(), "case_id", "left_anti")
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{name}` {kind}" for name, kind in df.dtypes)

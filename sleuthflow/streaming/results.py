@@ -1,84 +1,131 @@
-"""Newest result of every case, kept as a merged table and the batches since."""
+"""Tables that grow by micro-batches and stay a few folders: a merged table and the batches since."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Batches that are read beside the merged table before they are merged into it.
 MERGE_EVERY = 8
 
 
-class CaseResults:
-    """Results of micro-batches, read as the newest row of every case.
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{name}` {kind}" for name, kind in df.dtypes)
+
+
+class BatchTable:
+    """Rows of micro-batches in one folder per batch, merged now and then.
 
-    A batch writes one folder named after its number. Every `merge_every` batches, the merged table and the
-    batches since become a new merged table, named after the last of them; it counts once it is complete. The
-    folders it replaces are removed one merge later, so that a reader of the table before can finish. A batch that
-    runs again after a failure overwrites its folder, and is skipped if a merged table holds it already, so
-    that nothing counts twice and a trigger lists at most 2 * merge_every + 2 folders. Merging reads the newest row
-    of every case; with `keep_hours`, cases that ended so long before the newest end are left out of it.
+    Every `merge_every` batches, what `merge` makes of the merged table and the batches since becomes a new merged
+    table, named after the last of them; it counts once it is complete. Folders are removed one merge after they
+    were replaced, so that a reader of the table before can finish. A batch that runs again after a failure
+    overwrites its folder, and is not read if a merged table holds it already, so that nothing counts twice, and
+    at most 2 * merge_every + 2 folders are listed.
     """
 
     def __init__(
-        self, spark: SparkSession, folder: str, schema: str | None = None, merge_every: int = MERGE_EVERY, keep_hours: int | None = None
+        self,
+        spark: SparkSession,
+        folder: str,
+        schema: str | None,
+        merge: Callable[[DataFrame], DataFrame] | None,
+        merge_every: int = MERGE_EVERY,
+        partition_by: list[str] = (),
     ) -> None:
-        self.spark, self.folder, self.schema = spark, folder, schema
-        self.merge_every, self.keep_hours = merge_every, keep_hours
+        self.spark, self.folder, self.schema, self.merge = spark, folder, schema, merge
+        self.merge_every, self.partition_by = merge_every, list(partition_by)
+
+    def _path(self, path: str):
+        held = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return held, held.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _folders(self, kind: str) -> list[int]:
+    def folders(self, kind: str) -> list[int]:
         """Numbers of complete folders of a kind, rising."""
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.folder)
-        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        root, files = self._path(self.folder)
         if not files.exists(root):
             return []
         names = [s.getPath().getName() for s in files.listStatus(root) if s.isDirectory()]
         numbers = [int(n.split("=")[1]) for n in names if n.startswith(f"{kind}=")]
-        return sorted(n for n in numbers if files.exists(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}={n}/_SUCCESS")))
+        return sorted(n for n in numbers if files.exists(self._path(f"{self.folder}/{kind}={n}/_SUCCESS")[0]))
 
     def _remove(self, kind: str, number: int) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}={number}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = self._path(f"{self.folder}/{kind}={number}")
+        files.delete(path, True)
 
-    def _read(self, upto: int | None = None) -> DataFrame | None:
-        """Newest row of every case from the last merged table and the batches behind it."""
-        merged = self._folders("merged")
+    def read(self) -> DataFrame | None:
+        """Rows of the last merged table and the batches behind it, with `_batch`; None before the first batch."""
+        merged = self.folders("merged")
         base = merged[-1] if merged else -1
-        batches = [n for n in self._folders("batch") if n > base and (upto is None or n <= upto)]
-        parts = ([("merged", base)] if merged else []) + [("batch", n) for n in batches]
-        if not parts:
-            return None
-        read = self.spark.read.schema(self.schema) if self.schema else self.spark.read
-        found = [read.parquet(f"{self.folder}/{kind}={n}").withColumn("_batch", F.lit(n)) for kind, n in parts]
-        rows = found[0]
-        for more in found[1:]:
-            rows = rows.unionByName(more)
-        columns = [c for c in rows.columns if c not in ("case_id", "_batch")]
-        newest = rows.groupBy("case_id").agg(F.max_by(F.struct(*columns), "_batch").alias("_row"))
-        return newest.select("case_id", "_row.*")
+        parts = ([("merged", base)] if merged else []) + [("batch", n) for n in self.folders("batch") if n > base]
+        self.schema = self.schema or self._found_schema(parts)
+        return reduce(DataFrame.unionByName, [self.one(kind, n) for kind, n in parts]) if self.schema and parts else None
+
+    def _found_schema(self, parts: list[tuple[str, int]]) -> str | None:
+        """Schema that an earlier run wrote; a folder without rows may not tell it."""
+        for kind, n in reversed(parts):
+            try:
+                return _ddl(self.spark.read.parquet(f"{self.folder}/{kind}={n}"))
+            except AnalysisException:
+                continue
+        return None
+
+    def one(self, kind: str, number: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{kind}={number}").withColumn("_batch", F.lit(number))
+
+    def _write(self, rows: DataFrame, kind: str, number: int) -> None:
+        rows.write.mode("overwrite").partitionBy(*self.partition_by).parquet(f"{self.folder}/{kind}={number}")
+
+    def holds(self, number: int) -> bool:
+        """Whether a merged table holds this batch."""
+        merged = self.folders("merged")
+        return bool(merged) and number <= merged[-1]
 
     def add(self, batch: DataFrame, number: int) -> None:
-        merged = self._folders("merged")
-        if merged and number <= merged[-1]:
+        if not self.holds(number):
+            self._write(batch, "batch", number)
+            self.schema = self.schema or _ddl(batch)
+
+    def tidy(self, number: int) -> None:
+        """Merge if enough batches have come since the last time."""
+        merged = self.folders("merged")
+        if self.merge is None or number - (merged[-1] if merged else -1) < self.merge_every:
             return
-        batch.write.mode("overwrite").parquet(f"{self.folder}/batch={number}")
-        self.schema = self.schema or ", ".join(f"`{name}` {kind}" for name, kind in batch.dtypes)
-        if number - (merged[-1] if merged else -1) >= self.merge_every:
-            self._merge(number, merged)
-
-    def _merge(self, number: int, merged: list[int]) -> None:
-        rows = self._read(number)
-        if self.keep_hours is not None:
-            newest = rows.agg(F.max("end_ts")).first()[0]
-            if newest is not None:
-                rows = rows.where(F.col("end_ts") >= F.lit(newest) - F.expr(f"INTERVAL {int(self.keep_hours)} HOURS"))
-        rows.write.mode("overwrite").parquet(f"{self.folder}/merged={number}")
+        self._write(self.merge(self.read()).drop("_batch"), "merged", number)
         for n in merged[:-1]:
             self._remove("merged", n)
-        for n in [n for n in self._folders("batch") if merged and n <= merged[-1]]:
+        for n in [n for n in self.folders("batch") if merged and n <= merged[-1]]:
             self._remove("batch", n)
 
+
+def newest(rows: DataFrame, key: str = "case_id") -> DataFrame:
+    """Row of the highest `_batch` of every case."""
+    columns = [c for c in rows.columns if c not in (key, "_batch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), "_batch").alias("_row")).select(key, "_row.*")
+
+
+class CaseResults(BatchTable):
+    """Newest result of every case. With `keep_hours`, cases that ended so long before the newest end are dropped."""
+
+    def __init__(
+        self, spark: SparkSession, folder: str, schema: str | None = None, merge_every: int = MERGE_EVERY, keep_hours: int | None = None
+    ) -> None:
+        def merge(rows: DataFrame) -> DataFrame:
+            found = newest(rows)
+            last = found.agg(F.max("end_ts")).first()[0] if keep_hours is not None else None
+            if last is None:
+                return found
+            return found.where(F.col("end_ts") >= F.lit(last) - F.expr(f"INTERVAL {int(keep_hours)} HOURS"))
+
+        super().__init__(spark, folder, schema, merge, merge_every)
+
+    def put(self, batch: DataFrame, number: int) -> None:
+        self.add(batch, number)
+        self.tidy(number)
+
     def latest(self) -> DataFrame:
         """Newest row of every case; no rows before the first batch."""
-        found = self._read()
-        return found if found is not None else self.spark.createDataFrame([], self.schema or "case_id string")
+        rows = self.read()
+        return newest(rows) if rows is not None else self.spark.createDataFrame([], self.schema or "case_id string")

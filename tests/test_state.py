@@ -94,12 +94,12 @@ def test_results_keep_few_folders(spark, tmp_path):
     counts = []
     for n in range(50):
         rows = [(f"c{n % 5}", n, NOON + timedelta(hours=n)), (f"once{n}", n, NOON + timedelta(hours=n))]
-        store.add(spark.createDataFrame(rows, store.schema).coalesce(1), n)
-        counts.append(len(store._folders("batch")) + len(store._folders("merged")))
+        store.put(spark.createDataFrame(rows, store.schema).coalesce(1), n)
+        counts.append(len(store.folders("batch")) + len(store.folders("merged")))
     assert max(counts) <= 2 * 4 + 2
     found = {r.case_id: r.n for r in store.latest().collect()}
     assert all(found[f"c{n % 5}"] == n for n in range(45, 50)) and found["once49"] == 49
     assert "once30" not in found and "once40" in found
     # A batch that runs again changes nothing.
-    store.add(spark.createDataFrame([("c0", 45, NOON + timedelta(hours=45)), ("once45", 45, NOON + timedelta(hours=45))], store.schema), 45)
+    store.put(spark.createDataFrame([("c0", 45, NOON + timedelta(hours=45)), ("once45", 45, NOON + timedelta(hours=45))], store.schema), 45)
     assert {r.case_id: r.n for r in store.latest().collect()} == found

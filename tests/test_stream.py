@@ -75,3 +75,31 @@ def test_bad_events_fail_their_case_and_other_days_are_not_listed(spark, tmp_pat
     assert max(listed) <= 2
     # A new process finds the newest event again.
     assert TrailingCases(spark, str(tmp_path / "state"), compute, 3).newest == NOON + timedelta(days=20, hours=1)
+
+
+def test_log_keeps_few_folders_and_late_events_count(spark, tmp_path):
+    """One event an hour of one case and a case a day; now and then a late one, a batch again, and a restart."""
+
+    def compute(events):
+        return cases.case_windows(cases.window_events(events, 6))
+
+    def made():
+        return TrailingCases(spark, str(tmp_path / "state"), compute, 6, keep_hours=12, merge_every=3)
+
+    trailing, rows, counts = made(), [], []
+    for n in range(20):
+        now = NOON + timedelta(hours=4 * n)
+        part = [event("busy", n, now, f"S{n}", "R"), event(f"d{n // 3}", n, now, f"T{n}", "R")]
+        if n % 4 == 3:
+            part.append(event("busy", 100 + n, now - timedelta(hours=5), "late", "R"))
+        rows += part
+        trailing._batch(events_frame(spark, part), n)
+        if n in (5, 11):
+            trailing = made()
+            trailing._batch(events_frame(spark, part), n)
+        counts.append([len(trailing.log.folders(k)) for k in ("batch", "merged")])
+    assert max(b + m for b, m in counts) <= 2 * 3 + 2
+    days = {p.name for p in (tmp_path / "state" / "log" / f"merged={trailing.log.folders('merged')[-1]}").glob("event_date=*")}
+    assert len(days) <= 2
+    batch = compute(events_frame(spark, rows))
+    assert sorted(trailing.latest().select(batch.columns).collect()) == sorted(batch.collect())
