@@ -32,6 +32,12 @@ HEADLINE = [
     "score_batch_failures",
     "dataset_quality_gate",
     "stream_case_windows",
+    "stream_case_state",
+    "isotonic_curve",
+    "calibration_report",
+    "feature_drift",
+    "compare_scores",
+    "profile_ranges",
 ]
 
 
