@@ -14,17 +14,17 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: list[float], bins: int = 4096, rounds: int = 2
+    df: DataFrame, keys: list[str], value: str, probs: list[float], bins: int = 4096, most_ordered: int = 100_000
 ) -> DataFrame:
     """Quantiles with linear interpolation, one row per (keys, p).
 
-    Distinct values are counted first, so ties cost nothing. Each round then cuts the span that holds a
-    wanted rank into `bins` equal cells between its own smallest and largest value and keeps the one cell
-    the rank falls in. Only the distinct values left in those cells are ordered.
+    Distinct values are counted first, so ties cost nothing. While a span that holds a wanted rank has more than
+    `most_ordered` of them, each round cuts it into `bins` equal cells between its own smallest and largest value and
+    keeps the one cell the rank falls in; crowded cells take more rounds. Only the distinct values left are ordered.
     """
     counted = materialize(df.groupBy(*keys, value).agg(F.count("*").alias("_n")), "distinct-values")
     spans = counted.groupBy(*keys).agg(
-        F.sum("_n").alias("_total"), F.min(value).alias("_low"), F.max(value).alias("_high")
+        F.sum("_n").alias("_total"), F.min(value).alias("_low"), F.max(value).alias("_high"), F.count("*").alias("_distinct")
     )
     targets = (
         spans.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
@@ -34,8 +34,12 @@ def exact_quantiles(
         .drop("_total")
     )
     targets = materialize(targets, "rank-spans")
-    for _ in range(rounds):
+    left, before = targets.agg(F.max("_distinct")).first()[0] or 0, None
+    # Values that no cell can part, below the smallest step of a double, are ordered as they are.
+    while left > most_ordered and left != before:
         targets = materialize(_narrowed(counted, targets, keys, value, bins), "rank-spans")
+        left, before = targets.agg(F.max("_distinct")).first()[0], left
+    targets = targets.drop("_distinct")
     inside = Window.partitionBy(*keys, "_low").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     ordered = (
         _within(counted, targets, keys, value)
@@ -65,11 +69,13 @@ def _narrowed(counted: DataFrame, targets: DataFrame, keys: list[str], value: st
     cells = (
         _within(counted, targets, keys, value)
         .groupBy(*keys, "_low", "_before", cell.alias("_cell"))
-        .agg(F.sum("_n").alias("_cell_n"), F.min(value).alias("_cell_low"), F.max(value).alias("_cell_high"))
+        .agg(
+            F.sum("_n").alias("_cell_n"), F.min(value).alias("_cell_low"), F.max(value).alias("_cell_high"), F.count("*").alias("_cell_distinct")
+        )
         .withColumn("_upto", F.col("_before") + F.sum("_cell_n").over(running))
         .drop("_before", "_cell")
     )
-    found = targets.drop("_high", "_before").join(cells, [*keys, "_low"]).where(
+    found = targets.drop("_high", "_before", "_distinct").join(cells, [*keys, "_low"]).where(
         (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_cell_n"))
     )
     return found.select(
@@ -80,4 +86,5 @@ def _narrowed(counted: DataFrame, targets: DataFrame, keys: list[str], value: st
         F.col("_cell_low").alias("_low"),
         F.col("_cell_high").alias("_high"),
         (F.col("_upto") - F.col("_cell_n")).alias("_before"),
+        F.col("_cell_distinct").alias("_distinct"),
     )

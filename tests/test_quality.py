@@ -30,13 +30,13 @@ def linear_quantile(values, p):
     return values[low] + (values[high] - values[low]) * (at - low)
 
 
-@pytest.mark.parametrize("bins", [1, 7, 4096])
-def test_exact_quantiles(spark, bins):
+@pytest.mark.parametrize("bins, most_ordered", [(1, 3), (7, 3), (4096, 5), (4096, 100_000)])
+def test_exact_quantiles(spark, bins, most_ordered):
     rng = random.Random(5)
     rows = [(g, rng.choice((0.5, rng.random()))) for g in "ab" for _ in range(57)] + [("c", 3.0)]
     rows += [("d", 0.25 + rng.random() * 1e-9) for _ in range(40)] + [("d", -1e6), ("d", 1e6)]
     frame = spark.createDataFrame(rows, "g string, x double")
-    found = exact_quantiles(frame, ["g"], "x", [0.05, 0.5, 0.95, 1.0], bins)
+    found = exact_quantiles(frame, ["g"], "x", [0.05, 0.5, 0.95, 1.0], bins, most_ordered)
     got = {(r.g, r.p): r.q for r in found.collect()}
     assert len(got) == 16
     for (g, p), q in got.items():
