@@ -8,8 +8,12 @@ from sleuthflow.session import materialize
 
 
 def _starred(links: DataFrame) -> DataFrame:
-    """Every (u, v) with the least neighbour of u. Both joins are on u alone, so hub nodes can be split."""
-    least = links.groupBy("u").agg(F.min("v").alias("least"))
+    """Every (u, v) with the least neighbour of u.
+
+    The one-row-per-node side is stored first: an aggregate between shuffle and join would keep adaptive
+    execution from splitting the rows of a hub node.
+    """
+    least = materialize(links.groupBy("u").agg(F.min("v").alias("least")), "least")
     return links.join(least, "u")
 
 
@@ -27,10 +31,11 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     )
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (
+        large = materialize(
             _starred(both).where(F.col("v") > F.col("u"))
             .select(F.col("v").alias("u"), F.least("u", "least").alias("v"))
-            .distinct()
+            .distinct(),
+            "large",
         )
         pairs = F.array(F.struct(F.col("u"), F.col("least").alias("v")), F.struct(F.col("v").alias("u"), F.col("least").alias("v")))
         small = _starred(large).select(F.inline(pairs)).where(F.col("u") != F.col("v")).distinct()

@@ -260,12 +260,10 @@ def verified(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     """
     members = materialize(groups.join(sets, "id").select("root", "id", "shingles"), "members")
     needed = F.greatest(F.ceil(F.sum(F.size("shingles")) / F.lit(BLOCK)), F.ceil(F.count("*") / F.lit(BLOCK_TEXTS)))
-    sizes = members.groupBy("root").agg(needed.cast("int").alias("blocks"))
-    blocks = (
-        members.join(sizes, "root")
-        .groupBy("root", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
-        .agg(F.collect_list(F.struct("id", "shingles")).alias("rows"))
-    )
+    # Stored, so that the join can be split at a large group; the groups of the next step are those of blocks, not of roots.
+    sizes = materialize(members.groupBy("root").agg(needed.cast("int").alias("blocks")), "sizes")
+    place = F.struct("root", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
+    blocks = members.join(sizes, "root").groupBy(place.alias("at")).agg(F.collect_list(F.struct("id", "shingles")).alias("rows")).select("at.*", "rows")
     sides = F.col("rows.id").alias("ids"), F.transform("rows", lambda x: F.size(x["shingles"])).alias("sizes"), F.flatten("rows.shingles").alias("shingles")
     blocks = materialize(blocks.select("root", "blocks", "block", *sides), "blocks")
     # Groups of one block need no join.
@@ -335,7 +333,7 @@ def near_duplicates(
     rooted = classes.join(roots, classes["id"] == roots["node"], "left").select(
         "id", "least", F.coalesce("root", "id").alias("root")
     )
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     found = rooted.join(least, "root").select("id", "component_id")
     digits = F.transform("fp", lambda x: F.lower(F.lpad(F.hex(x), 16, "0")))
     return signed.join(found, "id").select(key, F.array_join(digits, "").alias("fingerprint"), "component_id")
