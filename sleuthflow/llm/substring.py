@@ -84,7 +84,8 @@ def repeated(docs: DataFrame, least: int = LEAST_WORDS, key: str = "doc_id", tex
     stored = materialize(units(docs, key, text, least).withColumn("uid", F.monotonically_increasing_id()), "units")
     rank = F.struct(F.col(key).isNull().alias("absent"), F.col(key).alias("key"), F.col("start").alias("start"), F.col("line").alias("line"), "uid")
     # A line and its only sentence are one unit, so every occurrence counts.
-    first = stored.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
+    # Stored, since a join can be split at a hot digest only if no aggregate stands right before it.
+    first = materialize(stored.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1), "first")
     again = stored.join(first, "digest").where(F.col("uid") != F.col("first.uid"))
     again = materialize(again.drop("digest", "n"), "repeats")
     whole = (
