@@ -37,6 +37,7 @@ HEADLINE = [
     "calibration_report",
     "feature_drift",
     "compare_scores",
+    "bootstrap_difference",
     "profile_ranges",
 ]
 

@@ -652,6 +652,30 @@ _DELONG = f"""
         sqrt((SELECT var_samp(a - b) / count(*) FROM pos) + (SELECT var_samp(a - b) / count(*) FROM neg)) AS d)
     SELECT round(x, 6) AS auc_first, round(y, 6) AS auc_second, round(x - y, 6) AS difference, round(d, 6) AS deviation, round((x - y) / d, 6) AS z FROM told"""
 
+# Every row once per replicate, with a weight from its digest; the areas by a running sum over distinct scores.
+_MASS = ("1", "2", "2.5", "8 / 3.0", "65 / 24.0", "163 / 60.0", "1957 / 720.0", "685 / 252.0")
+_TIMES = " + ".join(f"(u >= round(65536 * exp(-1::{D}) * ({m})::{D}))::BIGINT" for m in _MASS)
+
+
+def _resampled(sides: dict[str, tuple[str, float]]) -> str:
+    scores = " UNION ALL ".join(f"SELECT '{n}' AS side, entity_id, label, round({s}, 4) AS s, {cut} AS cut FROM lab" for n, (s, cut) in sides.items())
+    return f"""
+    sides AS ({scores}),
+    digits AS (SELECT side, label, s, cut, b, ('0x' || substr(md5(entity_id || ':7:' || (b // 8)), CAST(4 * (b % 8) + 1 AS INTEGER), 4))::BIGINT AS u
+        FROM sides, range(0, 201) AS r(b)),
+    weighed AS (SELECT side, label, s, cut, b, CASE WHEN b = 0 THEN 1 ELSE {_TIMES} END AS w FROM digits),
+    levels AS (SELECT side, b, s, any_value(cut) AS cut, coalesce(sum(w) FILTER (label = 1), 0)::{D} AS tp, coalesce(sum(w) FILTER (label = 0), 0)::{D} AS fp
+        FROM weighed GROUP BY side, b, s),
+    summed AS (SELECT *, sum(tp) OVER (PARTITION BY side, b ORDER BY s DESC) AS tps FROM levels),
+    drawn AS (SELECT side, b, sum(tp) AS p, sum(fp) AS n, sum(fp * (tps - tp / 2)) AS won, coalesce(sum(tp) FILTER (s > cut), 0) AS hit,
+        coalesce(sum(fp) FILTER (s > cut), 0) AS wrong FROM summed GROUP BY side, b),
+    told AS (SELECT side, b, unnest(['roc_auc', 'accuracy', 'recall', 'precision']) AS metric, unnest([won / nullif(p * n, 0),
+        (hit + n - wrong) / nullif(p + n, 0), hit / nullif(p, 0), hit / nullif(hit + wrong, 0)]) AS v FROM drawn)"""
+
+
+_INTERVAL = """metric, round(max(v) FILTER (b = 0), 6) AS estimate, round(stddev_samp(v) FILTER (b > 0), 6) AS deviation,
+    round(quantile_cont(v, 0.025) FILTER (b > 0), 6) AS low, round(quantile_cont(v, 0.975) FILTER (b > 0), 6) AS high, count(v) FILTER (b > 0) AS n_used"""
+
 # Windows stand on the clock; those are closed that end no later than the latest event less an hour.
 _HOPPING = f"""
     , hops AS (SELECT case_id, unnest(range(0, {WINDOW_HOURS}, 4)) AS back, ts, amount, channel FROM ev),
@@ -903,6 +927,13 @@ ORACLES: dict[str, str] = {
     ),
     "feature_drift": _with("split", f", {_DRIFT}"),
     "compare_scores": _with("lab", f", {_DELONG}"),
+    "bootstrap_metrics": _with("lab", f", {_resampled({'a': (_PROXY, 0.25)})} SELECT {_INTERVAL} FROM told GROUP BY metric"),
+    "bootstrap_difference": _with(
+        "lab",
+        f""", {_resampled({'a': (_PROXY, 0.25), 'b': ('centralization_index', 0.5)})},
+        gaps AS (SELECT x.b, x.metric, x.v - y.v AS v FROM told x JOIN told y ON x.side = 'a' AND y.side = 'b' AND x.b = y.b AND x.metric = y.metric)
+        SELECT {_INTERVAL}, round(avg((v > 0)::INTEGER) FILTER (b > 0), 6) AS above_zero FROM gaps GROUP BY metric""",
+    ),
     "profile_ranges": _with(
         "tx",
         """SELECT substr(receiver_id, 1, 1) AS side, year(ts)::INTEGER AS year, count(*) AS n_rows, count(DISTINCT sender_id) AS senders,

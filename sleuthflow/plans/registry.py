@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from sleuthflow import catalog
-from sleuthflow.operators import calibration, cases, company, contracts, drift, ensemble, entity, evaluation, explain, graph, ml, profile, quality, scoring
+from sleuthflow.operators import calibration, cases, company, contracts, drift, ensemble, entity, evaluation, explain, graph, ml, profile, quality, resampling, scoring
 from sleuthflow.operators.findings import company_findings
 from sleuthflow.plans import views
 from sleuthflow.session import configure, materialize, scratch_path
@@ -542,6 +542,22 @@ def compare_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.compare_auc(rows, "proxy", "single")
 
 
+def _keyed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.labeled(spark, sf_dir).select(
+        "entity_id", "label", F.round(scoring.tabular_proxy(), 4).alias("proxy"), F.round("centralization_index", 4).alias("single")
+    )
+
+
+def bootstrap_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of the proxy score's metrics from 200 Poisson resamplings of the entities."""
+    return resampling.bootstrap_metrics(_keyed_scores(spark, sf_dir), "entity_id", "proxy", threshold=0.25)
+
+
+def bootstrap_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proxy score against its strongest feature, both on the same resamplings."""
+    return resampling.bootstrap_difference(_keyed_scores(spark, sf_dir), "entity_id", "proxy", "single", thresholds=(0.25, 0.5))
+
+
 def profile_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transfers by year and side, merged from stored days, with exact counts beside the sketches.
 
@@ -642,6 +658,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         calibration_report,
         feature_drift,
         compare_scores,
+        bootstrap_metrics,
+        bootstrap_difference,
         profile_ranges,
         risk_catalog,
     )
