@@ -34,8 +34,11 @@ def poisson_cuts(steps: int = 1 << 16) -> list[int]:
 def _times(place: int) -> Column:
     """How often a row is drawn in the replicate at this place of its chunk; replicate 0 is the sample itself."""
     digits = F.substring("_digest", 4 * place + 1, 4)
-    drawn = sum(((digits >= F.lit(f"{cut:04x}")).cast("bigint") for cut in poisson_cuts()), F.lit(0).cast("bigint"))
-    return F.when(F.col("_chunk") == 0, F.lit(1).cast("bigint")).otherwise(drawn) if place == 0 else drawn
+    cuts = poisson_cuts()
+    drawn = F.when(F.col("_chunk") == 0, F.lit(1)) if place == 0 else F
+    for times, cut in enumerate(cuts):
+        drawn = drawn.when(digits < F.lit(f"{cut:04x}"), F.lit(times))
+    return drawn.otherwise(F.lit(len(cuts))).cast("bigint")
 
 
 def _drawn_counts(rows: DataFrame, replicates: int, seed: int) -> DataFrame:
@@ -47,12 +50,13 @@ def _drawn_counts(rows: DataFrame, replicates: int, seed: int) -> DataFrame:
     spread = rows.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks))))
     told = F.concat_ws(":", F.col("_key"), F.lit(str(seed)), F.col("_chunk").cast("string"))
     spread = spread.withColumn("_digest", F.md5(told.cast("binary")))
+    drawn = spread.select("_score", "_chunk", "_label", *[_times(place).alias(f"_w{place}") for place in range(PER_DIGEST)])
     sums = []
     for place in range(PER_DIGEST):
-        times = _times(place)
-        sums.append(F.sum(F.when(F.col("_label") == 1, times).otherwise(0)).alias(f"tp_{place}"))
-        sums.append(F.sum(F.when(F.col("_label") == 0, times).otherwise(0)).alias(f"fp_{place}"))
-    counted = spread.groupBy("_score", "_chunk").agg(*sums).repartitionByRange(F.desc("_score"))
+        times = F.col(f"_w{place}")
+        sums.append(F.sum(times * F.col("_label")).alias(f"tp_{place}"))
+        sums.append(F.sum(times * (1 - F.col("_label"))).alias(f"fp_{place}"))
+    counted = drawn.groupBy("_score", "_chunk").agg(*sums).repartitionByRange(F.desc("_score"))
     return materialize(counted.withColumn("part", F.spark_partition_id()), "drawn-counts")
 
 
@@ -66,7 +70,7 @@ def replicate_metrics(
     in the area. No task orders all scores: the running sums are taken inside parts and over part totals.
     """
     rows = scored.where(F.col(key).isNotNull() & F.col(score).isNotNull() & F.col(label).isin(0, 1)).select(
-        F.col(key).cast("string").alias("_key"), F.col(score).cast("double").alias("_score"), F.col(label).alias("_label")
+        F.col(key).cast("string").alias("_key"), F.col(score).cast("double").alias("_score"), F.col(label).cast("int").alias("_label")
     )
     down = Window.partitionBy("part", "_chunk").orderBy(F.desc("_score")).rowsBetween(Window.unboundedPreceding, 0)
     counted, taken = _drawn_counts(rows, replicates, seed), F.col("_score") > F.lit(threshold)
