@@ -22,16 +22,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from sleuthflow.functions.ranking import top_k
 from sleuthflow.llm.common import extended, slices
 
 ORDER = 2
-#: Bounds of the sample: texts and bytes of each language, and bytes of each text.
+#: Bounds of the sample of each language: rows, and bytes after which no further row is taken. Rows count whole.
 SAMPLE_TEXTS = 400
-SAMPLE_BYTES = 400_000
-TEXT_BYTES = 20_000
+SAMPLE_BYTES = 1_000_000
 #: Cells (contexts times bytes times languages) up to which the model is one table.
 CELLS = 1 << 24
 #: A text that costs less per byte than this in some language is in it; above, held-out texts decide, if there are enough.
@@ -218,10 +217,12 @@ def limits(samples: dict[str, list[bytes]], order: int = ORDER) -> Limits:
 
 
 def sample(docs: DataFrame, language: str = "lang", key: str = "doc_id", text: str = "text") -> dict[str, list[bytes]]:
-    """At most SAMPLE_TEXTS texts and SAMPLE_BYTES bytes of every language that labels name.
+    """Whole texts of at most SAMPLE_TEXTS rows of every language that labels name.
 
-    Texts are chosen by a hash of the key, so every labelled row has the same chance; the choice reads keys
-    and labels only. A text gives its first TEXT_BYTES bytes, the last one of a language what room is left.
+    Rows are chosen by a hash of the key, so every labelled row has the same chance; the choice reads keys
+    and labels only. Of these, rows are taken in that order until SAMPLE_BYTES are reached, texts of more than an
+    eighth of it after the others, so that few long texts do not stand for a language. No text is cut; a language
+    takes less than SAMPLE_BYTES and one text more.
     """
     labelled = docs.where(F.col(language).isNotNull() & F.col(key).isNotNull())
     at = F.xxhash64(F.lit("sample"), F.col(key))
@@ -233,16 +234,16 @@ def sample(docs: DataFrame, language: str = "lang", key: str = "doc_id", text: s
     counts = slim.groupBy("lang").count().select("lang", reach.alias("reach"))
     slim = slim.join(F.broadcast(counts), "lang").where(F.col("at") <= F.col("reach"))
     keys = top_k(slim, ["lang"], [F.asc("at"), F.asc("key")], SAMPLE_TEXTS).select("key").distinct()
-    body = F.substring(F.coalesce(F.col(text), F.lit("")).cast("binary"), 1, TEXT_BYTES)
+    body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = labelled.select(F.col(language).alias("lang"), F.col(key).alias("key"), at.alias("at"), body.alias("body"))
     rows = rows.join(F.broadcast(keys), "key", "left_semi")
+    size = F.octet_length("body")
+    order = Window.partitionBy("lang").orderBy(size > SAMPLE_BYTES // 8, "rn")
+    before = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = top_k(rows, ["lang"], [F.asc("at"), F.asc("body")], SAMPLE_TEXTS).withColumn("before", before)
     found: dict[str, list[bytes]] = {}
-    room: dict[str, int] = {}
-    first = top_k(rows, ["lang"], [F.asc("at"), F.asc("body")], SAMPLE_TEXTS)
-    for row in sorted(first.toLocalIterator(), key=lambda r: (r["lang"], r["rn"])):
-        if room.setdefault(row["lang"], SAMPLE_BYTES):
-            found.setdefault(row["lang"], []).append(bytes(row["body"][: room[row["lang"]]]))
-            room[row["lang"]] -= len(found[row["lang"]][-1])
+    for row in sorted(first.where(F.col("before") < SAMPLE_BYTES).toLocalIterator(), key=lambda r: (r["lang"], r["rn"])):
+        found.setdefault(row["lang"], []).append(bytes(row["body"]))
     return {x: texts for x, texts in found.items() if any(texts)}
 
 

@@ -120,5 +120,16 @@ def test_sample_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(language, "SAMPLE_BYTES", 50)
     rows = [(k, "x" * 30, f"l{k % 2}") for k in range(100)] + [(7, "y" * 30, "l1")] * 20
     found = language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert {x: sum(map(len, t)) for x, t in found.items()} == {"l0": 50, "l1": 50}
+    assert {x: set(map(len, t)) for x, t in found.items()} == {"l0": {30}, "l1": {30}}
+    assert {x: sum(map(len, t)) for x, t in found.items()} == {"l0": 60, "l1": 60}
     assert np.all([len(t) <= 3 for t in found.values()])
+
+
+def test_sampled_texts_are_whole_and_long_ones_come_last(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_BYTES", 800)
+    rows = [(k, "s" * 90, "mixed") for k in range(5)] + [(k, "t" * 5000 + "!", "mixed") for k in range(5, 30)]
+    rows += [(k, "u" * 3000 + "\u00e9", "long") for k in range(30, 34)] + [(40, None, "none"), (41, "", "none")]
+    found = language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(map(len, found["mixed"])) == [90] * 5 + [5001]
+    assert found["long"] == [("u" * 3000 + "\u00e9").encode()]
+    assert "none" not in found
