@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 ROWS_PER_SLICE = 2_000_000
+#: Longest list of hot keys that is broadcast.
+MOST_HOT = 500_000
 
 
 def attach(
@@ -14,20 +16,19 @@ def attach(
     spread_by: list[str],
     size: str = "n_rows",
     rows_per_slice: int = ROWS_PER_SLICE,
+    most_hot: int = MOST_HOT,
 ) -> DataFrame:
     """Inner join of `facts` (one row per `key`, with its row count in `size`) onto `rows`.
 
     A key with more than `rows_per_slice` rows is cut into slices by a hash of `spread_by`, and its fact
-    row is repeated once per slice. There are at most total_rows / rows_per_slice such keys, which bounds
-    the broadcast list of them: 500,000 short rows for a trillion raw rows. Keys below the limit keep one
-    slice, so nothing is multiplied for them.
+    row is repeated once per slice. The list of such keys is broadcast; it holds the `most_hot` largest, so it is
+    bounded whatever the input. A key beyond them has less than one in `most_hot` of all rows and is joined whole,
+    as are the keys below the limit.
     """
     slices = F.ceil(F.col(size) / F.lit(rows_per_slice)).cast("int")
-    hot = facts.where(F.col(size) > rows_per_slice).select(key, slices.alias("_slices"))
-    cut = (
-        rows.join(F.broadcast(hot), key, "left")
-        .withColumn("_slice", F.pmod(F.xxhash64(*spread_by), F.coalesce("_slices", F.lit(1))).cast("int"))
-        .drop("_slices")
-    )
-    spread = facts.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.greatest(slices, F.lit(1)) - 1)))
+    largest = facts.where(F.col(size) > rows_per_slice).orderBy(F.desc(size), key).limit(most_hot)
+    hot = F.broadcast(largest.select(key, slices.alias("_slices")))
+    parts = F.coalesce("_slices", F.lit(1))
+    cut = rows.join(hot, key, "left").withColumn("_slice", F.pmod(F.xxhash64(*spread_by), parts).cast("int")).drop("_slices")
+    spread = facts.join(hot, key, "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_slices")
     return cut.join(spread, [key, "_slice"]).drop("_slice")

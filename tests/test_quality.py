@@ -51,6 +51,14 @@ def test_attach_cuts_hot_keys(spark):
     assert joined.where("k = 'hot'").select("top").distinct().count() == 1
 
 
+def test_attach_bounds_the_list_of_hot_keys(spark):
+    rows = spark.range(120).select(F.concat(F.lit("k"), (F.col("id") % 4).cast("string")).alias("k"), "id")
+    facts = rows.groupBy("k").agg(F.count("*").alias("n_rows"), F.max("id").alias("top"))
+    for most in (0, 1, 3, 9):
+        joined = attach(rows, facts, "k", ["id"], rows_per_slice=7, most_hot=most)
+        assert sorted((r.id, r.top) for r in joined.collect()) == [(k, 116 + k % 4) for k in range(120)]
+
+
 def test_gate_passes_a_good_population(spark):
     report = {r.check: r for r in quality.quality_gate(population(spark)).collect()}
     assert len(report) == 1 + 9 + 2 + 2 + 9
