@@ -916,6 +916,24 @@ ORACLES: dict[str, str] = {
         "SELECT label, is_borderline, count(*) AS n, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in catalog.FEATURES)
         + " FROM lab GROUP BY label, is_borderline",
     ),
+    "case_bands": _with(
+        "scored",
+        f"""SELECT b.band, b.at_least, count(s.case_id) AS n_cases FROM (VALUES
+        {", ".join(f"('{name}', {_d(limit)})" for limit, name in catalog.CASE_BANDS)}) AS b(band, at_least)
+        LEFT JOIN scored s ON s.risk_band = b.band GROUP BY ALL UNION ALL
+        SELECT 'LOW', NULL, count(*) FROM scored WHERE risk_band = 'LOW' HAVING count(*) > 0""",
+    ),
+    "typology_levels": _with(
+        "scored",
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS typology, {k} AS place, round(avg({p}), 6) AS mean_prob, count(*) FILTER ({p} >= 0.5) AS n_likely FROM scored"
+            for k, (name, p) in enumerate(zip(catalog.TYPOLOGIES, _PROBS))
+        ),
+    ),
+    "events_by_day": _with(
+        "ev_raw",
+        "SELECT strftime(ts, '%Y-%m-%d') AS event_day, count(*) AS n_events, round(sum(amount)::DOUBLE, 2) AS amount FROM ev_raw GROUP BY 1",
+    ),
     "stream_hopping_windows": _with("ev", _HOPPING),
     "population_layers": _with(
         "pca",

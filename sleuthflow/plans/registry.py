@@ -327,6 +327,29 @@ def explain_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def case_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases in every band of the catalog, empty ones too, with the lowest score of the band."""
+    counted = _scored(spark, sf_dir).groupBy(F.col("risk_band").alias("band")).agg(F.count("*").alias("n_cases"))
+    scale = catalogs.thresholds_table(spark).where("scale = 'case'").select("band", "at_least")
+    return scale.join(counted, "band", "full").select("band", "at_least", F.coalesce("n_cases", F.lit(0)).alias("n_cases"))
+
+
+def typology_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean probability of every typology of the catalog, and the cases in which it is likelier than not."""
+    wide = _scored(spark, sf_dir).select(*[F.col(column).alias(name) for name, column in scoring.PROB_COLUMNS.items()])
+    long = wide.unpivot([], list(scoring.PROB_COLUMNS), "typology", "p")
+    told = long.groupBy("typology").agg(F.avg("p").alias("mean_prob"), F.count_if(F.col("p") >= 0.5).alias("n_likely"))
+    return catalogs.typologies_table(spark).join(told, "typology", "left")
+
+
+def events_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the events by day, read the folders back and total them."""
+    path = scratch_path(spark, "events-by-day")
+    sinks.write_by_date(views.raw_events(spark, sf_dir), path, "ts")
+    days = spark.read.parquet(path).groupBy(F.date_format("event_date", "yyyy-MM-dd").alias("event_day"))
+    return days.agg(F.count("*").alias("n_events"), F.round(F.sum("amount").cast("double"), 2).alias("amount"))
+
+
 def alert_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = materialize(_scored(spark, sf_dir), "scored-cases")
     dossier = explain.explain_cases(scored).select("case_id", "summary", "confidence")
@@ -636,6 +659,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         score_requests,
         explain_cases,
         alert_queue,
+        case_bands,
+        typology_levels,
+        events_by_day,
         stream_case_windows,
         stream_case_state,
         stream_hopping_windows,

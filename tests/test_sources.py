@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 from samples import OPERATIONAL_ROW, NOON, event, features_frame
 from test_quality import population
 
@@ -156,6 +157,15 @@ def test_dated_sink_prunes(spark, tmp_path):
     assert spark.read.parquet(path).where("event_date = date'2026-03-21'").count() == 1
 
 
+def test_dated_sink_writes_few_files(spark, tmp_path):
+    path = str(tmp_path / "days")
+    frame = spark.range(400).repartition(16).select("id", F.timestamp_seconds(F.col("id") % 5 * 86_400).alias("ts"))
+    sinks.write_by_date(frame, path, "ts")
+    sinks.write_by_date(frame.limit(0), path, "ts")
+    assert len(list((tmp_path / "days").glob("event_date=*/*.parquet"))) == 5
+    assert spark.read.parquet(path).groupBy("event_date").count().select("count").distinct().collect() == [(80,)]
+
+
 def test_scratch_follows_the_session_setting(spark, tmp_path, monkeypatch):
     from sleuthflow import session
 
