@@ -51,14 +51,14 @@ def node_table(model: PipelineModel) -> DataFrame:
 
 
 def _packed(nodes: DataFrame, names: list[str]) -> DataFrame:
-    """One row of arrays over all nodes: as long as the model, whatever the data."""
+    """One row of arrays over all nodes: as long as the model, whatever the data. A leaf is its own child."""
     place = F.row_number().over(Window.orderBy("tree", "node")) - 1
     first = F.min("place").over(Window.partitionBy("tree"))
     index = F.coalesce(*[F.when(F.col("feature") == n, F.lit(k)) for k, n in enumerate(names)], F.lit(NONE))
     placed = nodes.withColumn("place", place).withColumn("first", first)
     entry = F.struct(
         "place", index.alias("feature"), F.coalesce("threshold", F.lit(0.0)).alias("threshold"),
-        (F.col("first") + F.col("left")).alias("left"), (F.col("first") + F.col("right")).alias("right"),
+        *[F.coalesce(F.col("first") + F.col(side), F.col("place")).alias(side) for side in ("left", "right")],
         "value", "weight", (F.col("node") == 0).alias("root"),
     )
     return placed.agg(F.sort_array(F.collect_list(entry)).alias("nodes")).select(
@@ -83,14 +83,18 @@ def predict(rows: DataFrame, nodes: DataFrame, names: list[str], depth: int) ->
     x = F.array(*[F.coalesce(F.col(n).cast("double"), F.lit(float("nan"))) for n in names])
     feature, threshold, left, right, value = (held[c] for c in ("feature", "threshold", "left", "right", "value"))
 
-    def step(at: Column, _: Column) -> Column:
-        below = x[feature[at]] <= threshold[at]
-        return F.when(feature[at] < 0, at).otherwise(F.when(below, left[at]).otherwise(right[at]))
+    def margin_of(x: Column) -> Column:
+        def step(at: Column, _: Column) -> Column:
+            # A leaf asks for no feature: the comparison is null and the step stays.
+            return F.when(F.get(x, feature[at]) <= threshold[at], left[at]).otherwise(right[at])
 
-    def leaf(root: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), root, step)
+        def leaf(root: Column) -> Column:
+            return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), root, step)
 
-    margin = F.aggregate(held["roots"], F.lit(0.0), lambda total, r: total + r["weight"] * value[leaf(r["at"])])
+        return F.aggregate(held["roots"], F.lit(0.0), lambda total, r: total + r["weight"] * value[leaf(r["at"])])
+
+    # The features of a row are bound once. As plain columns they would be computed anew in every step of every tree.
+    margin = F.transform(F.array(x), margin_of)[0]
     return rows.withColumn("margin", margin).withColumn("probability", probability_of(F.col("margin")))
 
 

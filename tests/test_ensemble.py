@@ -76,3 +76,21 @@ def test_missing_features_and_no_rows(spark, fitted):
     assert found == pytest.approx(told, abs=1e-12)
     assert ensemble.predict(rows.limit(0), nodes, catalog.FEATURES, DEPTH).count() == 0
     assert ensemble.contributions(rows.limit(0), nodes, catalog.FEATURES, "id").count() == 0
+
+
+def test_features_are_bound_once_for_all_trees(fitted):
+    _, rows, nodes = fitted
+    derived = rows.select("id", *[F.log1p(F.expm1(F.col(n))).alias(n) for n in catalog.FEATURES])
+    plan = ensemble.predict(derived, nodes, catalog.FEATURES, DEPTH)._jdf.queryExecution().optimizedPlan().toString()
+    step = plan[plan.index("lambdafunction"):].split("\n")[0]
+    assert "array(" not in step and "EXPM1" not in step
+
+
+def test_a_tree_that_is_one_leaf(spark):
+    nodes = spark.createDataFrame(
+        [(0, 1.0, 0, None, None, None, None, 0.25, 9), (1, 0.5, 0, "a", 1.0, 1, 2, 0.0, 9), (1, 0.5, 1, None, None, None, None, -1.0, 5), (1, 0.5, 2, None, None, None, None, 3.0, 4)],
+        "tree int, weight double, node int, feature string, threshold double, left int, right int, value double, rows long",
+    )
+    rows = spark.createDataFrame([(1, 1.0), (2, 1.5), (3, None), (4, float("nan"))], "id long, a double")
+    found = {r.id: r.margin for r in ensemble.predict(rows, nodes, ["a"], 3).collect()}
+    assert found == {1: -0.25, 2: 1.75, 3: 1.75, 4: 1.75}
