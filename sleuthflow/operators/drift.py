@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sleuthflow.functions.ranking import exact_quantiles
 from sleuthflow.session import materialize
 
 #: Least share of a cell in the stability index, so that an empty one counts without an infinite logarithm.
@@ -29,7 +28,8 @@ def value_counts(reference: DataFrame, current: DataFrame, features: list[str])
 
 def _cumulated(counts: DataFrame) -> DataFrame:
     """Counts with the counts up to each value, per feature."""
-    ranged = counts.repartitionByRange("feature", "value").withColumn("part", F.spark_partition_id())
+    # Stored first: the range split reads its input twice, once for a sample.
+    ranged = materialize(counts, "distinct-values").repartitionByRange("feature", "value").withColumn("part", F.spark_partition_id())
     stored = materialize(ranged, "value-counts")
     before = Window.partitionBy("feature").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stored.groupBy("feature", "part").agg(F.sum("n_reference").alias("_r"), F.sum("n_current").alias("_c"))
@@ -45,6 +45,24 @@ def _cumulated(counts: DataFrame) -> DataFrame:
     )
 
 
+def _quantiles(cumulated: DataFrame, totals: DataFrame, probs: list[float]) -> DataFrame:
+    """(feature, p, q): quantiles of the reference with linear interpolation, looked up in its cumulated counts."""
+    position = F.col("p") * (F.col("n_reference") - 1)
+    targets = (
+        totals.where(F.col("n_reference") > 0)
+        .select("feature", "n_reference", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
+        .select("feature", "p", position.alias("_pos"))
+        .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))))
+    )
+    ranked = cumulated.where(F.col("n_reference") > 0).select(
+        "feature", "value", "upto_reference", (F.col("upto_reference") - F.col("n_reference")).alias("_start")
+    )
+    # Two rows per feature and probability.
+    picked = ranked.join(F.broadcast(targets), "feature").where((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("upto_reference")))
+    low, high = F.min("value"), F.max("value")
+    return picked.groupBy("feature", "p", "_pos").agg((low + (high - low) * (F.col("_pos") - F.floor("_pos"))).alias("q")).drop("_pos")
+
+
 def drift(reference: DataFrame, current: DataFrame, features: list[str], cells: int = 10) -> DataFrame:
     """(feature, n_reference, n_current, stability_index, ks): how far each feature has moved.
 
@@ -54,9 +72,7 @@ def drift(reference: DataFrame, current: DataFrame, features: list[str], cells:
     """
     counts = materialize(_cumulated(value_counts(reference, current, features)), "drift-counts")
     totals = counts.groupBy("feature").agg(F.sum("n_reference").alias("n_reference"), F.sum("n_current").alias("n_current"))
-    entries = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])
-    known = reference.select(F.inline(entries)).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    edges = exact_quantiles(known, ["feature"], "value", [k / cells for k in range(1, cells)])
+    edges = _quantiles(counts, totals, [k / cells for k in range(1, cells)])
     # As long as the list of features.
     lists = edges.groupBy("feature").agg(F.collect_list("q").alias("_edges"))
     sized = counts.join(F.broadcast(totals.withColumnsRenamed({"n_reference": "_all_r", "n_current": "_all_c"})), "feature")

@@ -112,3 +112,17 @@ def test_a_score_against_itself_and_too_few_rows(spark):
     one = evaluation.compare_auc(df.where("label = 1"), "a", "b").first()
     assert (one.deviation, one.z) == (None, None)
     assert evaluation.compare_auc(df.limit(0), "a", "b").first().auc_first is None
+
+
+def test_each_population_is_evaluated_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(x):
+        seen.add(1)
+        return x
+
+    once = F.udf(passed, "double").asNondeterministic()
+    rows = spark.range(500).select((F.col("id") % 37).cast("double").alias("x"))
+    found = drift.drift(rows.select(once("x").alias("x")), rows.where("x > 3"), ["x"]).collect()
+    assert seen.value == 500
+    assert (found[0].n_reference, found[0].n_current) == (500, rows.where("x > 3").count())
