@@ -17,36 +17,46 @@ NO_INFLOW_CLIENTS = 10
 def counterparty_totals(tx: DataFrame) -> DataFrame:
     """One row per (entity, counterparty). Every transfer is read once and gives a leg to each end.
 
+    Both directions of a pair are summed in one row first, so that a transfer is shuffled once, not once an end.
     A self-transfer is money in and money out but one transfer, so only its inflow leg is counted.
     Flows are in minor units, `per_one` of them to 1.
     """
     require_columns(tx, TX_COLUMNS, "transaction log")
     units, per_one = minor_units(tx, "amount")
-    prepared = tx.select("sender_id", "receiver_id", F.coalesce(units, F.lit(0)).alias("units"))
-    zero = F.lit(0).cast(prepared.schema["units"].dataType)
-    inflow = F.struct(
-        F.col("receiver_id").alias("entity_id"),
-        F.col("sender_id").alias("counterparty_id"),
-        F.col("units").alias("inflow"),
-        zero.alias("outflow"),
-        F.lit(1).alias("n_tx"),
-        F.lit(1).alias("n_in"),
-    )
-    outflow = F.struct(
-        F.col("sender_id").alias("entity_id"),
-        F.col("receiver_id").alias("counterparty_id"),
-        zero.alias("inflow"),
-        F.col("units").alias("outflow"),
-        F.when(F.col("sender_id") == F.col("receiver_id"), 0).otherwise(1).alias("n_tx"),
-        F.lit(0).alias("n_in"),
+    sender, receiver = F.col("sender_id"), F.col("receiver_id")
+    # A missing end comes first.
+    swapped = F.coalesce(sender > receiver, receiver.isNull())
+    prepared = tx.select(
+        F.when(swapped, receiver).otherwise(sender).alias("first"),
+        F.when(swapped, sender).otherwise(receiver).alias("second"),
+        swapped.alias("back"),
+        F.coalesce(units, F.lit(0)).alias("units"),
     )
-    return (
-        prepared.select(F.inline(F.array(inflow, outflow)))
-        .where(F.col("entity_id").isNotNull())
-        .groupBy("entity_id", "counterparty_id")
-        .agg(*[F.sum(c).alias(c) for c in ("inflow", "outflow", "n_tx", "n_in")], F.lit(per_one).alias("per_one"))
+    zero = F.lit(0).cast(prepared.schema["units"].dataType)
+    pairs = prepared.groupBy("first", "second").agg(
+        F.sum(F.when(F.col("back"), zero).otherwise(F.col("units"))).alias("forth"),
+        F.sum(F.when(F.col("back"), F.col("units")).otherwise(zero)).alias("back"),
+        F.count_if(~F.col("back")).alias("n_forth"),
+        F.count_if(F.col("back")).alias("n_back"),
     )
 
+    def leg(entity: str, other: str, inward: str, outward: str, n_tx: Column) -> Column:
+        return F.struct(
+            F.col(entity).alias("entity_id"),
+            F.col(other).alias("counterparty_id"),
+            F.col(inward).alias("inflow"),
+            F.col(outward).alias("outflow"),
+            n_tx.alias("n_tx"),
+            F.col(f"n_{inward}").alias("n_in"),
+            F.lit(per_one).alias("per_one"),
+        )
+
+    own = leg("first", "first", "forth", "forth", F.col("n_forth"))
+    both = F.col("n_forth") + F.col("n_back")
+    ends = F.array(leg("first", "second", "back", "forth", both), leg("second", "first", "forth", "back", both))
+    legs = F.when(F.col("first") == F.col("second"), F.array(own)).otherwise(ends)
+    return pairs.select(F.inline(legs)).where(F.col("entity_id").isNotNull())
+
 
 def sender_concentration(totals: DataFrame) -> DataFrame:
     """Share of the largest and of the ten largest senders in an entity's inflow."""

@@ -1,5 +1,5 @@
 import pytest
-from samples import OPERATIONAL_ROW, features_frame, log_frame, ops_frame
+from samples import NOON, OPERATIONAL_ROW, features_frame, log_frame, ops_frame
 
 from sleuthflow import catalog
 from sleuthflow.operators import contracts, entity
@@ -81,3 +81,22 @@ def test_feature_contract(spark):
     assert contracts.check_features(features_frame(spark)).first().reason is None
     bad = contracts.check_features(features_frame(spark, growth_rate=float("nan"))).first()
     assert bad.reason == "Feature 'growth_rate' out of range [0.0, 1.2]: nan"
+
+
+def test_both_directions_of_a_pair_are_one_shuffled_row(spark):
+    rows = [("A", "B", 10.0), ("B", "A", 4.0), ("A", "B", 1.0), ("A", "A", 5.0), ("A", "A", 2.0), (None, "A", 3.0), ("A", None, 7.0), (None, None, 9.0), ("B", "C", None)]
+    log = spark.createDataFrame([(*r, NOON) for r in rows], "sender_id string, receiver_id string, amount double, timestamp timestamp")
+    totals = entity.counterparty_totals(log)
+    found = {(r.entity_id, r.counterparty_id): (r.inflow, r.outflow, r.n_tx, r.n_in) for r in totals.collect()}
+    assert found == {
+        ("A", "B"): (4.0, 11.0, 3, 1),
+        ("B", "A"): (11.0, 4.0, 3, 2),
+        ("A", "A"): (7.0, 7.0, 2, 2),
+        ("A", None): (3.0, 7.0, 2, 1),
+        ("B", "C"): (0.0, 0.0, 1, 0),
+        ("C", "B"): (0.0, 0.0, 1, 1),
+    }
+    assert totals.count() == 6
+    # Legs are made after the only shuffle, not before it.
+    plan = totals._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")
