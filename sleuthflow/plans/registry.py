@@ -20,6 +20,8 @@ DIGITS = 6
 # Digits to which eigenvectors of different solvers agree.
 PCA_DIGITS = 4
 HOURS = views.WINDOW_HOURS
+# A fit gets no more partitions than it has this many rows for.
+FIT_ROWS = 20_000
 # Micro-batches of the feed of the stream queries, files of each, and how late an event may be.
 STREAM_PARTS, STREAM_FILES, STREAM_LATENESS = 3, 4, "1 hour"
 
@@ -104,8 +106,12 @@ def dataset_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.dataset_report(views.labeled(spark, sf_dir))
 
 
+def _stratified(labeled: DataFrame) -> DataFrame:
+    return materialize(evaluation.stratified_split(labeled, "entity_id"), "split")
+
+
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(evaluation.stratified_split(views.labeled(spark, sf_dir), "entity_id"), "split")
+    return _stratified(views.labeled(spark, sf_dir))
 
 
 def leakage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -413,60 +419,73 @@ def stream_case_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 _fitted: dict[tuple[str, int, str], object] = {}
 
 
-def _model(spark: SparkSession, sf_dir: str):
-    """Model of full size on the training rows.
+def _model(spark: SparkSession, split: DataFrame):
+    """Model of full size on the training rows of a split.
 
     Queries over the same rows share one fit: the key is a digest of the rows themselves, so changed data are
     fitted anew. A fresh session fits again.
     """
-    train = materialize(_split(spark, sf_dir).where(~F.col("is_test")), "train")
+    train = materialize(split.where(~F.col("is_test")), "train")
     digest = F.sum(F.xxhash64(*sorted(train.columns)).cast("decimal(38,0)")).cast("string")
     rows, mark = train.agg(F.count("*"), digest).first()
     key = (spark.sparkContext.applicationId, rows, mark)
     if key not in _fitted:
-        _fitted[key] = ml.train_risk_model(train)
+        # Every level of every tree reads all rows: a pass lasts as long as its largest task.
+        parts = min(spark.sparkContext.defaultParallelism, rows // FIT_ROWS)
+        _fitted[key] = ml.train_risk_model(train.repartition(parts) if parts > train.rdd.getNumPartitions() else train)
     return _fitted[key]
 
 
+def _model_and_features(spark: SparkSession, sf_dir: str):
+    """The model and the features of every entity, derived once for the fit and for the scores."""
+    features = materialize(views.features(spark, sf_dir), "features")
+    return _model(spark, _stratified(views.planted(features))), features
+
+
 def train_risk_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of the model on the held-out rows."""
-    test = _split(spark, sf_dir).where("is_test")
-    scored = ml.predict_risk(_model(spark, sf_dir), test)
+    split = _split(spark, sf_dir)
+    scored = ml.predict_risk(_model(spark, split), split.where("is_test"))
     return evaluation.binary_metrics(scored, "probability", "label")
 
 
 def predict_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = ml.predict_risk(_model(spark, sf_dir), views.features(spark, sf_dir))
+    model, features = _model_and_features(spark, sf_dir)
+    scored = ml.predict_risk(model, features)
     return scored.select("entity_id", "probability", "label_text", "threshold_policy", "reason")
 
 
 def predict_from_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ops = entity.entity_operational(views.transfers(spark, sf_dir))
-    scored, _ = ml.predict_from_ops(_model(spark, sf_dir), ops, "entity_id")
+    """The facts are derived once; those that pass the contract give the training rows."""
+    ops = materialize(entity.entity_operational(views.transfers(spark, sf_dir)), "operational")
+    model = _model(spark, _stratified(views.planted(views.features_of(ops))))
+    scored, _ = ml.predict_from_ops(model, ops, "entity_id")
     return scored.select("entity_id", "probability", "label_text", *catalog.FEATURES)
 
 
 def score_cases_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases whose tabular branch is the fitted model."""
-    return _flat(scoring.score_cases(views.good_events(spark, sf_dir), HOURS, model=_model(spark, sf_dir)))
+    model = _model(spark, _split(spark, sf_dir))
+    return _flat(scoring.score_cases(views.good_events(spark, sf_dir), HOURS, model=model))
 
 
 def risk_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each feature adds to the score of every entity, from the node table of the model."""
-    nodes = materialize(ensemble.node_table(_model(spark, sf_dir)), "nodes")
-    return ensemble.contributions(views.features(spark, sf_dir), nodes, catalog.FEATURES, "entity_id")
+    model, features = _model_and_features(spark, sf_dir)
+    nodes = materialize(ensemble.node_table(model), "nodes")
+    return ensemble.contributions(features, nodes, catalog.FEATURES, "entity_id")
 
 
 def risk_from_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every entity from the node table alone."""
-    nodes = materialize(ensemble.node_table(_model(spark, sf_dir)), "nodes")
-    depth = _model(spark, sf_dir).stages[-1].getMaxDepth()
-    found = ensemble.predict(views.features(spark, sf_dir), nodes, catalog.FEATURES, depth)
+    model, features = _model_and_features(spark, sf_dir)
+    nodes = materialize(ensemble.node_table(model), "nodes")
+    found = ensemble.predict(features, nodes, catalog.FEATURES, model.stages[-1].getMaxDepth())
     return found.select("entity_id", "margin", "probability")
 
 
 def feature_importance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ml.feature_importances(_model(spark, sf_dir), 5)
+    return ml.feature_importances(_model(spark, _split(spark, sf_dir)), 5)
 
 
 def _population(spark: SparkSession, sf_dir: str) -> DataFrame:

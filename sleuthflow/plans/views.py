@@ -150,15 +150,23 @@ def request_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def operational(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operational facts that pass the contract."""
-    checked = check_ops(entity_operational(transfers(spark, sf_dir)))
-    return checked.where(F.col("reason").isNull()).drop("reason")
+    return _passed(entity_operational(transfers(spark, sf_dir)))
+
+
+def _passed(facts: DataFrame) -> DataFrame:
+    return check_ops(facts).where(F.col("reason").isNull()).drop("reason")
+
+
+def features_of(facts: DataFrame) -> DataFrame:
+    """Features of the entities whose facts pass the contract."""
+    return operational_to_features(_passed(facts), keep=["entity_id"])
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return operational_to_features(operational(spark, sf_dir), keep=["entity_id"])
+    return features_of(entity_operational(transfers(spark, sf_dir)))
 
 
-def _planted(rows: DataFrame) -> DataFrame:
+def planted(rows: DataFrame) -> DataFrame:
     """Label from proxy score plus a hash noise, cut at the mean; a strip around the cut is borderline."""
     noise = F.conv(F.substring(F.md5(F.col("entity_id").cast("binary")), 1, 6), 16, 10).cast("double")
     score = F.round(tabular_proxy() + F.lit(0.3) * noise / F.lit(16777216.0), 6).cast("decimal(12,6)")
@@ -171,11 +179,11 @@ def _planted(rows: DataFrame) -> DataFrame:
 
 
 def labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _planted(features(spark, sf_dir))
+    return planted(features(spark, sf_dir))
 
 
 def labeled_operational(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operational facts with the label of their features."""
     facts = operational(spark, sf_dir)
     wide = operational_to_features(facts, keep=["entity_id", *catalog.OPERATIONAL])
-    return _planted(wide).select(F.col("entity_id").alias("id"), *catalog.OPERATIONAL, "label")
+    return planted(wide).select(F.col("entity_id").alias("id"), *catalog.OPERATIONAL, "label")
