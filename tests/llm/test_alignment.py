@@ -3,6 +3,7 @@ import random
 from pathlib import Path
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from cases import TEXTS, documents, nothing
@@ -120,3 +121,37 @@ def test_common_words_are_asked_once_a_block(spark):
     found = alignment.align(df, A, B).collect()
     assert len(found) == 3000 and len({tuple(r)[1:] for r in found}) == 1
     assert found[0].count_sum == 3000 * found[0].n_links
+
+
+def test_documents_of_a_block_stream_past_its_answers(spark):
+    """No worker is handed a block as a whole, and batches that cut answers, documents and blocks change nothing."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(["the", "same", "wörds", "again", "x1", "中文", "the the"], k=rng.randint(1, 30))) for _ in range(400)]
+    df = spark.createDataFrame([(f"d{k}", t) for k, t in enumerate(texts)], "doc_id string, text string").repartition(3)
+    expected = {f"d{k}": row for k, row in enumerate(plain(texts))}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = alignment.align(df, A, B)
+        assert {r[0]: tuple(r)[1:] for r in found.collect()} == expected
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "FlatMapCoGroups" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_answers_wait_for_documents_of_their_block():
+    kind = pa.schema([("block", pa.int64()), ("slot", pa.int32()), ("count", pa.int64()), ("best", pa.bool_()), ("slots", pa.list_(pa.int32())), ("times", pa.list_(pa.int64()))])
+
+    def rows(*values):
+        return pa.RecordBatch.from_pylist([dict(zip(kind.names, v)) for v in values], kind)
+
+    held = alignment.Answers()
+    assert held.taken(rows((1, 0, 5, True, [], []), (1, 1, 3, False, [], []))).num_rows == 0
+    docs = held.taken(rows((1, 2, 9, True, [], []), (1, None, None, None, [2, 0, 1], [4]), (1, None, None, None, [], [])))
+    assert [s.tolist() for s in held.sums(docs)] == [[5, 0], [44, 0]]
+    docs = held.taken(rows((1, None, None, None, [1, 0], [2, 3])))
+    assert [s.tolist() for s in held.sums(docs)] == [[3], [21]]
+    docs = held.taken(rows((2, 0, 7, False, [], []), (2, None, None, None, [0], [])))
+    assert [s.tolist() for s in held.sums(docs)] == [[0], [7]]
+    docs = held.taken(rows((3, None, None, None, [], [])))
+    assert [s.tolist() for s in held.sums(docs)] == [[0], [0]]
