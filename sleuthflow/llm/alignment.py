@@ -37,6 +37,8 @@ BLOCK_BYTES = 16_000_000
 #: Ids in the windows that are kept between slices, and links of a group that are listed one by one.
 CACHED_IDS, LARGE = 2_000_000, 4096
 SPACE, PIECE_SPACE = b" ", "▁"
+#: How slots and times are packed.
+SLOT, TIMES = "<i4", "<i8"
 #: The split pattern of byte-level tokenizers that use their built-in one (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -295,20 +297,35 @@ class Block:
         return found[inverse]
 
 
+def _packed(values: np.ndarray, doc: np.ndarray, n: int) -> pa.Array:
+    """The values of each of n documents as bytes; `doc` rises."""
+    offsets = np.searchsorted(doc, np.arange(n + 1)) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _unpacked(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All values of packed cells, and where those of each cell begin and the last end."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data, size = column.buffers()[2], np.dtype(kind).itemsize
+    values = np.frombuffer(data, kind, (offsets[-1] - offsets[0]) // size, offsets[0]) if data and offsets[-1] > offsets[0] else np.zeros(0, kind)
+    return values, (offsets - offsets[0]) // size
+
+
 def _counted(docs: DataFrame, source, key: str, text: str, digest: bool) -> DataFrame:
     """One row per document, and one per block with its distinct pairs by slot (`pairs`, null for documents).
 
-    A document's `slots` begin with those of pairs that it holds more than once; `times` has only theirs.
+    A document's `slots` begin with those of pairs that it holds more than once; `times` has only theirs. Both are
+    packed as little-endian integers, which cost the JVM far less than lists.
     """
     kind = docs.schema[key].dataType
     fields = [T.StructField("key", kind), *[T.StructField(c, T.LongType()) for c in ("block", "n_a", "n_b", "n_groups", "n_links")]]
-    fields += [T.StructField("groups", T.StringType()), T.StructField("slots", T.ArrayType(T.IntegerType()))]
-    fields += [T.StructField(c, T.ArrayType(T.LongType())) for c in ("times", "pairs", "held")]
+    fields += [T.StructField("groups", T.StringType()), *[T.StructField(c, T.BinaryType()) for c in ("slots", "times")]]
+    fields += [T.StructField(c, T.ArrayType(T.LongType())) for c in ("pairs", "held")]
     names, lists = [f.name for f in fields], pa.list_(pa.int64())
 
     def summary(block: Block, key_type: pa.DataType) -> pa.RecordBatch:
         by_slot = block.codes[block.slots.argsort()]
-        empty = [pa.nulls(1, t) for t in (*[pa.int64()] * 4, pa.string(), pa.list_(pa.int32()), lists)]
+        empty = [pa.nulls(1, t) for t in (*[pa.int64()] * 4, pa.string(), pa.binary(), pa.binary())]
         columns = [pa.nulls(1, key_type), pa.array([block.number]), *empty, pa.array([by_slot], lists), pa.array([block.docs], lists)]
         return pa.RecordBatch.from_arrays(columns, names)
 
@@ -324,13 +341,12 @@ def _counted(docs: DataFrame, source, key: str, text: str, digest: bool) -> Data
                 groups = [(hashlib.sha256(t).hexdigest() if t else "") if digest else bytes(t).decode() for t in aligner.texts(found)]
                 once = found.times == 1
                 slots, times = slots[(found.doc * 2 + once).argsort(kind="stable")], found.times[~once]
-                offsets, repeated = (pa.array(np.searchsorted(d, np.arange(n + 1)).astype(np.int32)) for d in (found.doc, found.doc[~once]))
+                packed = _packed(slots.astype(SLOT), found.doc, n), _packed(times.astype(TIMES), found.doc[~once], n)
                 columns = [
                     part.column(0), pa.array(np.full(n, block.number)),
                     *[pa.array(c) for c in (found.n_a, found.n_b, found.n_groups, found.n_links)],
                     pa.array(groups, pa.string()),
-                    pa.ListArray.from_arrays(offsets, pa.array(slots)), pa.ListArray.from_arrays(repeated, pa.array(times)),
-                    pa.nulls(n, lists), pa.nulls(n, lists),
+                    *packed, pa.nulls(n, lists), pa.nulls(n, lists),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names)
                 block.bytes += part.column(1).nbytes
@@ -377,10 +393,9 @@ class Answers:
         """Links of every document whose count is the highest of their first id, and the counts of all."""
         if len(self.parts) > 1:
             self.parts = [[np.concatenate(columns) for columns in zip(*self.parts)]]
-        offsets = docs["slots"].offsets.to_numpy()
-        offsets, slots = offsets - offsets[0], docs["slots"].flatten().to_numpy()
+        (slots, offsets), (times, repeated) = _unpacked(docs["slots"], SLOT), _unpacked(docs["times"], TIMES)
         links = np.ones(len(slots), np.int64)
-        links[_ranges(offsets[:-1], np.diff(docs["times"].offsets.to_numpy()))] = docs["times"].flatten().to_numpy()
+        links[_ranges(offsets[:-1], np.diff(repeated))] = times
         count, best = self.parts[0] if self.parts else (np.zeros(0, np.int64), np.zeros(0, bool))
         totals = (np.append(0, (links * by_slot[slots]).cumsum()) for by_slot in (best, count))
         return [t[offsets[1:]] - t[offsets[:-1]] for t in totals]
@@ -407,9 +422,9 @@ def align(docs: DataFrame, first: str, second: str, key: str = "doc_id", text: s
     known = materialize(pair_counts(counted), "counts")
     asked = counted.where(F.col("pairs").isNotNull()).select("block", F.posexplode("pairs").alias("slot", "pair"))
     members = counted.where(F.col("pairs").isNull()).drop("pairs", "held")
-    # Texts and lists of answers are empty, not null: Arrow's writer goes over a run of nulls again for every row of it.
-    empty = {c: F.array().cast(members.schema[c].dataType) for c in ("slots", "times")}
-    empty |= {c: F.lit("") for c in ("key", "groups") if isinstance(members.schema[c].dataType, T.StringType)}
+    # Texts and bytes of answers are empty, not null: Arrow's writer goes over a run of nulls again for every row of it.
+    kinds = {f.name: f.dataType for f in members.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))}
+    empty = {c: F.lit("").cast(k) for c, k in kinds.items()}
     answers = asked.join(known, "pair").select("block", "slot", "count", "best").withColumns(empty)
     rows = members.unionByName(answers, allowMissingColumns=True).repartition("block")
     kind = docs.schema[key].dataType

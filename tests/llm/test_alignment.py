@@ -2,6 +2,7 @@ import hashlib
 import random
 from pathlib import Path
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -140,10 +141,11 @@ def test_documents_of_a_block_stream_past_its_answers(spark):
 
 
 def test_answers_wait_for_documents_of_their_block():
-    kind = pa.schema([("block", pa.int64()), ("slot", pa.int32()), ("count", pa.int64()), ("best", pa.bool_()), ("slots", pa.list_(pa.int32())), ("times", pa.list_(pa.int64()))])
+    kind = pa.schema([("block", pa.int64()), ("slot", pa.int32()), ("count", pa.int64()), ("best", pa.bool_()), ("slots", pa.binary()), ("times", pa.binary())])
 
     def rows(*values):
-        return pa.RecordBatch.from_pylist([dict(zip(kind.names, v)) for v in values], kind)
+        packed = [(*v[:4], np.array(v[4], "<i4").tobytes(), np.array(v[5], "<i8").tobytes()) for v in values]
+        return pa.RecordBatch.from_pylist([dict(zip(kind.names, v)) for v in packed], kind)
 
     held = alignment.Answers()
     assert held.taken(rows((1, 0, 5, True, [], []), (1, 1, 3, False, [], []))).num_rows == 0
