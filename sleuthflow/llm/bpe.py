@@ -5,7 +5,8 @@ pattern, byte-level units with an end-of-word suffix, ranked merges, added speci
 on the driver (its size is fixed, a few MB) and broadcast.
 
 Encoding: no split ever crosses white space, so texts are cut there and every distinct piece is encoded once
-per slice of rows, with a bounded cache over slices. The words of the new pieces go through the rank array:
+per slice of rows. Pieces of plain letters, with or without a mark, stay in Arrow's buffers; others are split in
+Python and kept in a bounded cache over slices. The distinct words of a slice go through the rank array:
 one row per word holds its parts and, beside them, the rank of each pair of neighbours; the row minimum is
 found, the boundary there is deleted, and the two ranks next to it are refreshed, until no pair has a rank.
 All words of similar length take these steps together. Words above `LONG` bytes, where scanning for the
@@ -37,8 +38,11 @@ NO_RANK = np.int32(2**31 - 1)
 ROWS_AT_ONCE = 20_000
 LATIN_END = "\u0250"
 MARKS = ".,;:!?"
+#: Pieces of letters that lower to one letter each, the same in every Unicode version, and a mark.
+PLAIN = f"^[A-Za-zÀ-ÖØ-öø-ÿ]+[{MARKS}]?$"
 #: White space as the split pattern sees it (the Unicode property, without the ASCII separators 1C to 1F).
-BLANK = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
+WIDE_BLANK = r"\x85\xa0  -     　"
+BLANK = r"\t\n\x0b\x0c\r " + WIDE_BLANK
 
 
 def byte_units() -> list[str]:
@@ -73,6 +77,8 @@ class Codec:
         self.words = regex.compile(split["pattern"]["Regex"]).findall
         self.blanks = re.compile(f"[{BLANK}]+").split
         self.odd = re.compile(r"[\x1c-\x1f]").search
+        wide = re.compile(f"[{WIDE_BLANK}]")
+        self.wide, self.wide_blank = wide.search, wide.sub
         tokens = [None] * (max([*vocab.values(), *special.values()]) + 1)
         for token, number in [*vocab.items(), *special.items()]:
             tokens[number] = token
@@ -87,23 +93,31 @@ class Codec:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], NO_RANK)
 
-    def _merge_rows(self, parts: np.ndarray, lengths: np.ndarray) -> list[bytes]:
-        """Rank arrays of many words: `parts` has a row per word, padded with -1."""
-        out: list[bytes] = [b""] * len(parts)
+    def _merge_rows(self, parts: np.ndarray, lengths: np.ndarray, starts: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """Rank arrays of many words: `parts` has a row per word, padded with -1.
+
+        The ids of a word go to `out` from its start on; their numbers are returned.
+        """
+        found = np.zeros(len(parts), np.int64)
         rows = np.arange(len(parts))
+
+        def leave(rows: np.ndarray, parts: np.ndarray, lengths: np.ndarray) -> None:
+            place = np.arange(parts.shape[1])
+            held = place < lengths[:, None]
+            out[(starts[rows][:, None] + place)[held]] = parts[held]
+            found[rows] = lengths
+
         ranks = self._ranks(parts[:, :-1], parts[:, 1:])
         while len(rows):
             if not ranks.shape[1]:
-                for r, p in zip(rows.tolist(), parts):
-                    out[r] = p[:1].tobytes()
+                leave(rows, parts[:, :1], np.ones(len(rows), np.int64))
                 break
             at = ranks.argmin(axis=1)
             best = np.take_along_axis(ranks, at[:, None], 1)[:, 0]
             going = best != NO_RANK
             if not going.all():
                 done = ~going
-                for r, p, n in zip(rows[done].tolist(), parts[done], lengths[done].tolist()):
-                    out[r] = p[:n].tobytes()
+                leave(rows[done], parts[done], lengths[done])
                 rows, parts, ranks, lengths, at, best = rows[going], parts[going], ranks[going], lengths[going], at[going], best[going]
                 if not len(rows):
                     break
@@ -122,7 +136,7 @@ class Codec:
             fresh = np.flatnonzero(at > 0)
             if len(fresh):
                 ranks[fresh, at[fresh] - 1] = self._ranks(parts[fresh, at[fresh] - 1], new[fresh])
-        return out
+        return found
 
     def _merge_long(self, word: bytes) -> bytes:
         """The same merges, least rank and then leftmost first, from a heap over a linked list of parts."""
@@ -154,45 +168,50 @@ class Codec:
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Ids of every word as int32 bytes."""
-        out: list[bytes] = [b""] * len(words)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        found = self._merged(np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words)))
+        ends, flat = found.offsets.to_numpy().tolist(), found.values.to_numpy()
+        return [flat[low:high].tobytes() for low, high in zip(ends, ends[1:])]
+
+    def _merged(self, data: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
+        """Ids of words that stand one behind the other in `data`."""
+        starts = lengths.cumsum() - lengths
+        out, counts = np.empty(len(data), np.int32), np.zeros(len(lengths), np.int64)
         order = np.argsort(lengths, kind="stable")
+        ordered = lengths[order]
         low = int((lengths == 0).sum())
         short = int((lengths <= LONG).sum())
         while low < short:
             high = min(low + ROWS_AT_ONCE, short)
-            width = int(lengths[order[low]])
-            high = min(high, int(np.searchsorted(lengths[order], max(width + 1, width * 5 // 4), "right")))
-            chosen = order[low:high]
-            n = lengths[chosen]
+            width = int(ordered[low])
+            high = min(high, int(np.searchsorted(ordered, max(width + 1, width * 5 // 4), "right")))
+            chosen, n = order[low:high], ordered[low:high]
             width = int(n.max())
-            flat = np.frombuffer(b"".join([words[k] for k in chosen.tolist()]), np.uint8)
+            flat = data[_ranges(starts[chosen], n)]
             column = np.arange(width)
             parts = np.full((len(chosen), width), -1, np.int32)
             parts[column < n[:, None]] = self.inner[flat]
             parts[np.arange(len(chosen)), n - 1] = self.final[flat[n.cumsum() - 1]]
-            for k, ids in zip(chosen.tolist(), self._merge_rows(parts, n)):
-                out[k] = ids
+            counts[chosen] = self._merge_rows(parts, n, starts[chosen], out)
             low = high
         for k in order[short:].tolist():
-            out[k] = self._merge_long(words[k])
-        return out
+            ids = np.frombuffer(self._merge_long(data[starts[k] : starts[k] + lengths[k]].tobytes()), np.int32)
+            counts[k] = len(ids)
+            out[starts[k] : starts[k] + len(ids)] = ids
+        return _lists(counts, out[_ranges(starts, counts)])
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of pieces without white space."""
-        whole, split = {}, {}
+        split = {}
         for p in pieces:
             if p.isalpha() and (p.isascii() or self._latin(p)):
-                whole[p] = p.lower()
+                split[p] = (p.lower(),)
             elif p[:-1].isalpha() and p[-1] in MARKS and (p.isascii() or self._latin(p)):
                 split[p] = (p[:-1].lower(), p[-1])
             else:
                 split[p] = tuple(self._split(p))
-        words = list(set(whole.values()).union(*split.values()))
+        words = list(set().union(*split.values()))
         ids = dict(zip(words, self.merge([w.encode() for w in words])))
-        found = {p: ids[w] for p, w in whole.items()}
-        found.update((p, b"".join([ids[w] for w in ws])) for p, ws in split.items())
-        return found
+        return {p: b"".join([ids[w] for w in ws]) for p, ws in split.items()}
 
     @staticmethod
     def _latin(piece: str) -> bool:
@@ -224,17 +243,57 @@ class Codec:
         return self.blanks(text) if self.odd(text) else text.split()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of every text as int32 bytes; null is an empty text."""
-        cut = [self._pieces(t) if t else [] for t in texts]
+        """Ids of every text as int32 bytes; null is an empty text. Equal texts are encoded once."""
+        found = dict.fromkeys(texts, b"")
+        special = {t for t in found if t and any(s in t for s in self.special_start)}
+        plain = [t for t in found if t and t not in special]
+        found.update(zip(plain, self._encode_plain(plain)))
+        for text in special:
+            pieces = self._pieces(text)
+            distinct = list(dict.fromkeys(pieces))
+            known = dict(zip(distinct, self._known(distinct)))
+            found[text] = b"".join([known[p] for p in pieces])
+        return [found[t] for t in texts]
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        """Texts without special tokens: Arrow cuts them and numbers the distinct pieces, whose ids are laid out by number.
+
+        A piece is up to two rows of a table of ids: a word of plain letters and its mark, or one row of its own.
+        """
+        if not texts:
+            return []
+        blank = [t if t.isascii() or not self.wide(t) else self.wide_blank(" ", t) for t in texts]
+        cut = pc.ascii_split_whitespace(pa.array(blank, pa.string()))
+        coded = cut.flatten().dictionary_encode()
+        pieces = coded.dictionary
+        plain = pc.match_substring_regex(pieces, PLAIN)
+        some = pieces.filter(plain)
+        words = pc.utf8_lower(pc.utf8_rtrim(some, MARKS)).dictionary_encode()
+        marks = np.array([MARKS.find(chr(b)) for b in range(256)])[_ends(some)]
+        rest = pieces.filter(pc.invert(plain))
+        ids = [self._merged(*_flat(words.dictionary)), _list_array([*self.merge([m.encode() for m in MARKS]), b""]), _list_array(self._known(rest.to_pylist()))]
+        first, plain = len(ids[0]), plain.to_numpy(zero_copy_only=False)
+        none = first + len(MARKS)
+        rows = np.full((len(pieces), 2), none)
+        rows[plain, 0] = words.indices.to_numpy()
+        rows[plain, 1] = np.where(marks < 0, none, first + marks)
+        rows[~plain, 0] = none + 1 + np.arange(len(rest))
+        found = pa.concat_arrays(ids).take(pa.array(rows[coded.indices.to_numpy()].ravel()))
+        ends = found.offsets.to_numpy()[2 * cut.offsets.to_numpy()].tolist()
+        flat = found.values.to_numpy()
+        return [flat[low:high].tobytes() for low, high in zip(ends, ends[1:])]
+
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces, learned or from the cache."""
         known = self.cache
-        new = set().union(*cut) - known.keys()
+        new = [p for p in pieces if p not in known]
         known.update(self._learn(new))
-        ids = [b"".join([known[p] for p in pieces]) for pieces in cut]
+        ids = [known[p] for p in pieces]
         if len(known) > CACHED_PIECES:
             self.cache = dict(self.special)
         else:
             for piece in new:
-                if len(piece) > CACHED_LENGTH and piece not in self.special:
+                if len(piece) > CACHED_LENGTH:
                     del known[piece]
         return ids
 
@@ -265,10 +324,30 @@ def _codec(source) -> Codec:
     return _codecs[key]
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places from every start on, `sizes` of them."""
+    return np.repeat(starts - sizes.cumsum() + sizes, sizes) + np.arange(sizes.sum())
+
+
+def _flat(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all strings and the length of each."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    return np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], np.diff(offsets)
+
+
+def _ends(words: pa.Array) -> np.ndarray:
+    """Last byte of every string; none is empty."""
+    data, lengths = _flat(words)
+    return data[lengths.cumsum() - 1]
+
+
+def _lists(counts: np.ndarray, flat: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], counts.cumsum()]).astype(np.int32)), pa.array(flat))
+
+
 def _list_array(ids: list[bytes]) -> pa.Array:
-    offsets = np.zeros(len(ids) + 1, np.int32)
-    np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+    counts = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+    return _lists(counts, np.frombuffer(b"".join(ids), np.int32))
 
 
 def _replaced(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:

@@ -10,6 +10,8 @@ of a dense group.
 
 Fingerprints of several 64-bit words serve similarities as low as 0.8, which 64 bits cannot tell from chance:
 the first word sifts the pairs, the whole fingerprint makes them candidates, and the sets of shingles decide.
+Sets of Jaccard similarity J differ in size by a factor of 1 / J at most, so there the cells are laid out by size.
+Strips of tiles are dealt out in pairs, so that a large cell is compared by many tasks.
 Candidate groups are cut in blocks of bounded size; each pair of blocks of a group is one row and reports a
 spanning forest of the pairs whose Jaccard similarity is high enough.
 """
@@ -18,12 +20,12 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sleuthflow.llm.common import SLICE_BYTES, slices, texts_as_bytes
 from sleuthflow.llm.components import components
@@ -32,10 +34,14 @@ from sleuthflow.session import materialize
 SEED = 42
 #: Fingerprints in a tile, for small and for large radii.
 TILE, WIDE_TILE = 2048, 8192
+#: Tiles of a cell that are dealt out together for large radii.
+STRIP = 4
+#: Cells of sizes within the factor that a similarity allows.
+SIZE_STEPS = 2
 #: Largest radius for which cells are laid out by quarters.
 QUARTERED = 3
-#: Pairs compared at once.
-AT_ONCE = 1 << 21
+#: Pairs compared at once (few enough for a core's cache), and links that are gathered before they are joined.
+AT_ONCE, LINKS = 1 << 17, 1 << 18
 #: Standard deviations of the distance at the wanted similarity that candidates may lie above its mean.
 SLACK = 3.5
 #: Shingles and texts in a block that is compared exactly.
@@ -84,8 +90,11 @@ def fingerprint(text: bytes, words: int, width: int = 1, repeats: bool = True) -
 
     The first word takes the bits of the shingle hashes themselves, each further one those of a remixed hash.
     """
+    return _majority(shingle_hashes(text, words) if repeats else [_distinct(text, words)], width)
+
+
+def _majority(found: Iterable[np.ndarray], width: int) -> np.ndarray:
     total, counts = 0, np.zeros((width, 64), np.int64)
-    found = shingle_hashes(text, words) if repeats else [_distinct(text, words)]
     for hashes in found:
         total += len(hashes)
         for n in range(width):
@@ -103,18 +112,27 @@ def fingerprint(text: bytes, words: int, width: int = 1, repeats: bool = True) -
 def fingerprints(
     docs: DataFrame, words: int = 5, width: int = 1, key: str = "doc_id", text: str = "text", repeats: bool = True
 ) -> DataFrame:
-    """(key, fp) of every document, whole texts: lower-case ASCII letters, words by ASCII white space."""
+    """(key, fp) of every document, whole texts: lower-case ASCII letters, words by ASCII white space.
+
+    Without `repeats` also size, the number of distinct shingles.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
-                found = np.concatenate([fingerprint(t, words, width, repeats) for t in texts_as_bytes(part, text)])
-                offsets = pa.array(np.arange(0, len(found) + 1, width, dtype=np.int32))
-                fp = pa.ListArray.from_arrays(offsets, pa.array(found))
-                yield pa.RecordBatch.from_arrays([part.column(0), fp], [key, "fp"])
+                found, sizes = [], []
+                for t in texts_as_bytes(part, text):
+                    hashes = shingle_hashes(t, words) if repeats else [_distinct(t, words)]
+                    found.append(_majority(hashes, width))
+                    sizes += [] if repeats else [len(hashes[0])]
+                offsets = pa.array(np.arange(0, len(found) * width + 1, width, dtype=np.int32))
+                fp = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found)))
+                size = {} if repeats else {"size": pa.array(sizes, pa.int32())}
+                yield pa.RecordBatch.from_pydict({key: part.column(0), "fp": fp, **size})
 
     source = docs.select(key, text)
-    return source.mapInArrow(run, f"`{key}` {source.schema[key].dataType.simpleString()}, fp array<bigint>")
+    kinds = f"`{key}` {source.schema[key].dataType.simpleString()}, fp array<bigint>"
+    return source.mapInArrow(run, kinds if repeats else f"{kinds}, size int")
 
 
 def shingle_sets(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
@@ -142,20 +160,30 @@ def radius_of(similarity: float, bits: int, slack: float = 1.0) -> int:
     return math.floor(bits * p + slack * math.sqrt(bits * p * (1 - p)))
 
 
-def _tiles(distinct: DataFrame, radius: int) -> tuple[DataFrame, int]:
-    """(cell, tile, ids, words) of packed arrays, and the number of counts in a cell: 17**4 cells at most."""
-    parts, tile = (4, TILE) if radius <= QUARTERED else (1, WIDE_TILE)
+def _quarters(parts: int) -> Column:
+    """Population counts of the first word, or of each of its parts."""
     width = 64 // parts
     mask = F.lit((1 << width) - 1 if parts > 1 else -1)
-    counts = [F.bit_count(F.shiftrightunsigned(F.col("fp")[0], width * k).bitwiseAND(mask)) for k in range(parts)]
-    celled = distinct.select("id", "fp", F.array(*counts).alias("cell"))
+    return F.array(*[F.bit_count(F.shiftrightunsigned(F.col("fp")[0], width * k).bitwiseAND(mask)) for k in range(parts)])
+
+
+def _size_cell(similarity: float) -> Column:
+    """Logarithm of the size, in steps of which SIZE_STEPS are the factor that the similarity allows; nothing is by itself."""
+    # A little wider than the factor, so that rounding moves no pair at the limit out of reach.
+    step = max(-math.log(max(similarity, 1e-9)), 1e-6) * (1 + 1e-9) / SIZE_STEPS
+    return F.array(F.when(F.col("size") > 0, F.floor(F.log("size") / F.lit(step))).otherwise(-2 * SIZE_STEPS).cast("int"))
+
+
+def _tiles(distinct: DataFrame, cell: Column, tile: int) -> DataFrame:
+    """(cell, tile, ids, words) of packed arrays of about `tile` rows."""
+    celled = distinct.select("id", "fp", cell.alias("cell"))
     sizes = celled.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles"))
     tiles = (
         celled.join(F.broadcast(sizes), "cell")
         .groupBy("cell", F.pmod(F.xxhash64("id"), "tiles").cast("int").alias("tile"))
         .agg(F.collect_list(F.struct("id", "fp")).alias("rows"))
     )
-    return tiles.select("cell", "tile", F.col("rows.id").alias("ids"), F.flatten("rows.fp").alias("words")), parts
+    return tiles.select("cell", "tile", F.col("rows.id").alias("ids"), F.flatten("rows.fp").alias("words"))
 
 
 def _steps(radius: int, parts: int) -> list[list[int]]:
@@ -165,48 +193,80 @@ def _steps(radius: int, parts: int) -> list[list[int]]:
     return [list(s) for s in near if s >= (0,) * parts]
 
 
+def _reached(rows: DataFrame, steps: list[list[int]], *names: str) -> DataFrame:
+    """`rows` once for every cell in reach as `cell`; their own is `_from`, columns `names` get a leading `_`."""
+    step = F.array(*[F.array(*[F.lit(x) for x in s]) for s in steps])
+    there = F.zip_with("cell", "_step", lambda a, b: (a + b).cast("int")).alias("cell")
+    return rows.withColumn("_step", F.explode(step)).select(F.col("cell").alias("_from"), *[F.col(n).alias(f"_{n}") for n in names], there)
+
+
+def _strip_pairs(tiles: DataFrame, steps: list[list[int]]) -> DataFrame:
+    """Tile rows of every pair of strips in reach, so that the tiles of one cell are dealt over many keys."""
+    held = tiles.withColumn("strip", F.floor(F.col("tile") / F.lit(STRIP)).cast("int"))
+    strips = materialize(held.select("cell", "strip").distinct(), "strips")
+    near = _reached(strips, steps, "strip").join(strips, "cell").where((F.col("_from") != F.col("cell")) | (F.col("_strip") <= F.col("strip")))
+    near = materialize(near.select(F.struct("_from", "_strip", "cell", "strip").alias("at")), "strip-pairs")
+    own = [F.col(n).alias(f"_{n}") for n in ("tile", "ids", "words")]
+    left = held.select(F.col("cell").alias("_from"), F.col("strip").alias("_strip"), *own)
+    left = left.join(near.select("at", "at._from", "at._strip"), ["_from", "_strip"]).drop("_strip")
+    right = held.join(near.select("at", "at.cell", "at.strip"), ["cell", "strip"]).drop("strip")
+    return left.join(right, "at")
+
+
 def _forest(left: np.ndarray, right: np.ndarray, sieve: int, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Links of a tile pair as a forest (child, parent) over its rows; right rows are numbered after left ones."""
     shift = 0 if same else len(left)
     label = np.arange(shift + len(right))
+    first, other = np.ascontiguousarray(left[:, 0]), np.ascontiguousarray(right[:, 0])
     step = max(1, AT_ONCE // max(1, len(right)))
+    words, counts = np.empty(step * len(right), np.uint64), np.empty(step * len(right), np.uint8)
+    links: list[tuple[np.ndarray, np.ndarray]] = []
     for low in range(0, len(left), step):
         start = low if same else 0
-        near = np.bitwise_count(left[low : low + step, 0, None] ^ right[None, start:, 0]) <= sieve
-        i, j = near.nonzero()
+        shape = len(first[low : low + step]), len(right) - start
+        cells = shape[0] * shape[1]
+        differ = np.bitwise_xor(first[low : low + step, None], other[None, start:], out=words[:cells].reshape(shape))
+        near = np.flatnonzero(np.bitwise_count(differ.ravel(), out=counts[:cells]) <= sieve)
+        i, j = np.divmod(near, max(1, shape[1]))
         i, j = i + low, j + start
         if left.shape[1] > 1:
             kept = np.bitwise_count(left[i] ^ right[j]).sum(axis=1) <= radius
             i, j = i[kept], j[kept]
         a, b = label[i], label[j + shift]
-        a, b = a[a != b], b[a != b]
-        while len(a):
-            least = np.minimum(label[a], label[b])
-            np.minimum.at(label, a, least)
-            np.minimum.at(label, b, least)
-            label = label[label]
-            a, b = label[a], label[b]
-            a, b = a[a != b], b[a != b]
-        label = label[label]
+        links.append((a[a != b], b[a != b]))
+        if low + step >= len(left) or sum(len(x) for x, _ in links) >= LINKS:
+            label = _joined(label, *map(np.concatenate, zip(*links)))
+            links = []
     child = np.flatnonzero(label != np.arange(len(label)))
     return child, label[child]
 
 
-def linked(distinct: DataFrame, radius: int, width: int = 1, sieve: int | None = None) -> DataFrame:
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """`label` with the trees of every a and b made one, the least label its root; trees are one level high."""
+    a, b = label[a], label[b]
+    while len(a):
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+        a, b = label[a], label[b]
+        a, b = a[a != b], b[a != b]
+    return label[label]
+
+
+def linked(distinct: DataFrame, radius: int, width: int = 1, sieve: int | None = None, similarity: float | None = None) -> DataFrame:
     """(u, v): edges that join the ids of `distinct` (id, fp) within `radius` bits, none beyond.
 
-    With several words, pairs must also agree in the first word up to `sieve` bits.
+    With several words, pairs must also agree in the first word up to `sieve` bits. With a `similarity`, pairs
+    whose `size` rules it out are left out.
     """
     sieve = radius if sieve is None else sieve
-    found, parts = _tiles(distinct, sieve)
-    tiles = materialize(found, "tiles")
-    step = F.array(*[F.array(*[F.lit(x) for x in s]) for s in _steps(sieve, parts)])
-    reach = tiles.withColumn("_step", F.explode(step)).select(
-        F.col("cell").alias("_from"), F.col("tile").alias("_left"), F.col("ids").alias("_ids"), F.col("words").alias("_words"),
-        F.zip_with("cell", "_step", lambda a, b: (a + b).cast("int")).alias("cell"),
-    )
-    pairs = reach.join(tiles, "cell").where((F.col("_from") != F.col("cell")) | (F.col("_left") <= F.col("tile")))
-    same = (F.col("_from") == F.col("cell")) & (F.col("_left") == F.col("tile"))
+    parts, tile = (4, TILE) if sieve <= QUARTERED and similarity is None else (1, WIDE_TILE)
+    cell, steps = (_quarters(parts), _steps(sieve, parts)) if similarity is None else (_size_cell(similarity), _steps(SIZE_STEPS, 1))
+    tiles = materialize(_tiles(distinct, cell, tile), "tiles")
+    pairs = _reached(tiles, steps, "tile", "ids", "words").join(tiles, "cell") if parts > 1 else _strip_pairs(tiles, steps)
+    pairs = pairs.where((F.col("_from") != F.col("cell")) | (F.col("_tile") <= F.col("tile")))
+    same = (F.col("_from") == F.col("cell")) & (F.col("_tile") == F.col("tile"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,7 +363,8 @@ def near_duplicates(
 
     With a `radius`, documents are linked if their fingerprints of `width` 64-bit words differ in at most
     `radius` bits. Without one, those of Jaccard similarity `similarity` or more over distinct shingles are linked,
-    as far as their fingerprints are near enough to make them candidates; none below is. component_id is the smallest
+    as far as their fingerprints are near enough to make them candidates and the sizes of their sets allow it; none
+    below is. component_id is the smallest
     key that links reach, the document's own included. Null and blank texts have fingerprint zero and are linked like any
     other. Fewer words than a shingle make one shingle of all. Null keys get the component of their
     fingerprint, null if nothing in it has a key. Repeated rows stay repeated; an empty table gives an empty
@@ -316,14 +377,17 @@ def near_duplicates(
     if exact:
         owned = docs.select(F.struct(F.col(key).alias("key"), at.alias("at")).alias("owner"), text)
     signed = materialize(fingerprints(owned, words, width, "owner" if exact else key, text, repeats), "fingerprints")
+    if exact and repeats:
+        signed = signed.withColumn("size", F.lit(None).cast("int"))
     name = F.col("fp")[0] if width == 1 else F.xxhash64("fp")
     signed = signed.withColumn("id", name)
     kept = [F.first("fp").alias("fp"), F.min("owner.key" if exact else key).alias("least")]
     if exact:
-        kept.append(F.min("owner.at").alias("at"))
+        # The size of the text whose shingles are compared.
+        kept += [F.min("owner.at").alias("at"), F.min_by("size", "owner.at").alias("size")]
     classes = materialize(signed.groupBy("id").agg(*kept), "classes")
     signed = signed.select(F.col("owner.key" if exact else key).alias(key), "fp", "id")
-    roots = components(linked(classes, radius, width, sieve), "u", "v")
+    roots = components(linked(classes, radius, width, sieve, similarity if exact else None), "u", "v")
     if exact:
         roots = materialize(roots, "candidates")
         groups = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "id")

@@ -1,9 +1,11 @@
 import hashlib
+import re
 
 import cases
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings, strategies as st
 from sleuthflow.llm import bpe
@@ -70,5 +72,21 @@ def test_cache_is_bounded(monkeypatch):
         assert len(codec.cache) <= 60
 
 
+def test_plain_words_and_equal_texts_leave_no_pieces_behind():
+    codec = bpe.Codec(open(PATH, encoding="utf-8").read())
+    held = len(codec.cache)
+    texts = [" ".join(f"{'Wörter'[: 1 + k % 6]}{chr(97 + k % 26)}{chr(97 + k // 26)}{bpe.MARKS[k % 6]}" for k in range(600)), "", None, " \xa0\u3000\t ", "?! 42"]
+    texts += ["çà\u2003va\x85ÀÉß×÷ Σίσυφος İ ªº straße. a.. \x1cb", "<|endoftext|>plain <|", "x" * 300 + " y"] + texts
+    found = codec.encode(texts)
+    assert [np.frombuffer(ids, np.int32).tolist() for ids in found] == [LIBRARY.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(codec.cache) < held + 20
+
+
+def test_plain_letters_lower_alike_in_arrow():
+    letters = [c for c in map(chr, range(256)) if re.search(bpe.PLAIN, c)]
+    assert len(letters) == 52 + 62 and pc.utf8_lower(pa.array(letters)).to_pylist() == [c.lower() for c in letters]
+    assert {c for c in map(chr, range(0x110000)) if c.isspace()} - set(map(chr, range(0x1C, 0x20))) == set(re.findall(f"[{bpe.BLANK}]", "".join(map(chr, range(0x110000)))))
+
+
 def test_empty_list_array():
     assert CODEC.decode(pa.array([], pa.list_(pa.int32()))).to_pylist() == []

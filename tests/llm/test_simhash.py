@@ -1,9 +1,12 @@
+import collections
 import random
 
 import cases
+import numpy as np
 import xxhash
 from sleuthflow.llm import simhash
 from sleuthflow.llm.components import components
+from sleuthflow.session import materialize
 
 
 def plain_fingerprint(text, n):
@@ -143,3 +146,53 @@ def test_components_of_chains_stars_and_loops(spark):
     edges = [(k, k + 1) for k in range(100, 160)] + [(5, k) for k in range(6, 30)] + [(3, 3), (5, 6), (6, 5), (None, 1)]
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert found == {**{k: 100 for k in range(101, 161)}, **{k: 5 for k in range(6, 30)}}
+
+
+def test_strips_spread_a_large_cell_and_miss_no_pair_that_sizes_allow(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "STRIP", 2)
+    rng = random.Random(6)
+    sizes = [50] * 60 + [rng.randrange(400) for _ in range(60)] + [40, 50, 64, 80, 0, 0]
+    df = spark.createDataFrame([(k, [rng.randrange(-(2**63), 2**63)], n) for k, n in enumerate(sizes)], "id long, fp array<long>, size int")
+    tiles = materialize(simhash._tiles(df, simhash._size_cell(0.8), 4), "tiles")
+    found = simhash._strip_pairs(tiles, simhash._steps(simhash.SIZE_STEPS, 1))
+    found = found.where("_from <> cell OR _tile <= tile").selectExpr("to_json(at) AS at", "_ids", "ids", "_from = cell AND _tile = tile AS same").collect()
+    assert max(collections.Counter(r["at"] for r in found).values()) <= simhash.STRIP**2
+    pairs = collections.Counter()
+    for r in found:
+        pairs.update(frozenset((a, b)) for a in r["_ids"] for b in r["ids"] if (a < b if r["same"] else True))
+    assert set(pairs.values()) == {1} and len(pairs) < 0.5 * len(sizes) * (len(sizes) - 1) / 2
+    for a in range(len(sizes)):
+        for b in range(a):
+            if min(sizes[a], sizes[b]) >= 0.8 * max(sizes[a], sizes[b]) > 0:
+                assert frozenset((a, b)) in pairs
+
+
+def test_texts_at_the_limit_of_size_are_linked(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "WIDE_TILE", 5)
+    rng = random.Random(7)
+    texts = []
+    for k in range(40):
+        words = [f"{rng.choice('bcdfgh')}{rng.randrange(10**6)}" for _ in range(5 * (8 + k) + 5)]
+        # 4 of 5 shingles, a similarity of 0.8 just so, and one shingle fewer.
+        texts += [words[:-1], words[: 4 * (8 + k) + 4 - k % 2]]
+    assert all((similarity(texts[2 * k], texts[2 * k + 1]) >= 0.8) == (k % 2 == 0) for k in range(40))
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    assert [found[k] for k in range(len(texts))] == exact_groups(texts, 0.8)
+
+
+def test_forest_joins_what_chunks_find_apart(monkeypatch):
+    monkeypatch.setattr(simhash, "AT_ONCE", 7)
+    monkeypatch.setattr(simhash, "LINKS", 3)
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**64, (6, 2), dtype=np.uint64)
+    which = rng.integers(0, 6, 40)
+    rows = base[which] ^ (np.uint64(1) << rng.integers(0, 64, (40, 2), dtype=np.uint64))
+    for split in (0, 15):
+        left, right = (rows, rows) if not split else (rows[:split], rows[split:])
+        child, parent = simhash._forest(left, right, 2, 4, not split)
+        label = np.arange(40)
+        label[child] = parent
+        for a in range(split or 40):
+            for b in range(split, 40):
+                assert (label[a] == label[b]) == (which[a] == which[b])
