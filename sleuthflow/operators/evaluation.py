@@ -173,7 +173,8 @@ def compare_auc(scored: DataFrame, first: str, second: str, label: str = "label"
     for k in (1, 0):
         of = [F.when(F.col("label") == k, F.col(f"{name}_{k}")) for name in ("a", "b")]
         parts |= {f"n{k}": F.count(of[0]), f"auc_a{k}": F.avg(of[0]), f"auc_b{k}": F.avg(of[1])}
-        parts |= {f"v{k}": F.var_samp(of[0]) + F.var_samp(of[1]) - F.lit(2.0) * F.covar_samp(*of)}
+        # Both variances less twice the covariance, without what their rounding leaves.
+        parts |= {f"v{k}": F.var_samp(of[0] - of[1])}
     told = placed.agg(*[c.alias(n) for n, c in parts.items()])
     known = (F.col("n1") > 1) & (F.col("n0") > 1)
     deviation = F.when(known, F.sqrt(F.greatest(F.col("v1") / F.col("n1") + F.col("v0") / F.col("n0"), F.lit(0.0))))
